@@ -118,6 +118,7 @@ class Index:
         self.gram, row, size = np.unique(g, return_inverse=True, return_counts=True)
         self.place = np.full((PLANES, len(items), len(self.gram)), -1, np.int16)
         self.place[pl, it, row] = ps
+        self.length = np.array([sum(map(len, ws)) for ws in self.words], np.int64)
         self.repeats = np.zeros(len(items), bool)
         self.repeats[it[pl > 0]] = True
         # Of every item as few of its q-grams, the rarest, as give a bound that tells chance apart.
@@ -178,7 +179,8 @@ class Index:
         bands = self._bands(np.repeat(doc, n), item, np.repeat(local, n) - self.pos[entry], self.need_rare, width)
         # All shared q-grams near the bands that are left.
         d, i, low = bands
-        a, b = np.searchsorted(at, start[d] + low - (1 << 13) - width, "left"), np.searchsorted(at, start[d] + low - (1 << 13) + 2 * width + (self.place.max() if self.place.size else 0), "right")
+        a = np.searchsorted(at, start[d] + low - (1 << 13), "left")
+        b = np.searchsorted(at, start[d] + low - (1 << 13) + width + self.length[i], "left")
         a, b = np.maximum(a, np.searchsorted(at, start[d], "left")), np.minimum(b, np.searchsorted(at, start[d + 1], "left"))
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         step = max(1, 4_000_000 // max(1, int((b - a).max()) if len(a) else 1))
@@ -337,7 +339,7 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
     return scan
 
 
-def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, max_items: int = 4, width: int = 96, max_rows: int = 100_000) -> DataFrame:
+def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, max_items: int = 2, width: int = 96, max_rows: int = 100_000) -> DataFrame:
     """(doc_id, item_id) of every document that discloses an item."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct().limit(max_rows + 1).collect()
     if len(rows) > max_rows:

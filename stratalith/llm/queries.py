@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import near_duplicates as nd
-from stratalith.llm import packing, splitting, term_counts
+from stratalith.llm import leakage, packing, splitting, term_counts
 from stratalith.session import table
 
 #: Runs of three words and a similarity of 0.6 define p1's cases.
@@ -69,6 +69,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return g.join(w, "window_id").select("window_id", "capacity", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("used"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.disclosures(table(spark, d, "documents"), table(spark, d, "eval_questions"), "doc_id", "text", "id", "passage")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items that leaked, with the number of disclosing documents."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p4_found, p4_terms, p6_found, p6_assignment, p6_fill)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p4_found, p4_terms, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
 }
