@@ -39,9 +39,18 @@ WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{
 SELECT window_id, doc_id FROM n, context_windows WHERE tokens > capacity
 """
 
+_CLOSEST = """
+WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE len(embedding) > 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+d AS (SELECT a.id AS id, b.id AS other, round(1 - list_inner_product(a.e, b.e), 6) AS distance FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n FROM d)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE n <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _RUNS,
     "p2_found": _OVERSIZED,
+    "p3_found": _CLOSEST,
     "p4_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + "SELECT * FROM m",
     "p6_found": _LENGTHS,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import near_duplicates as nd
-from stratalith.llm import leakage, packing, splitting, term_counts
+from stratalith.llm import leakage, neighbours, packing, splitting, term_counts
 from stratalith.session import table
 
 #: Runs of three words and a similarity of 0.6 define p1's cases.
@@ -40,6 +40,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunk_files"))
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five closest other chunks of every chunk with a usable vector, in order."""
+    return neighbours.nearest(table(spark, d, "chunks"), "id", "embedding", dim=128)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs_of(p3_neighbours(spark, d)).select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, d, "chunks"), "content").where("mark is not null").select("term", "mark")
 
@@ -79,5 +88,5 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p4_found, p4_terms, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
 }
