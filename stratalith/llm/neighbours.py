@@ -332,7 +332,7 @@ def _shard_groups(dim: int, k: int, basis: np.ndarray, degree: int, width: int,
     return run
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None = None, sample: int = 20_000, shard: int = 6_000, overlap: int = 3, slack: float = 0.12, max_pivots: int = 16_384, project: int = 48, degree: int = 16, width: int = 24, beam: int = 40) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None = None, sample: int = 10_000, shard: int = 6_000, overlap: int = 3, slack: float = 0.12, max_pivots: int = 16_384, project: int = 48, degree: int = 16, width: int = 24, beam: int = 40) -> DataFrame:
     """(id, rank, neighbour, distance): the k closest other vectors of every usable vector."""
     spark = df.sparkSession
     schema = "id long, rank int, neighbour long, distance double"
@@ -352,7 +352,8 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | Non
     if n == 0:
         return spark.createDataFrame([], schema)
     # The only rows that reach the driver: a bounded sample to fit pivots and projection.
-    seen = points.orderBy(F.xxhash64("fp1"), "fp1").limit(sample).select("vec").toArrow().column("vec").to_pylist()
+    lucky = F.pmod(F.xxhash64("fp1"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / n))
+    seen = points.where(lucky).orderBy(F.xxhash64("fp1"), "fp1").limit(sample).select("vec").toArrow().column("vec").to_pylist()
     x = _unit(seen, dim).astype(np.float32)
     pivots = kmeans(x, max(1, min(max_pivots, len(x) // 2 or 1, round(1.6 * n / shard))))
     _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import near_duplicates as nd
-from stratalith.llm import leakage, neighbours, packing, splitting, term_counts
+from stratalith.llm import leakage, main_content, neighbours, packing, splitting, term_counts
 from stratalith.session import table
 
 #: Runs of three words and a similarity of 0.6 define p1's cases.
@@ -57,6 +57,15 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, d, "chunks"), "content")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.main_lines(table(spark, d, "raw_pages"))
+
+
+def p5_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """The inferred wrapper of every host."""
+    return main_content.wrapper_report(table(spark, d, "raw_pages"))
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
@@ -88,5 +97,5 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_wrappers, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
 }
