@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import near_duplicates as nd
-from stratalith.llm import leakage, main_content, neighbours, packing, splitting, term_counts
+from stratalith.llm import leakage, main_content, neighbours, packing, splitting, term_counts, toxicity
 from stratalith.session import table
 
 #: Runs of three words and a similarity of 0.6 define p1's cases.
@@ -96,6 +96,20 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score per document and category."""
+    return toxicity.score(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.flagged(p8_scores(spark, d)).distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per source and the share flagged in each category."""
+    return toxicity.rates(table(spark, d, "documents"), p8_scores(spark, d), "doc_id", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_wrappers, p6_found, p6_assignment, p6_fill, p7_found, p7_items)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_wrappers, p6_found, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_rates)
 }
