@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions.text import citation_url
 from stratalith.operators import lexical
+from stratalith.session import cut_lineage
 
 CANDIDATES, RRF, RERANKED, TOP_K = 40, 60, 20, 5
 METHODS = ("vector", "lexical", "hybrid", "hybrid-native")
@@ -175,7 +176,8 @@ def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, bucket
     def unit(df: DataFrame, i: str, v: str) -> DataFrame:
         d = df.select(F.col(i).cast("long").alias(i), F.col(v).cast("array<double>").alias("v")).where("size(v) > 0")
         d = d.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("len > 0")
-        return d.select(i, array_to_vector(F.transform("v", lambda x: x / F.col("len"))).alias("v"))
+        # Written first: no unusable vector may meet the model, whatever order filters are put in.
+        return cut_lineage(d.select(i, F.transform("v", lambda x: x / F.col("len")).alias("v"))).select(i, array_to_vector("v").alias("v"))
 
     rows, asked = unit(chunks, "id", "embedding"), unit(queries, "qid", "vec")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(rows)

@@ -1,0 +1,136 @@
+"""Connectors: a rate-limited page client, a catalogue data source and a place lookup with a cache."""
+
+from __future__ import annotations
+
+import json
+import time
+from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
+from urllib.robotparser import RobotFileParser
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+
+from stratalith.functions.text import lookup_key
+
+SCENE = "id string, acquired string, platform string, mode string, polarisations array<string>, orbit string, relative_orbit int"
+
+
+class PoliteClient:
+    """Fetches with at least ``pause`` seconds between requests and by each origin's robots.txt: 401 and 403 deny all,
+    other 4xx allow all, 5xx raise. get(url) -> (status, bytes) is plugged in."""
+
+    def __init__(self, get: Callable[[str], tuple[int, bytes]], agent: str, pause: float = 1.0, clock=time.monotonic, sleep=time.sleep) -> None:
+        self.get, self.agent, self.pause, self.clock, self.sleep = get, agent, pause, clock, sleep
+        self.requests, self.last = 0, None
+        self.robots: dict[str, RobotFileParser] = {}
+
+    def _request(self, url: str) -> tuple[int, bytes]:
+        if self.last is not None and (wait := self.pause - (self.clock() - self.last)) > 0:
+            self.sleep(wait)
+        self.last = self.clock()
+        self.requests += 1
+        return self.get(url)
+
+    def allowed(self, url: str) -> bool:
+        u = urlsplit(url)
+        origin = f"{u.scheme}://{u.netloc}"
+        if origin not in self.robots:
+            status, body = self._request(f"{origin}/robots.txt")
+            if status >= 500:
+                raise RuntimeError(f"robots.txt of {origin}: {status}")
+            rules = RobotFileParser()
+            if status in (401, 403):
+                rules.disallow_all = True
+            elif status >= 400:
+                rules.allow_all = True
+            else:
+                rules.parse(body.decode("utf-8", "replace").splitlines())
+            self.robots[origin] = rules
+        return self.robots[origin].can_fetch(self.agent, url)
+
+    def fetch(self, url: str) -> bytes:
+        if not self.allowed(url):
+            raise PermissionError(f"robots.txt forbids {url}")
+        status, body = self._request(url)
+        if status >= 400:
+            raise RuntimeError(f"{url}: {status}")
+        return body
+
+
+def search_request(collection: str, bbox: list[float] | None, start: str | None, end: str | None, limit: int, **equal) -> dict:
+    """Body of a catalogue search: box, closed UTC days, equal filters joined by and, newest first, limit + 1."""
+    body: dict = {"collections": [collection], "limit": limit + 1, "sortby": [{"field": "properties.datetime", "direction": "desc"}]}
+    if bbox:
+        body["bbox"] = bbox
+    if start or end:
+        body["datetime"] = f"{start + 'T00:00:00Z' if start else '..'}/{end + 'T23:59:59Z' if end else '..'}"
+    args = [{"op": "=", "args": [{"property": k}, v]} for k, v in equal.items() if v is not None]
+    if args:
+        body["filter-lang"], body["filter"] = "cql2-json", args[0] if len(args) == 1 else {"op": "and", "args": args}
+    return body
+
+
+class CatalogueSource(DataSource):
+    """spark.read.format("catalogue"): scenes of an item collection file (option path); equal and range filters on
+    acquired, platform, mode, orbit and relative_orbit are pushed down, option limit cuts after sorting newest first."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "catalogue"
+
+    def schema(self) -> str:
+        return SCENE
+
+    def reader(self, schema) -> DataSourceReader:
+        return _CatalogueReader(self.options)
+
+
+class _CatalogueReader(DataSourceReader):
+    FIELDS = ("acquired", "platform", "mode", "orbit", "relative_orbit")
+
+    def __init__(self, options) -> None:
+        self.path, self.limit = options["path"], int(options.get("limit", "0"))
+        self.tests: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        kinds = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<="}
+        for f in filters:
+            kind = kinds.get(type(f))
+            if kind and len(f.attribute) == 1 and f.attribute[0] in self.FIELDS:
+                self.tests.append((kind, f.attribute[0], f.value))
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]  # one service, one rate limit
+
+    def read(self, partition) -> Iterator[tuple]:
+        ops = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
+        with open(self.path) as f:
+            items = json.load(f)["features"]
+        rows = []
+        for i in items:
+            p = i["properties"]
+            row = {"id": i["id"], "acquired": p.get("datetime"), "platform": p.get("platform"), "mode": p.get("mode"), "polarisations": p.get("polarisations") or [], "orbit": p.get("orbit"), "relative_orbit": p.get("relative_orbit")}
+            if all(row[c] is not None and ops[k](row[c], v) for k, c, v in self.tests):
+                rows.append(row)
+        rows.sort(key=lambda r: r["id"])
+        rows.sort(key=lambda r: r["acquired"] or "", reverse=True)
+        yield from (tuple(r.values()) for r in rows[: self.limit or None])
+
+
+def places(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """(name, key, known, place): lookups against a cache (key, place); a cached null means that there is none."""
+    q = asked.select("name", lookup_key(F.col("name")).alias("key"))
+    c = cache.select("key", "place", F.lit(True).alias("hit"))
+    return q.join(c, "key", "left").select("name", "key", F.coalesce("hit", F.lit(False)).alias("known"), "place")
+
+
+def place_of(result: dict | None) -> dict | None:
+    """name, kind and box [west, south, east, north] of a lookup result, whose box is text [south, north, west, east]."""
+    if not result:
+        return None
+    south, north, west, east = map(float, result["boundingbox"])
+    return {"name": result["display_name"], "kind": result.get("addresstype") or result.get("type") or "place", "bbox": [west, south, east, north]}
