@@ -40,8 +40,8 @@ LOOKALIKE = str.maketrans("асеорхуіјѕԁһвкмнтαεορικυν",
 GROUP = 300
 #: Occurrences of a q-gram within one item that are kept.
 PLANES = 3
-#: A bound on shared q-grams that chance seldom reaches.
-ENOUGH = 8
+#: Hits that chance brings to a band, for each hit that another item has with the item.
+CHANCE = 1.0
 #: Characters around a region that the alignment also sees.
 MARGIN = 40
 _DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
@@ -126,12 +126,15 @@ class Index:
         begin = np.searchsorted(it, np.arange(len(items) + 1))
         for k, ws in enumerate(self.words):
             own, own_size = ps[begin[k] : begin[k + 1]], size[row[begin[k] : begin[k + 1]]]
-            for c in (max_items, 4 * max_items, 16 * max_items, 1 << 30):
-                need = min(self._bounds(ws, own[own_size <= c])[0], default=1 << 30)
-                if need > self.need_rare[k] or cap[k] == 0:
-                    cap[k], self.need_rare[k] = c, need
-                if need >= ENOUGH:
-                    break
+            best = -1.0
+            for c in (max_items, 2 * max_items, 4 * max_items, 8 * max_items, 16 * max_items, 32 * max_items, 1 << 30):
+                kept = own_size <= c
+                need = min(self._bounds(ws, own[kept])[0], default=1 << 30)
+                # How far the bound is above what chance brings to a band, judged by the other items.
+                noise = max(1e-3, CHANCE * float((own_size[kept] - 1).sum()) / max(1, len(items)))
+                gain = need * np.log(max(1.0, need / noise)) - need + noise
+                if gain > best:
+                    best, cap[k], self.need_rare[k] = gain, c, need
         rare = size[row] <= cap[it]
         order = np.argsort(row[rare], kind="stable")
         self.item, self.pos = it[rare][order], ps[rare][order]
@@ -148,12 +151,14 @@ class Index:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
         at = np.r_[0, np.cumsum([len(w) for w in ws])]
         till = np.r_[0, np.cumsum(np.bincount(kept, minlength=at[-1] + 1))]
-        budget, out = int(self.run * self.edits + 1e-9), []
-        for i in range(len(ws) - self.run + 1):
-            a, b = at[i], max(at[i], at[i + self.run] - self.q + 1)
-            harm = till[np.clip(at[i + 1 : i + self.run + 1], a, b)] - till[np.clip(at[i : i + self.run] - self.q + 1, a, b)]
-            out.append((max(1, int(till[b] - till[a] - np.sort(harm)[::-1][:budget].sum())), a, b))
-        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+        budget = int(self.run * self.edits + 1e-9)
+        word = np.arange(len(ws) - self.run + 1)[:, None] + np.arange(self.run)
+        a = at[word[:, 0]]
+        b = np.maximum(a, at[word[:, -1] + 1] - self.q + 1)
+        harm = till[np.clip(at[word + 1], a[:, None], b[:, None])] - till[np.clip(at[word] - self.q + 1, a[:, None], b[:, None])]
+        harm.sort(axis=1)
+        worst = harm[:, self.run - budget :].sum(1)
+        return np.maximum(1, till[b] - till[a] - worst), a, b
 
     def regions(self, texts: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
         """(text, item, lowest and highest diagonal) of the bands that reach the item's bound."""
@@ -339,7 +344,7 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
     return scan
 
 
-def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, max_items: int = 2, width: int = 96, max_rows: int = 100_000) -> DataFrame:
+def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, max_items: int = 1, width: int = 96, max_rows: int = 100_000) -> DataFrame:
     """(doc_id, item_id) of every document that discloses an item."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct().limit(max_rows + 1).collect()
     if len(rows) > max_rows:
