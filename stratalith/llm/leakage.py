@@ -41,9 +41,11 @@ GROUP = 300
 #: Occurrences of a q-gram within one item that are kept.
 PLANES = 3
 #: Hits that chance brings to a band, for each hit that another item has with the item.
-CHANCE = 1.0
+CHANCE = 0.5
 #: Characters around a region that the alignment also sees.
 MARGIN = 40
+#: What casefold and LOOKALIKE change into letters that ASCII has.
+FOREIGN = re.compile("[ßẞͰ-ԯ]")
 _DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 
 
@@ -67,9 +69,10 @@ def solid(text: str) -> bytes:
     if "<" in text or "](" in text:
         text = TAG.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).casefold().translate(LOOKALIKE)
-        return text.encode("ascii", "ignore").translate(None, _DROP)
-    return text.lower().encode().translate(None, _DROP)
+        text = unicodedata.normalize("NFKD", text)
+        if FOREIGN.search(text):
+            text = text.casefold().translate(LOOKALIKE)
+    return text.encode("ascii", "ignore").lower().translate(None, _DROP)
 
 
 def words(text: str) -> list[bytes]:
@@ -97,7 +100,7 @@ class Index:
 
     BITS = 22
 
-    def __init__(self, items: list[tuple[str, str]], q: int, run: int, edits: float, max_items: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], q: int, run: int, edits: float) -> None:
         self.q, self.run, self.edits = q, run, edits
         self.ids = [i for i, _ in items]
         self.words = [words(p) for _, p in items]
@@ -121,31 +124,123 @@ class Index:
         self.length = np.array([sum(map(len, ws)) for ws in self.words], np.int64)
         self.repeats = np.zeros(len(items), bool)
         self.repeats[it[pl > 0]] = True
-        # Of every item as few of its q-grams, the rarest, as give a bound that tells chance apart.
-        cap, self.need_rare = np.zeros(len(items), np.int64), np.full(len(items), 1 << 30, np.int64)
         begin = np.searchsorted(it, np.arange(len(items) + 1))
+        self._entries = it, ps, row, begin
+        self.table = np.full(1 << self.BITS, -1, np.int32)  # first row of a hash prefix
+        self.table[(self.gram >> np.uint64(64 - self.BITS)).astype(np.int64)[::-1]] = np.arange(len(self.gram), dtype=np.int32)[::-1]
+        self.bounds = [self._bounds(w, ps[begin[k] : begin[k + 1]]) for k, w in enumerate(self.words)]
+        self.windows, self.exact = [], []
+        for ws in self.words:
+            w = [(k, k + run, run - budget) for run, budget in self.stretches(len(ws)) for k in range(len(ws) - run + 1)]
+            self.windows.append(tuple(np.array(x, np.int64) for x in zip(*w, strict=True)) if w else (np.zeros(0, np.int64),) * 3)
+            self.exact.append([b"".join(ws[k : k + run]) for k in range(len(ws) - run + 1)])
+        self.need = np.maximum(1, np.array([min(b[0], default=1 << 30) for b in self.bounds], np.int64))
+        self.tune(size - 1, len(items))
+
+    def tune(self, seen: np.ndarray, texts: int) -> None:
+        """Chooses of every item the rarest q-grams, as many as put its bound farthest above chance.
+
+        seen: how often each q-gram occurs in so many texts. The choice bears on speed alone: the bound is always
+        computed on what is kept.
+        """
+        it, ps, row, begin = self._entries
+        cap, self.need_rare = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), 1 << 30, np.int64)
         for k, ws in enumerate(self.words):
-            own, own_size = ps[begin[k] : begin[k + 1]], size[row[begin[k] : begin[k + 1]]]
-            best = -1.0
-            for c in (max_items, 2 * max_items, 4 * max_items, 8 * max_items, 16 * max_items, 32 * max_items, 1 << 30):
-                kept = own_size <= c
+            own, often = ps[begin[k] : begin[k + 1]], seen[row[begin[k] : begin[k + 1]]]
+            best = -np.inf
+            for c in np.unique(np.quantile(often, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1), method="higher")) if len(often) else ():
+                kept = often <= c
                 need = min(self._bounds(ws, own[kept])[0], default=1 << 30)
-                # How far the bound is above what chance brings to a band, judged by the other items.
-                noise = max(1e-3, CHANCE * float((own_size[kept] - 1).sum()) / max(1, len(items)))
-                gain = need * np.log(max(1.0, need / noise)) - need + noise
-                if gain > best:
-                    best, cap[k], self.need_rare[k] = gain, c, need
-        rare = size[row] <= cap[it]
+                noise = max(1e-3, CHANCE * float(often[kept].sum()) / max(1, texts))
+                gain = need * np.log(max(1.0, need / noise)) - need + noise if need > 0 else -1.0
+                if gain > best or best < 0:  # without a bound more are kept
+                    best, cap[k], self.need_rare[k] = gain, c, max(1, need)
+        rare = seen[row] <= cap[it]
         order = np.argsort(row[rare], kind="stable")
         self.item, self.pos = it[rare][order], ps[rare][order]
         self.first = np.searchsorted(row[rare][order], np.arange(len(self.gram) + 1))
-        self.table = np.full(1 << self.BITS, -1, np.int32)  # first row of a hash prefix
-        self.table[(self.gram >> np.uint64(64 - self.BITS)).astype(np.int64)[::-1]] = np.arange(len(self.gram), dtype=np.int32)[::-1]
-        self.bounds = [self._bounds(w, ps[begin[k] : begin[k + 1]]) for k, w in enumerate(self.words)]
-        self.need = np.array([min(b[0], default=1 << 30) for b in self.bounds], np.int64)
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, rows) of the hashes that are q-grams of the items."""
+        row = self.table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        at = np.flatnonzero(row >= 0)
+        row, h = row[at], h[at]
+        other = np.flatnonzero(self.gram[row] != h)
+        row[other] = np.minimum(np.searchsorted(self.gram, h[other]), len(self.gram) - 1)
+        ok = self.gram[row] == h
+        return at[ok], row[ok]
+
+    def tune_on(self, texts: list[bytes]) -> None:
+        """tune() by the texts themselves."""
+        if len(self.gram) and texts:
+            _, row = self.lookup(_grams(np.frombuffer(b"".join(texts), np.uint8), self.q))
+            self.tune(np.bincount(row, minlength=len(self.gram)), len(texts))
 
     def _bounds(self, ws: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each stretch of ``run`` words, the fewest kept q-grams it holds after the most harmful edits allowed,
+        """For each stretch (see stretches), the fewest kept q-grams it holds after the most harmful edits allowed,
+        and where its q-grams begin and end."""
+        if len(ws) < self.run:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        at = np.r_[0, np.cumsum([len(w) for w in ws])]
+        till = np.r_[0, np.cumsum(np.bincount(kept, minlength=at[-1] + 1))]
+        parts = []
+        for run, budget in self.stretches(len(ws)):
+            word = np.arange(len(ws) - run + 1)[:, None] + np.arange(run)
+            a = at[word[:, 0]]
+            b = np.maximum(a, at[word[:, -1] + 1] - self.q + 1)
+            harm = till[np.clip(at[word + 1], a[:, None], b[:, None])] - till[np.clip(at[word] - self.q + 1, a[:, None], b[:, None])]
+            harm.sort(axis=1)
+            parts.append((till[b] - till[a] - harm[:, run - budget :].sum(1), a, b))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def stretches(self, n: int) -> list[tuple[int, int]]:
+        """(words, edits) of the shortest stretches for each number of edits: any disclosed stretch of an item of n
+        words holds one of them with no more edits."""
+        first = int(self.run * self.edits + 1e-9)
+        more = ((int(np.ceil(e / self.edits - 1e-9)), e) for e in range(first + 1, n + 1))
+        return [(self.run, first)] + [x for x in more if x[0] <= n]
+
+    def tune(self, seen: np.ndarray, texts: int) -> None:
+        """Chooses of every item the rarest q-grams, as many as put its bound farthest above chance.
+
+        seen: how often each q-gram occurs in so many texts. The choice bears on speed alone: the bound is always
+        computed on what is kept.
+        """
+        it, ps, row, begin = self._entries
+        cap, self.need_rare = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), 1 << 30, np.int64)
+        for k, ws in enumerate(self.words):
+            own, often = ps[begin[k] : begin[k + 1]], seen[row[begin[k] : begin[k + 1]]]
+            best = -np.inf
+            for c in np.unique(np.quantile(often, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1), method="higher")) if len(often) else ():
+                kept = often <= c
+                need = min(self._bounds(ws, own[kept])[0], default=1 << 30)
+                noise = max(1e-3, CHANCE * float(often[kept].sum()) / max(1, texts))
+                gain = need * np.log(max(1.0, need / noise)) - need + noise if need > 0 else -1.0
+                if gain > best or best < 0:  # without a bound more are kept
+                    best, cap[k], self.need_rare[k] = gain, c, max(1, need)
+        rare = seen[row] <= cap[it]
+        order = np.argsort(row[rare], kind="stable")
+        self.item, self.pos = it[rare][order], ps[rare][order]
+        self.first = np.searchsorted(row[rare][order], np.arange(len(self.gram) + 1))
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, rows) of the hashes that are q-grams of the items."""
+        row = self.table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        at = np.flatnonzero(row >= 0)
+        row, h = row[at], h[at]
+        other = np.flatnonzero(self.gram[row] != h)
+        row[other] = np.minimum(np.searchsorted(self.gram, h[other]), len(self.gram) - 1)
+        ok = self.gram[row] == h
+        return at[ok], row[ok]
+
+    def tune_on(self, texts: list[bytes]) -> None:
+        """tune() by the texts themselves."""
+        if len(self.gram) and texts:
+            _, row = self.lookup(_grams(np.frombuffer(b"".join(texts), np.uint8), self.q))
+            self.tune(np.bincount(row, minlength=len(self.gram)), len(texts))
+
+    def _bounds(self, ws: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each stretch (see stretches), the fewest kept q-grams it holds after the most harmful edits allowed,
         and where its q-grams begin and end."""
         if len(ws) < self.run:
             return tuple(np.zeros(0, np.int64) for _ in range(3))
@@ -167,13 +262,7 @@ class Index:
         h = _grams(np.frombuffer(b"".join(texts), np.uint8), self.q)
         if not len(h) or not len(self.gram):
             return []
-        row = self.table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        at = np.flatnonzero(row >= 0)
-        row, h = row[at], h[at]
-        other = np.flatnonzero(self.gram[row] != h)
-        row[other] = np.minimum(np.searchsorted(self.gram, h[other]), len(self.gram) - 1)
-        ok = self.gram[row] == h
-        at, row = at[ok], row[ok]
+        at, row = self.lookup(h)
         doc = np.searchsorted(start, at, "right") - 1
         ok = at + self.q <= start[doc + 1]
         at, row, doc = at[ok], row[ok], doc[ok]
@@ -183,32 +272,39 @@ class Index:
         item = self.item[entry].astype(np.int64)
         bands = self._bands(np.repeat(doc, n), item, np.repeat(local, n) - self.pos[entry], self.need_rare, width)
         # All shared q-grams near the bands that are left.
-        d, i, low = bands
+        order = np.argsort(bands[1], kind="stable")  # one item after the other: its row of places stays in the cache
+        d, i, low = (x[order] for x in bands)
         a = np.searchsorted(at, start[d] + low - (1 << 13), "left")
         b = np.searchsorted(at, start[d] + low - (1 << 13) + width + self.length[i], "left")
         a, b = np.maximum(a, np.searchsorted(at, start[d], "left")), np.minimum(b, np.searchsorted(at, start[d + 1], "left"))
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        step = max(1, 4_000_000 // max(1, int((b - a).max()) if len(a) else 1))
-        for x in range(0, len(d), step):
-            n = np.maximum(0, b[x : x + step] - a[x : x + step])
-            hit = np.repeat(a[x : x + step], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            who = np.repeat(np.arange(x, min(x + step, len(d))), n)
-            p = self.place[0][i[who], row[hit]].astype(np.int64)
-            top = local[hit] - low[who]
-            ok = (p >= 0) & (top >= p) & (top < p + width)
-            for pl in range(1, PLANES):  # items that repeat a q-gram: the occurrence inside the band
-                again = np.flatnonzero(~ok & (p >= 0) & self.repeats[i[who]])
-                p[again] = self.place[pl][i[who[again]], row[hit[again]]]
-                ok[again] = (p[again] >= 0) & (top[again] >= p[again]) & (top[again] < p[again] + width)
-            count = np.bincount(who[ok] - x, minlength=len(n))
-            near, begin = p[ok], np.r_[0, np.cumsum(count)]
-            for k in np.flatnonzero(count >= self.need[i[x : x + step]]) + x:
-                need, first, last = self.bounds[i[k]]
-                own = np.sort(near[begin[k - x] : begin[k - x + 1]])
-                if not (np.searchsorted(own, last) - np.searchsorted(own, first) >= need).any():
-                    continue
-                lowest = int(low[k]) - (1 << 13)
-                out.setdefault((int(d[k]), int(i[k])), []).append((lowest, lowest + width))
+        row, local = row.astype(np.int32), local.astype(np.int32)
+        each = np.searchsorted(i, np.arange(len(self.ids) + 1))
+        for k in np.flatnonzero(np.diff(each)).tolist():
+            for x in range(each[k], each[k + 1], 2_000):  # bounded memory: that many bands at a time
+                part = slice(x, min(x + 2_000, each[k + 1]))
+                n = np.maximum(0, b[part] - a[part])
+                who = np.repeat(np.arange(len(n), dtype=np.int32), n)
+                hit = np.arange(len(who)) + np.repeat(a[part] - np.cumsum(n) + n, n)
+                r, top = row[hit], local[hit] - low[part].astype(np.int32)[who]
+                p = self.place[0, k].take(r).astype(np.int32)
+                ok = (p >= 0) & (top >= p) & (top < p + width)
+                for plane in range(1, PLANES) if self.repeats[k] else ():  # the occurrence inside the band
+                    again = np.flatnonzero(~ok & (p >= 0))
+                    p[again] = self.place[plane, k].take(r[again])
+                    ok[again] = (p[again] >= 0) & (top[again] >= p[again]) & (top[again] < p[again] + width)
+                who, p = who[ok], p[ok]
+                enough = np.bincount(who, minlength=len(n)) >= self.need[k]
+                rank = np.cumsum(enough) - 1
+                ok = enough[who]
+                size = int(self.length[k]) + 2
+                till = np.zeros((int(enough.sum()), size), np.int32)
+                np.cumsum(np.bincount(rank[who[ok]] * size + p[ok] + 1, minlength=till.size).reshape(till.shape), axis=1, out=till)
+                need, first, last = self.bounds[k]
+                some = (till[:, last] - till[:, first] >= need).any(1)
+                for c in np.flatnonzero(enough)[some].tolist():
+                    lowest = int(low[x + c]) - (1 << 13)
+                    out.setdefault((int(d[x + c]), k), []).append((lowest, lowest + width))
         merged = []
         for (k, item_), spans in out.items():
             spans.sort()
@@ -225,29 +321,48 @@ class Index:
     def _bands(self, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, need: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, item, lowest diagonal) of the half-overlapping bands with enough hits."""
         parts = []
-        base = (doc * len(self.ids) + item) << 24
+        pair = doc.astype(np.int32) * len(self.ids) + item.astype(np.int32)
+        mixed = pair.astype(np.uint32) * np.uint32(0x9E3779B1)
+        least = need.clip(max=1 << 30).astype(np.int32)[item]
+        diagonal = diagonal.astype(np.int32)
         for shift in (0, width // 2):
-            u, c = np.unique(base + (diagonal + shift) // width, return_counts=True)
+            band = (diagonal + shift) // width
+            # Counts by hash are at least the true ones: what is too rare by them need not be sorted.
+            slot = (mixed + band.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 20)
+            some = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
+            u, c = np.unique((pair[some].astype(np.int64) << 24) + band[some], return_counts=True)
             d, i = (u >> 24) // len(self.ids), (u >> 24) % len(self.ids)
             ok = c >= need[i]
             parts.append((d[ok], i[ok], (u[ok] & 0xFFFFFF) * width - shift))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def may_disclose(self, item: int, doc: bytes, low: int, high: int) -> bool:
-        """Whether enough words of some stretch stand inside the band at all (altered ones need not)."""
-        ws, at, there = self.words[item], 0, [0]
-        for w in ws:
+    def may_disclose(self, item: int, doc: bytes, low: int, high: int) -> tuple[int, int] | None:
+        """First and last item word of the stretches of which enough words stand inside the band at all (altered ones
+        need not); None without any."""
+        begin, end, least = self.windows[item]
+        there, at = [0], 0
+        for w in self.words[item]:
             there.append(there[-1] + (doc.find(w, max(0, at + low - MARGIN), at + high + len(w) + MARGIN) >= 0))
             at += len(w)
-        least = self.run - int(self.run * self.edits + 1e-9)
-        return any(there[k + self.run] - there[k] >= least for k in range(len(ws) - self.run + 1))
+        sums = np.array(there)
+        ok = sums[end] - sums[begin] >= least
+        return (int(begin[ok].min()), int(end[ok].max())) if ok.any() else None
+
+    def holds(self, item: int, doc: bytes, low: int, high: int) -> bool:
+        """Whether a stretch stands in the region unaltered."""
+        part = doc[max(0, low - MARGIN) : high + int(self.length[item]) + MARGIN]
+        return any(s in part for s in self.exact[item])
 
-    def discloses(self, item: int, doc: list[bytes], low: int, high: int, starts: np.ndarray) -> bool:
-        """Banded word alignment of an item with the words of a document between two diagonals."""
+    def discloses(self, item: int, doc: list[bytes], low: int, high: int, starts: np.ndarray, among: tuple[int, int]) -> bool:
+        """Banded word alignment of an item's words ``among`` with those of a document between two diagonals."""
         ws = self.words[item]
-        a = int(np.searchsorted(starts, low - MARGIN, "left"))
-        b = int(np.searchsorted(starts, high + sum(map(len, ws)) + MARGIN, "right"))
-        return has_stretch(ws, doc[a:b], self.run, self.edits, (low - MARGIN - int(starts[a]), high + MARGIN - int(starts[a])) if a < len(starts) else None)
+        lead, tail = (sum(map(len, ws[:k])) for k in among)
+        a = int(np.searchsorted(starts, low + lead - MARGIN, "left"))
+        b = int(np.searchsorted(starts, high + tail + MARGIN, "right"))
+        if a >= len(starts):
+            return False
+        off = int(starts[a]) - lead
+        return has_stretch(ws[among[0] : among[1]], doc[a:b], self.run, self.edits, (low - MARGIN - off, high + MARGIN - off))
 
 
 def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, band: tuple[int, int] | None = None) -> bool:
@@ -312,9 +427,14 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
     return False
 
 
-def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float, max_items: int, width: int):
+_HELD: dict[int, list[Index]] = {}
+
+
+def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [Index(items[k : k + GROUP], q, run, edits, max_items) for k in range(0, len(items), GROUP)]
+        key = hash((tuple(items), q, run, edits))  # a worker keeps its index over tasks
+        if (groups := _HELD.get(key)) is None:
+            groups = [Index(items[k : k + GROUP], q, run, edits) for k in range(0, len(items), GROUP)]
         for big in batches:
             at = 0
             while at < big.num_rows:  # slices of about 2 MB of text
@@ -328,15 +448,24 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
                     at += 1
                 cases = []
                 solids = [solid(t) for t in texts]
+                if key not in _HELD:
+                    for index in groups:
+                        index.tune_on(solids)
+                    _HELD.clear()
+                    _HELD[key] = groups
                 for index in groups:
                     last, ws, starts = -1, [], np.zeros(0)
                     for d, i, low, high in sorted(index.regions(solids, width)):
-                        if not index.may_disclose(i, solids[d], low, high):
+                        among = index.may_disclose(i, solids[d], low, high)
+                        if among is None:
+                            continue
+                        if index.holds(i, solids[d], low, high):
+                            cases.append((ids[d], index.ids[i]))
                             continue
                         if d != last:
                             last, ws = d, words(texts[d])
                             starts = np.r_[0, np.cumsum([len(w) for w in ws])]
-                        if index.discloses(i, ws, low, high, starts):
+                        if index.discloses(i, ws, low, high, starts, among):
                             cases.append((ids[d], index.ids[i]))
                 cases = list(dict.fromkeys(cases))
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cases], pa.int64()), pa.array([c[1] for c in cases], pa.string())], names=["doc_id", "item_id"])
@@ -344,11 +473,11 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
     return scan
 
 
-def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, max_items: int = 1, width: int = 96, max_rows: int = 100_000) -> DataFrame:
+def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, width: int = 96, max_rows: int = 100_000) -> DataFrame:
     """(doc_id, item_id) of every document that discloses an item."""
     rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct().limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} items; scan in parts")
     held = sorted((str(r.i), r.t) for r in rows)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    return out.mapInArrow(_scan_batches(held, q, run, edits, max_items, width), "doc_id long, item_id string").distinct()
+    return out.mapInArrow(_scan_batches(held, q, run, edits, width), "doc_id long, item_id string").distinct()
