@@ -369,8 +369,8 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
     """Whether ``run`` or more consecutive item words stand in doc with at most a share ``edits`` of them altered.
 
     Stretches are grown as local alignments (dynamic programming over words): a matched item word scores 1, and an
-    altered, added or left-out one costs 1/edits. Of every cell the best start for either aim is kept: the score and
-    the item word where its stretch began; a stretch counts when its score is not negative at ``run`` words or more.
+    altered, added or left-out one costs 1/edits; the first and the last word of a stretch are held. A
+    stretch counts when its score is not negative at ``run`` item words or more.
     A document word may match two item words written together, or two document words one item word. ``band`` bounds
     the difference of the character offsets of a document word and the item word it stands for.
     """
@@ -380,7 +380,7 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
     known: dict[bytes, list[int]] = {}
     for j, w in enumerate(doc):
         known.setdefault(w, []).append(j)
-    # Cells hold (score, first item word). A stretch starts at any item word, with a match.
+    # Cells hold pairs (score, first item word) of which none is worse in both. A stretch starts at any held word.
     low = -int(run * edits + 1e-9) * cost
     offset, total = [0], 0
     for w in doc:
@@ -388,40 +388,46 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
         offset.append(total)
     below, above = band or (-total - 1, total + 1)
     iat = 0
-    prev: dict[int, tuple[float, int]] = {}
-    two: dict[int, tuple[float, int]] = {}
+    prev: dict[int, list[tuple[float, int]]] = {}
+    two: dict[int, list[tuple[float, int]]] = {}
     pairs = {doc[j] + doc[j + 1]: j for j in range(n - 1)}
     for i, w in enumerate(item):
-        cur: dict[int, tuple[float, int]] = {}
+        cur: dict[int, list[tuple[float, int]]] = {}
 
         def offer(j: int, score: float, first: int) -> None:
+            if score < low:
+                return
             old = cur.get(j)
-            if score >= low and (old is None or score > old[0] or score == old[0] and first < old[1]):
-                cur[j] = (score, first)
-
-        for j, (s, f) in prev.items():  # j: document words used so far
-            if j < n:
-                offer(j + 1, s + 1 if doc[j] == w else s + 1 - cost, f)
-            if j + 1 < n and doc[j + 1] != w and doc[j] + doc[j + 1] == w:
-                offer(j + 2, s + 1, f)
-            offer(j, s + 1 - cost, f)  # left out
-            for k in (1, 2, 3):  # added before a match
-                if j + k < n and doc[j + k] == w:
-                    offer(j + k + 1, s + 1 - k * cost, f)
-                    break
+            if old is None:
+                cur[j] = [(score, first)]
+            elif not any(s >= score and f <= first for s, f in old):
+                cur[j] = [x for x in old if x[0] > score or x[1] < first] + [(score, first)]
+
+        held = [(j + 1, 1.0, i) for j in known.get(w, ()) if below <= offset[j] - iat <= above]
+        if w in pairs:
+            held.append((pairs[w] + 2, 1.0, i))
+        for j, cell in prev.items():  # j: document words used so far
+            same = j < n and doc[j] == w
+            both = not same and j + 1 < n and doc[j] + doc[j + 1] == w
+            ahead = next((k for k in (1, 2, 3) if j + k < n and doc[j + k] == w), 0)
+            for s, f in cell:
+                if same:
+                    held.append((j + 1, s + 1, f))
+                elif j < n:
+                    offer(j + 1, s + 1 - cost, f)
+                if both:
+                    held.append((j + 2, s + 1, f))
+                offer(j, s + 1 - cost, f)  # left out
+                if ahead:  # added before a match
+                    held.append((j + ahead + 1, s + 1 - ahead * cost, f))
         if i:
             joined = item[i - 1] + w
-            for j, (s, f) in two.items():
-                if j < n and doc[j] == joined:
-                    offer(j + 1, s + 2, f)
-        for j in known.get(w, ()):
-            if below <= offset[j] - iat <= above:
-                offer(j + 1, 1.0, i)
-        if w in pairs:
-            offer(pairs[w] + 2, 1.0, i)
-        for s, f in cur.values():
+            held += [(j + 1, 2.0, i - 1) for j in known.get(joined, ()) if below <= offset[j] - iat + len(item[i - 1]) <= above]
+            held += [(j + 1, s + 2, f) for j, cell in two.items() if j < n and doc[j] == joined for s, f in cell]
+        for j, s, f in held:  # a stretch ends, as it begins, with a word that is held
             if i - f + 1 >= run and s >= -1e-9:
                 return True
+            offer(j, s, f)
         iat += len(w)
         two, prev = prev, cur
     return False

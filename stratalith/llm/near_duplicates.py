@@ -349,7 +349,8 @@ def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 30) -> Da
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
+    found = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
 
 
 def near_duplicate_classes(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def _parts(text: str, start: int, end: int, level: int, limit: int, word_chars:
     if level > WORD_LEVEL:
         for at in range(start, end, word_chars):
             stop = min(at + word_chars, end)
-            yield at, stop, len(text[at:stop].split())
+            yield at, stop, limit  # a run of characters is a piece of its own
         return
     at = start
     for m in LEVELS[level].finditer(text, start, end):

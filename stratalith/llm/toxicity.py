@@ -284,8 +284,13 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> np.ndarray:
     n, m = votes.shape
     if n == 0:
         return np.zeros(0)
-    post = np.clip(0.5 + 0.35 * np.sign(votes.sum(1)) + 0.1 * np.tanh(votes.sum(1)), 0.03, 0.97)
-    weight = np.ones(m)
+    spread = votes - votes.mean(0)
+    sd = spread.std(0) + 1e-9
+    alike = np.abs((spread.T @ spread / n) / sd[:, None] / sd)
+    np.fill_diagonal(alike, 0)
+    weight = 1 / (1 + np.clip(alike - 0.7, 0, 1).sum(1) / 0.3)  # copies of one voter count as one
+    total = votes @ weight
+    post = np.where(total == 0, 0.15, 1 / (1 + np.exp(-(2.5 * total - 0.75))))
     values = np.stack([(votes == v) for v in (-1, 0, 1)], 2).astype(float)
     # Chances of each vote given the label are drawn towards what the voter is meant to say: (label, voter, vote).
     meant = np.where((votes > 0).any(0)[None, :, None], np.array([[[0.1, 10, 0.5]], [[0.1, 10, 5]]]), np.array([[[5, 10, 0.1]], [[0.3, 10, 0.1]]]))
@@ -298,9 +303,9 @@ def label_model(votes: np.ndarray, rounds: int = 25) -> np.ndarray:
             sd = rest.std(0) + 1e-9
             corr = (rest.T @ rest / n) / sd[:, None] / sd
             np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.clip(corr - 0.1, 0, 1).sum(1))
+            weight = np.minimum(weight, 1 / (1 + np.clip(corr - 0.1, 0, 1).sum(1)))
         odds = np.einsum("nmv,mv->n", values * (votes != 0)[:, :, None], weight[:, None] * np.log(chance[1] / chance[0]))
-        prior = np.clip(post.mean(), 0.05, 0.95)
+        prior = np.clip(post.mean(), 0.05, 0.5)
         post = 1 / (1 + np.exp(-np.clip(odds + np.log(prior / (1 - prior)), -30, 30)))
     return post
 
