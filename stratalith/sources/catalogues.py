@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stratalith.functions.text import lookup_key
 
@@ -73,8 +73,11 @@ def search_request(collection: str, bbox: list[float] | None, start: str | None,
 
 
 class CatalogueSource(DataSource):
-    """spark.read.format("catalogue"): scenes of an item collection file (option path); equal and range filters on
-    acquired, platform, mode, orbit and relative_orbit are pushed down, option limit cuts after sorting newest first."""
+    """spark.read.format("catalogue"): scenes of an item collection file (option path), newest first.
+
+    The search itself takes options: start and end (days), mode, orbit, relative_orbit, limit. They are options and
+    not pushed filters because a reader keeps pushed filters for later queries on the same DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -84,41 +87,38 @@ class CatalogueSource(DataSource):
         return SCENE
 
     def reader(self, schema) -> DataSourceReader:
-        return _CatalogueReader(self.options)
+        return _CatalogueReader(dict(self.options))
 
 
 class _CatalogueReader(DataSourceReader):
-    FIELDS = ("acquired", "platform", "mode", "orbit", "relative_orbit")
-
-    def __init__(self, options) -> None:
-        self.path, self.limit = options["path"], int(options.get("limit", "0"))
-        self.tests: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        kinds = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<="}
-        for f in filters:
-            kind = kinds.get(type(f))
-            if kind and len(f.attribute) == 1 and f.attribute[0] in self.FIELDS:
-                self.tests.append((kind, f.attribute[0], f.value))
-            else:
-                yield f
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # one service, one rate limit
 
     def read(self, partition) -> Iterator[tuple]:
-        ops = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
-        with open(self.path) as f:
+        o = self.options
+        with open(o["path"]) as f:
             items = json.load(f)["features"]
         rows = []
-        for i in items:
-            p = i["properties"]
-            row = {"id": i["id"], "acquired": p.get("datetime"), "platform": p.get("platform"), "mode": p.get("mode"), "polarisations": p.get("polarisations") or [], "orbit": p.get("orbit"), "relative_orbit": p.get("relative_orbit")}
-            if all(row[c] is not None and ops[k](row[c], v) for k, c, v in self.tests):
-                rows.append(row)
-        rows.sort(key=lambda r: r["id"])
-        rows.sort(key=lambda r: r["acquired"] or "", reverse=True)
-        yield from (tuple(r.values()) for r in rows[: self.limit or None])
+        for item in items:
+            p = item["properties"]
+            at = p.get("datetime")
+            day = (at or "")[:10]
+            if "start" in o and day < o["start"] or "end" in o and (not day or day > o["end"]):
+                continue
+            if any(k in o and str(p.get(k)) != o[k] for k in ("mode", "orbit", "relative_orbit")):
+                continue
+            rows.append((item["id"], at, p.get("platform"), p.get("mode"), p.get("polarisations") or [], p.get("orbit"), p.get("relative_orbit")))
+        rows.sort(key=lambda r: r[0])
+        rows.sort(key=lambda r: r[1] or "", reverse=True)
+        yield from rows[: int(o["limit"]) if "limit" in o else None]
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session."""
+    spark.dataSource.register(CatalogueSource)
 
 
 def places(asked: DataFrame, cache: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalith.functions.text import index_text
 
@@ -48,7 +49,7 @@ def scorer(questions: DataFrame, chunks: DataFrame, provider: Callable[[list[str
             for b in it:
                 yield b[["qid", "id"]].assign(lp=provider(b["p"].tolist()))
 
-        out = rows.mapInPandas(run, rows.select("qid", "id").schema.add("lp", "map<string,double>"))
+        out = rows.mapInPandas(run, rows.select("qid", "id").schema.add("lp", T.MapType(T.StringType(), T.DoubleType())))
         return out.select("qid", "id", relevance(F.col("lp")).alias("score"))
 
     return score

@@ -218,10 +218,10 @@ def test_catalogue(spark):
 def test_catalogue_source(spark, tmp_path):
     p = tmp_path / "items.json"
     p.write_text(json.dumps({"features": [{"id": f"s{i}", "properties": {"datetime": f"2024-01-0{i}T00:00:00Z", "mode": "IW" if i % 2 else "EW", "orbit": None, "relative_orbit": i}} for i in range(1, 6)]}))
-    spark.dataSource.register(catalogues.CatalogueSource)
-    df = spark.read.format("catalogue").option("path", str(p)).load()
-    assert [r.id for r in df.where("mode = 'IW' and acquired >= '2024-01-02'").collect()] == ["s5", "s3"]
-    assert df.count() == 5
+    catalogues.register(spark)
+    read = lambda **o: [r.id for r in spark.read.format("catalogue").options(path=str(p), **o).load().collect()]
+    assert read(mode="IW", start="2024-01-02") == ["s5", "s3"]
+    assert read(limit=2) == ["s5", "s4"] and len(read()) == 5 and read(end="2024-01-02") == ["s2", "s1"]
     body = catalogues.search_request("grd", [1, 2, 3, 4], "2024-01-01", "2024-01-02", 10, mode="IW", orbit="ascending")
     assert body["limit"] == 11 and body["datetime"] == "2024-01-01T00:00:00Z/2024-01-02T23:59:59Z" and body["filter"]["op"] == "and"
 
