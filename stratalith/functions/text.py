@@ -62,8 +62,7 @@ def terms(c: Column) -> Column:
 
 def lexemes(c: Column) -> Column:
     """Terms without English stop words."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(terms(c), lambda t: ~F.array_contains(stop, t))
+    return F.filter(terms(c), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def index_text(section: Column, content: Column) -> Column:
