@@ -83,6 +83,28 @@ def in_box(lon: Column, lat: Column, box: Column) -> Column:
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
 
 
+def agent_checks(runs: DataFrame) -> DataFrame:
+    """Adds the six checks to runs; null where one doesn't apply.
+
+    Columns: expected_tools, called_tools ARRAY<STRING>; arguments, allowed MAP<STRING, ...> (values, and accepted values
+    by argument; null allowed: no catalogue call is expected); lon, lat and box; passages and relevant ARRAY<STRING>
+    (null relevant: no answer in the documents); answer STRING, cited ARRAY<INT>, answerable BOOLEAN.
+    """
+    right = F.forall(F.map_keys("allowed"), lambda k: accepted(F.try_element_at("arguments", k), F.element_at("allowed", k)))
+    docs = F.col("relevant").isNotNull()
+    cited = F.coalesce(F.size("cited") > 0, F.lit(False))
+    return runs.withColumns(
+        {
+            "tools": same_set(F.col("called_tools"), F.col("expected_tools")),
+            "arguments_ok": F.when(F.col("allowed").isNotNull(), F.coalesce(right, F.lit(False))),
+            "place": F.when(F.col("lon").isNotNull(), F.coalesce(in_box(F.col("lon"), F.col("lat"), F.col("box")), F.lit(False))),
+            "found": F.when(docs, F.coalesce(F.arrays_overlap("passages", "relevant"), F.lit(False))),
+            "citations": F.when(docs, cited & F.forall("cited", lambda n: (n >= 1) & (n <= F.size("passages")))),
+            "answered": F.when(F.col("answerable"), F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0),
+        }
+    )
+
+
 def check_rates(runs: DataFrame, checks: tuple[str, ...] = CHECKS, by: str = "set") -> DataFrame:
     """(group, check, passed, of, rate) over all runs and by set; a null check doesn't apply; rate is null of none.
 

@@ -287,3 +287,41 @@ def test_agent(spark, chunks, documents):
     assert serve_call(box, {"id": 1, "method": "tools/call", "params": {"name": "x"}})["error"]["code"] == -32602
     assert not serve_call(box, {"id": 1, "method": "tools/call", "params": {"name": "search_docs", "arguments": {"query": "noise"}}})["result"]["isError"]
     assert serve_call(box, {"id": 1, "method": "tools/list"})["result"]["tools"]
+
+
+def test_page_lines_and_grids():
+    g = lambda t, x, top, up=True: sections.Glyph(t, x, x + 5, top, top + 10, 10.0, up)
+    glyphs = [g("A", 10, 100), g("b", 15, 100), g("c", 25, 101), g("V", 400, 50, False), g("t", 110, 205), g("z", 10, 300)]
+    grid = sections.Grid((100, 200, 300, 260), [["h", ""], ["m", "x(cid:12)"], [None, ""]], [[(100, 200, 200, 220), (200, 200, 300, 220)], [(100, 220, 200, 260), (200, 220, 300, 240)], [None, (200, 240, 300, 260)]])
+    lines = sections.page_lines(1, glyphs, [grid])
+    assert [(x.text, x.cells) for x in lines] == [("Ab c", None), ("", [["h", None], ["m", "x"], ["m", None]]), ("z", None)]
+
+
+def test_agent_check_columns(spark):
+    kind = "expected_tools array<string>, called_tools array<string>, arguments map<string,string>, allowed map<string,array<string>>, lon double, lat double, box array<double>, passages array<string>, relevant array<string>, answer string, cited array<int>, answerable boolean"
+    r = spark.createDataFrame([(["a"], ["a", "a"], {"m": "IW"}, {"m": ["IW", "EW"], "o": []}, 5.0, 5.0, [0.0, 0.0, 5.0, 5.0], ["p", "q"], ["q"], "yes", [1, 2], True), (["a"], [], None, None, None, None, None, ["p"], ["q"], " ", [3], True), (["a"], ["a"], {}, {"m": ["IW"]}, 9.0, 5.0, [0.0, 0.0, 5.0, 5.0], None, None, None, None, False)], kind)
+    got = [tuple(x) for x in evaluation.agent_checks(r).select("tools", "arguments_ok", "place", "found", "citations", "answered").collect()]
+    assert got == [(True, True, True, True, True, True), (False, None, None, False, False, False), (True, False, False, None, None, None)]
+
+
+def test_build_and_update(spark, tmp_path):
+    from stratalith.plans import build, reports
+
+    def pages(*bodies):
+        return spark.createDataFrame([(i, f"https://h.example/{i}", PAGE.replace("Lead", b).encode(), "2024-01-01") for i, b in enumerate(bodies) if b], "page_id long, url string, content binary, fetched_at string")
+
+    calls = []
+    provider = lambda ts: [[float(len(t)), 1.0] for t in ts]
+    out = str(tmp_path / "ix")
+    run = lambda p, d="d": build.build(p, out, provider, 2, "m", d)
+    assert run(pages("one", "two", "three")) == {"new": 3}
+    assert run(pages("one", "two", "three")) == {"unchanged": 3}
+    assert run(pages("one", "TWO", "")) == {"unchanged": 1, "changed": 1, "removed": 1}
+    chunks = build._read(spark, out, "chunks")
+    assert chunks.groupBy("url").count().count() == 2 and chunks.count() == 10
+    assert run(pages("one", "TWO"), "other") == {"changed": 2}
+    build.check_derived(spark, out)
+    assert build._read(spark, out, "frequencies").where("lexeme = 'two'").first().df >= 1
+    assert "2 changed" in reports.index({"changed": 2}, 2, 10) and not calls
+    stats = chunking.ingest_statistics(chunks)
+    assert "10 chunks" in reports.ingest(stats, chunking.size_summary(chunks, F.length("content")))
