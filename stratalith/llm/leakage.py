@@ -24,6 +24,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +120,9 @@ class Index:
             plane.append(times[kept])
         g, it, ps, pl = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int32), (pos, np.int32), (plane, np.int64)))
         self.gram, row, size = np.unique(g, return_inverse=True, return_counts=True)
-        self.place = np.full((PLANES, len(items), len(self.gram)), -1, np.int16)
+        longest = max((sum(map(len, ws)) for ws in self.words), default=0)
+        self.offset = longest + (1 << 12)  # keeps diagonals positive
+        self.place = np.full((PLANES, len(items), len(self.gram)), -1, np.int16 if longest < 1 << 15 else np.int32)
         self.place[pl, it, row] = ps
         self.length = np.array([sum(map(len, ws)) for ws in self.words], np.int64)
         self.repeats = np.zeros(len(items), bool)
@@ -195,10 +198,11 @@ class Index:
 
     def stretches(self, n: int) -> list[tuple[int, int]]:
         """(words, edits) of the shortest stretches for each number of edits: any disclosed stretch of an item of n
-        words holds one of them with no more edits."""
+        words holds one of them with no more edits. Of longer ones than 6 * run some part of 3 to 6 * run words has at
+        most the share of edits of the whole, so longer ones are not needed."""
         first = int(self.run * self.edits + 1e-9)
         more = ((int(np.ceil(e / self.edits - 1e-9)), e) for e in range(first + 1, n + 1))
-        return [(self.run, first)] + [x for x in more if x[0] <= n]
+        return [(self.run, first)] + list(takewhile(lambda x: x[0] <= min(n, 6 * self.run), more))
 
     def tune(self, seen: np.ndarray, texts: int) -> None:
         """Chooses of every item the rarest q-grams, as many as put its bound farthest above chance.
@@ -266,7 +270,7 @@ class Index:
         doc = np.searchsorted(start, at, "right") - 1
         ok = at + self.q <= start[doc + 1]
         at, row, doc = at[ok], row[ok], doc[ok]
-        local = at - start[doc] + (1 << 13)  # diagonals stay positive
+        local = at - start[doc] + self.offset
         n = self.first[row + 1] - self.first[row]
         entry = np.repeat(self.first[row], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.item[entry].astype(np.int64)
@@ -274,8 +278,8 @@ class Index:
         # All shared q-grams near the bands that are left.
         order = np.argsort(bands[1], kind="stable")  # one item after the other: its row of places stays in the cache
         d, i, low = (x[order] for x in bands)
-        a = np.searchsorted(at, start[d] + low - (1 << 13), "left")
-        b = np.searchsorted(at, start[d] + low - (1 << 13) + width + self.length[i], "left")
+        a = np.searchsorted(at, start[d] + low - self.offset, "left")
+        b = np.searchsorted(at, start[d] + low - self.offset + width + self.length[i], "left")
         a, b = np.maximum(a, np.searchsorted(at, start[d], "left")), np.minimum(b, np.searchsorted(at, start[d + 1], "left"))
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         row, local = row.astype(np.int32), local.astype(np.int32)
@@ -303,7 +307,7 @@ class Index:
                 need, first, last = self.bounds[k]
                 some = (till[:, last] - till[:, first] >= need).any(1)
                 for c in np.flatnonzero(enough)[some].tolist():
-                    lowest = int(low[x + c]) - (1 << 13)
+                    lowest = int(low[x + c]) - self.offset
                     out.setdefault((int(d[x + c]), k), []).append((lowest, lowest + width))
         merged = []
         for (k, item_), spans in out.items():

@@ -83,6 +83,10 @@ def test_dirty_rows(spark):
     assert got == [(1, "a"), (4, "a")]
     assert lk.disclosures(docs.limit(0), items, "doc_id", "text", "id", "passage").count() == 0
     assert lk.disclosures(docs, items.limit(0), "doc_id", "text", "id", "passage").count() == 0
+    book = text(12_000, random.Random(3))
+    part = " ".join(book.split()[8_000:8_030])
+    found = lk.disclosures(spark.createDataFrame([(1, "x " + part + " y"), (2, book)], "doc_id long, text string"), spark.createDataFrame([("b", book)], "id string, passage string"), "doc_id", "text", "id", "passage")
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2]
     many = spark.range(20).select(F.col("id").cast("string").alias("id"), F.lit(p).alias("passage"))
     with pytest.raises(ValueError, match="more than 10"):
         lk.disclosures(docs, many, "doc_id", "text", "id", "passage", max_rows=10)
