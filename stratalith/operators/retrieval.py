@@ -22,6 +22,7 @@ UNROUNDED = 6
 
 def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = np.full(len(q), np.inf)  # k rows of this task are at least as near as this; farther ones stay here
         for b in batches:
             col = b.column(1)
             n = np.asarray(col.value_lengths().fill_null(0))
@@ -42,7 +43,9 @@ def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool):
                 if other:
                     d[own[None, :] == ids[a : a + 256][:, None]] = np.inf
                 # the k smallest, with all that tie with the k-th
-                cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                cut = bound[a : a + 256]
+                if d.shape[1] >= k:
+                    np.minimum(cut, np.partition(d, k - 1, axis=1)[:, k - 1], out=cut)
                 r, c = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256][r]), pa.array(own[c]), pa.array(d[r, c])], names=["qid", "id", "score"])
 
