@@ -131,7 +131,9 @@ class Index:
         self._entries = it, ps, row, begin
         self.table = np.full(1 << self.BITS, -1, np.int32)  # first row of a hash prefix
         self.table[(self.gram >> np.uint64(64 - self.BITS)).astype(np.int64)[::-1]] = np.arange(len(self.gram), dtype=np.int32)[::-1]
-        self.bounds = [self._bounds(w, ps[begin[k] : begin[k + 1]]) for k, w in enumerate(self.words)]
+        raw = [self._bounds(w, ps[begin[k] : begin[k + 1]]) for k, w in enumerate(self.words)]
+        self.bounds = [(np.maximum(1, need), a, b) for need, a, b in raw]
+        self.unbounded = [k for k, b in enumerate(raw) if min(b[0], default=1) < 1]
         self.windows, self.exact = [], []
         for ws in self.words:
             w = [(k, k + run, run - budget) for run, budget in self.stretches(len(ws)) for k in range(len(ws) - run + 1)]
@@ -204,63 +206,13 @@ class Index:
         more = ((int(np.ceil(e / self.edits - 1e-9)), e) for e in range(first + 1, n + 1))
         return [(self.run, first)] + list(takewhile(lambda x: x[0] <= min(n, 6 * self.run), more))
 
-    def tune(self, seen: np.ndarray, texts: int) -> None:
-        """Chooses of every item the rarest q-grams, as many as put its bound farthest above chance.
-
-        seen: how often each q-gram occurs in so many texts. The choice bears on speed alone: the bound is always
-        computed on what is kept.
-        """
-        it, ps, row, begin = self._entries
-        cap, self.need_rare = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), 1 << 30, np.int64)
-        for k, ws in enumerate(self.words):
-            own, often = ps[begin[k] : begin[k + 1]], seen[row[begin[k] : begin[k + 1]]]
-            best = -np.inf
-            for c in np.unique(np.quantile(often, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1), method="higher")) if len(often) else ():
-                kept = often <= c
-                need = min(self._bounds(ws, own[kept])[0], default=1 << 30)
-                noise = max(1e-3, CHANCE * float(often[kept].sum()) / max(1, texts))
-                gain = need * np.log(max(1.0, need / noise)) - need + noise if need > 0 else -1.0
-                if gain > best or best < 0:  # without a bound more are kept
-                    best, cap[k], self.need_rare[k] = gain, c, max(1, need)
-        rare = seen[row] <= cap[it]
-        order = np.argsort(row[rare], kind="stable")
-        self.item, self.pos = it[rare][order], ps[rare][order]
-        self.first = np.searchsorted(row[rare][order], np.arange(len(self.gram) + 1))
-
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, rows) of the hashes that are q-grams of the items."""
-        row = self.table[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        at = np.flatnonzero(row >= 0)
-        row, h = row[at], h[at]
-        other = np.flatnonzero(self.gram[row] != h)
-        row[other] = np.minimum(np.searchsorted(self.gram, h[other]), len(self.gram) - 1)
-        ok = self.gram[row] == h
-        return at[ok], row[ok]
-
-    def tune_on(self, texts: list[bytes]) -> None:
-        """tune() by the texts themselves."""
-        if len(self.gram) and texts:
-            _, row = self.lookup(_grams(np.frombuffer(b"".join(texts), np.uint8), self.q))
-            self.tune(np.bincount(row, minlength=len(self.gram)), len(texts))
-
-    def _bounds(self, ws: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each stretch (see stretches), the fewest kept q-grams it holds after the most harmful edits allowed,
-        and where its q-grams begin and end."""
-        if len(ws) < self.run:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
-        at = np.r_[0, np.cumsum([len(w) for w in ws])]
-        till = np.r_[0, np.cumsum(np.bincount(kept, minlength=at[-1] + 1))]
-        budget = int(self.run * self.edits + 1e-9)
-        word = np.arange(len(ws) - self.run + 1)[:, None] + np.arange(self.run)
-        a = at[word[:, 0]]
-        b = np.maximum(a, at[word[:, -1] + 1] - self.q + 1)
-        harm = till[np.clip(at[word + 1], a[:, None], b[:, None])] - till[np.clip(at[word] - self.q + 1, a[:, None], b[:, None])]
-        harm.sort(axis=1)
-        worst = harm[:, self.run - budget :].sum(1)
-        return np.maximum(1, till[b] - till[a] - worst), a, b
-
     def regions(self, texts: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
-        """(text, item, lowest and highest diagonal) of the bands that reach the item's bound."""
+        """(text, item, lowest and highest diagonal) of the bands that reach the item's bound; whole texts for items
+        whose edits allowed may leave no q-gram."""
+        whole = [(d, k, -int(self.length[k]), len(t)) for k in self.unbounded for d, t in enumerate(texts)]
+        return whole + [x for x in self._bounded_regions(texts, width) if x[1] not in self.unbounded]
+
+    def _bounded_regions(self, texts: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
         size = np.array([len(t) for t in texts], np.int64)
         start = np.r_[0, np.cumsum(size)]
         h = _grams(np.frombuffer(b"".join(texts), np.uint8), self.q)

@@ -90,3 +90,24 @@ def test_dirty_rows(spark):
     many = spark.range(20).select(F.col("id").cast("string").alias("id"), F.lit(p).alias("passage"))
     with pytest.raises(ValueError, match="more than 10"):
         lk.disclosures(docs, many, "doc_id", "text", "id", "passage", max_rows=10)
+
+
+@pytest.mark.parametrize("n,at", [(24, (5, 9, 13, 17)), (30, (10, 12, 14, 16, 18)), (36, (10, 13, 16, 19, 22, 25))])
+def test_clustered_edits_in_longer_stretches(spark, n, at):
+    # No shorter stretch holds: every 20 words have more than 3 edits, and the edited words are the longest.
+    rng = random.Random(n)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    item = [word(12 if k in at else 8) for k in range(n)]
+    doc = [word(12) if k in at else w for k, w in enumerate(item)]
+    over = [word(12) if k in (*at, n - 2) else w for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(over))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(item))], "id string, passage string")
+    assert [tuple(r) for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()] == [(1, "a")]
+
+
+def test_item_whose_edits_leave_no_q_gram(spark):
+    item = [f"{c}{k % 3}" if k % 2 else c for k, c in enumerate("abcdefghijklmnopqrstuvwx")]
+    doc = ["zz" if k in (4, 9, 14) else w for k, w in enumerate(item[:20])]
+    docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(doc[:19]))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(item))], "id string, passage string")
+    assert [tuple(r) for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()] == [(1, "a")]
