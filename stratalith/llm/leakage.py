@@ -24,6 +24,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import takewhile
 
 import numpy as np
@@ -189,7 +190,8 @@ class Index:
         at = np.r_[0, np.cumsum([len(w) for w in ws])]
         till = np.r_[0, np.cumsum(np.bincount(kept, minlength=at[-1] + 1))]
         parts = []
-        for run, budget in self.stretches(len(ws)):
+        # A stretch of twice run words or more falls into two, one of which has at most the share of edits of the whole.
+        for run, budget in takewhile(lambda x: x[0] < 2 * self.run, self.stretches(len(ws))):
             word = np.arange(len(ws) - run + 1)[:, None] + np.arange(run)
             a = at[word[:, 0]]
             b = np.maximum(a, at[word[:, -1] + 1] - self.q + 1)
@@ -337,7 +339,8 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
     for j, w in enumerate(doc):
         known.setdefault(w, []).append(j)
     # Cells hold pairs (score, first item word) of which none is worse in both. A stretch starts at any held word.
-    low = -int(run * edits + 1e-9) * cost
+    # Below 1 - run the words that follow either can't make up for what came before or are a stretch themselves.
+    low = 1.0 - run
     offset, total = [0], 0
     for w in doc:
         total += len(w)
@@ -365,7 +368,6 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
         for j, cell in prev.items():  # j: document words used so far
             same = j < n and doc[j] == w
             both = not same and j + 1 < n and doc[j] + doc[j + 1] == w
-            ahead = next((k for k in (1, 2, 3) if j + k < n and doc[j + k] == w), 0)
             for s, f in cell:
                 if same:
                     held.append((j + 1, s + 1, f))
@@ -374,8 +376,6 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
                 if both:
                     held.append((j + 2, s + 1, f))
                 offer(j, s + 1 - cost, f)  # left out
-                if ahead:  # added before a match
-                    held.append((j + ahead + 1, s + 1 - ahead * cost, f))
         if i:
             joined = item[i - 1] + w
             held += [(j + 1, 2.0, i - 1) for j in known.get(joined, ()) if below <= offset[j] - iat + len(item[i - 1]) <= above]
@@ -384,6 +384,15 @@ def has_stretch(item: list[bytes], doc: list[bytes], run: int, edits: float, ban
             if i - f + 1 >= run and s >= -1e-9:
                 return True
             offer(j, s, f)
+        todo = sorted(cur)  # a heap
+        while todo:
+            j = heappop(todo)
+            if j < n:
+                new = j + 1 not in cur
+                for s, f in cur[j]:
+                    offer(j + 1, s - cost, f)  # added
+                if new and j + 1 in cur:
+                    heappush(todo, j + 1)
         iat += len(w)
         two, prev = prev, cur
     return False

@@ -111,3 +111,62 @@ def test_item_whose_edits_leave_no_q_gram(spark):
     docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(doc[:19]))], "doc_id long, text string")
     items = spark.createDataFrame([("a", " ".join(item))], "id string, passage string")
     assert [tuple(r) for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()] == [(1, "a")]
+
+
+def by_edit_distance(item, doc, run=20, one_in=6):
+    """Independent of has_stretch: edit distance from every first word, both ends held."""
+    for a in range(len(item) - run + 1):
+        row = [10**6] * (len(doc) + 1)  # edits up to item word i, doc words used
+        for i in range(a, len(item)):
+            new = [10**6] * (len(doc) + 1)
+            for j in range(len(doc) + 1):
+                if j and item[i] == doc[j - 1]:
+                    held = 0 if i == a else row[j - 1]
+                    if i - a + 1 >= run and held * one_in <= i - a + 1:
+                        return True
+                    new[j] = held
+                if i > a:
+                    new[j] = min(new[j], row[j] + 1, row[j - 1] + 1 if j else 10**6)
+                new[j] = min(new[j], new[j - 1] + 1 if j else 10**6)
+            row = new
+    return False
+
+
+def test_added_words_in_a_row(spark):
+    item = text(38, random.Random(21)).split()
+    aside = [text(n, random.Random(n)).split() for n in (4, 5, 6, 7)]
+    bodies = [[*item[:19], *x, *item[19:]] for x in aside]
+    enc = lambda ws: lk.words(" ".join(ws))
+    assert [lk.has_stretch(enc(item), enc(b), 20, 1 / 6) for b in bodies] == [True, True, True, False]
+    docs = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(bodies)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(item))], "id string, passage string")
+    assert sorted(r.doc_id for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()) == [0, 1, 2]
+
+
+def test_alignment_equals_edit_distance():
+    rng, held = random.Random(31), 0
+    for case in range(600):
+        item = [f"w{rng.randrange(9) if rng.random() < 0.15 else 10 + k}x".encode() for k in range(rng.randrange(20, 46))]
+        doc = list(item)
+        for _ in range(rng.randrange(1, 6)):
+            at, n = rng.randrange(len(doc)), rng.randrange(1, 7)
+            how = rng.randrange(4)
+            new = [f"w{rng.randrange(9)}x".encode() if rng.random() < 0.3 else f"z{rng.randrange(99)}x".encode() for _ in range(n)]
+            if how == 0:
+                doc[at : at + 1] = new[:1]
+            elif how == 1:
+                del doc[at : at + rng.choice((1, 1, 2))]
+            else:
+                doc[at:at] = new
+            if len(doc) < 2:
+                break
+        want = by_edit_distance(item, doc)
+        held += want
+        assert lk.has_stretch(item, doc, 20, 1 / 6) == want, (case, item, doc)
+    assert 100 < held < 500
+
+
+def test_edits_right_after_the_first_word():
+    item = [f"w{k}x".encode() for k in range(24)]
+    doc = [b"y" if 1 <= k <= 4 else w for k, w in enumerate(item)]
+    assert by_edit_distance(item, doc) and lk.has_stretch(item, doc, 20, 1 / 6)
