@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.{0,500}?-->|\]\([^()\s]{0,200}\)", re.S)
+#: Tags and link targets of any length; possessive, so that what isn't closed is read once.
+TAG = re.compile(r"</?[A-Za-z][^<>]*+>|\]\([^()\s]*+\)")
 INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 BROKEN = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
 JOINT = re.compile(r"(?<=\w)[-‐‑](?=\w)")
@@ -51,12 +52,21 @@ FOREIGN = re.compile("[ßẞͰ-ԯ]")
 _DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
 
 
+def _unmarked(text: str) -> str:
+    """Text without comments, tags and link targets; a comment that isn't closed is text."""
+    kept, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        kept.append(text[at:begin])
+        at = end + 3
+    return TAG.sub("", "".join(kept) + text[at:])
+
+
 def plain(text: str) -> str:
     """Text without entities, markup, invisible characters, accents and upper case; hyphens inside words are removed."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text or "](" in text:
-        text = TAG.sub("", text)
+        text = _unmarked(text)
     if not text.isascii():
         text = INVISIBLE.sub("", text)
         text = unicodedata.normalize("NFKD", text).casefold().translate(LOOKALIKE)
@@ -69,7 +79,7 @@ def solid(text: str) -> bytes:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text or "](" in text:
-        text = TAG.sub("", text)
+        text = _unmarked(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         if FOREIGN.search(text):

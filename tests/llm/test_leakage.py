@@ -170,3 +170,15 @@ def test_edits_right_after_the_first_word():
     item = [f"w{k}x".encode() for k in range(24)]
     doc = [b"y" if 1 <= k <= 4 else w for k, w in enumerate(item)]
     assert by_edit_distance(item, doc) and lk.has_stretch(item, doc, 20, 1 / 6)
+
+
+def test_markup_of_any_length(spark):
+    p = text(24, random.Random(41)).split()
+    marks = [f'<a href="/{"longpath" * 90}">', f"<!-- {'remark <b>of</b> the editors ' * 90} -->", f"](/{'longtarget' * 60})", f'<p style="{"margin: 0; " * 300}"\n>']
+    bodies = [" ".join(w + m * (k % 5 == 2) for k, w in enumerate(p)) for m in marks]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(p))], "id string, passage string")
+    assert sorted(r.doc_id for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()) == [0, 1, 2, 3]
+    for open_mark in ("<a ", "<!--", "](", "<!-- <a ]("):  # linear where nothing is closed
+        assert lk.solid(open_mark * 200_000 + "end").endswith(b"end")
+    assert lk.solid("a <!-- b --> c <!-- d") == b"acd"
