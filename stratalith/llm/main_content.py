@@ -10,7 +10,8 @@ hangs on (class, role, width, id of containers).
    the wrapper, its lines and a digest of the text with digits masked. Page bytes are never shuffled.
 2. Partial wrappers of a host are merged, first in salted groups, then whole.
 3. A text that fills a slot on a good share of a host's pages is a constant of the site; one that does so on several
-   hosts is a constant of the web. Counts are over distinct addresses, so pages fetched again don't count twice.
+   hosts is a constant of the web. Counts are over distinct addresses, so pages fetched again don't count twice, and
+   addresses with the same prose (of ``least_copy`` characters or more; walls have less) count once.
 4. Per host the node that holds the varying text and the varying title is the body. Groups inside it are left out
    when their texts are mostly links, or when constants mark them (remarks of readers, sharing, notices).
 5. Lines of the body that aren't constants are the result.
@@ -335,20 +336,26 @@ def _decide_groups(min_mark: float, min_link: float):
     return run
 
 
-def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", share: float = 0.02, item_share: float = 0.15, hosts: int = 3, min_mark: float = 0.25, min_link: float = 0.9) -> DataFrame:
+def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", share: float = 0.02, item_share: float = 0.15, hosts: int = 3, min_mark: float = 0.25, min_link: float = 0.9, least_copy: int = 400) -> DataFrame:
     """(page_id, line_no) of the lines that carry text of the main body."""
     parsed = parse(pages, id_col, url_col, content_col)
     leaf = parsed.where("wrapper is null").drop("wrapper")
     # Constants: by share of a host's addresses, or by hosts. Repeated fetches of an address count once.
-    urls = leaf.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("urls"))
     kind = F.element_at(F.split("path", "/"), -1)
-    once = leaf.where("fixable").groupBy("host", "path", "digest", "url").agg(F.lit(1).alias("one"))
-    texts = once.groupBy("host", "path", "digest").agg(F.count("*").alias("n"))
     # Headings, cells and items of a body recur by chance: only those of a good part of the pages are constants.
     plain = ~F.regexp_extract(kind, r"^([a-z0-9]*)", 1).isin("h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "li", "td", "th", "strong")
+    # Copies of an article have one vote: addresses of a host with the same prose, and on other hosts the same longest texts.
+    prose = leaf.where("fixable").where(plain & ~F.col("link")).groupBy("host", "url", "digest").agg(F.max("chars").alias("chars"))
+    own = prose.groupBy("host", "url").agg(F.sort_array(F.collect_list(F.struct("chars", "digest")), False).alias("all"), F.sum("chars").alias("volume"))
+    copied = F.col("volume") >= least_copy
+    own = own.select("host", "url", F.when(copied, F.xxhash64("all")).alias("same"), F.when(copied, F.xxhash64(F.slice("all", 1, 3))).alias("body"))
+    voter, body = F.coalesce("same", F.xxhash64("url")), F.coalesce("body", F.xxhash64("host", "url"))
+    urls = leaf.select("host", "url").distinct().join(own, ["host", "url"], "left").groupBy("host").agg(F.count_distinct(voter).alias("urls"))
+    once = leaf.where("fixable").groupBy("host", "path", "digest", "url").agg(F.lit(1).alias("one")).join(own, ["host", "url"], "left")
+    texts = once.groupBy("host", "path", "digest").agg(F.count_distinct(voter).alias("n"), F.slice(F.collect_set(body), 1, hosts).alias("bodies"))
     enough = F.when(plain, F.greatest(F.lit(2), share * F.col("urls"))).otherwise(F.greatest(F.lit(3), item_share * F.col("urls")))
     local = texts.join(urls, "host").select("host", "path", "digest", (F.col("n") >= enough).alias("local"))
-    spread = texts.where(plain).groupBy("digest").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= hosts).select("digest", F.lit(True).alias("wide"))
+    spread = texts.where(plain).groupBy("digest").agg(F.count_distinct("host").alias("hosts"), F.size(F.array_distinct(F.flatten(F.collect_list("bodies")))).alias("voters")).where((F.col("hosts") >= hosts) & (F.col("voters") >= hosts)).select("digest", F.lit(True).alias("wide"))
     marks = local.join(spread, "digest", "left").select("host", "path", "digest", (F.col("local") | (F.coalesce("wide", F.lit(False)) & plain)).alias("constant")).where("constant")
     leaf = cut_lineage(leaf.join(marks, ["host", "path", "digest"], "left").withColumn("constant", F.coalesce("constant", F.lit(False))))
     nodes = leaf.groupBy("host", "path").agg(

@@ -65,3 +65,21 @@ def test_decoding_and_tokens():
     got = list(mc.pieces("<body><p>a <b>b</b>\n\n&nbsp;\nc<p>d<ul><li>x<li>y</ul><script>\n<p>no\n</script>\n<p>e"))
     assert [(p[-1], t, n) for p, t, n, _ in got] == [("p", "a b c", [1, 4]), ("p", "d", [4]), ("li", "x", [4]), ("li", "y", [4]), ("p", "e", [7])]
     assert not mc.can_be_fixed("CAL-0") and not mc.can_be_fixed("0.0 s") and mc.can_be_fixed("0-0-0") and mc.can_be_fixed("posted 0 days ago")
+
+
+def test_copies_of_an_article_keep_its_text(spark):
+    words = "orbit noise radar swath phase tile mask burst delta queue".split()
+
+    def article(seed, site):
+        r = random.Random(seed)
+        prose = [" ".join(r.choice(words) for _ in range(30)).capitalize() + "." for _ in range(5)]
+        head = f"<html><body>\n{NAV}\n<div class=\"main\">\n"
+        body = [f"<h1>{' '.join(r.choice(words) for _ in range(6))} {seed}</h1>", *(f"<p>{x}</p>" for x in prose)]
+        text = head + "\n".join(body) + f"\n<p>Share this page of {site} with others</p>\n</div>\n{FOOT.format(y=2001)}\n</body></html>"
+        return text.encode(), [head.count("\n") + 1 + k for k in range(len(body))]
+
+    pages = [(f"https://{h}.example/{k}", article(1000 * n + k, h)) for n, h in enumerate("abc") for k in range(12)]
+    pages += [(f"https://{h}.example/shared{x}", article(9999, h)) for h, x in (("a", ""), ("a", "?print=1"), ("a", "?from=mail"), ("b", ""), ("c", ""))]
+    df = spark.createDataFrame([(i, url, data, "x", "y", "z") for i, (url, (data, _)) in enumerate(pages)], KIND).repartition(4)
+    got = {(r.page_id, r.line_no) for r in mc.main_lines(df).collect()}
+    assert got == {(i, n) for i, (_, (_, lines)) in enumerate(pages) for n in lines}
