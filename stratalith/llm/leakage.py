@@ -1,21 +1,22 @@
 """Evaluation passages inside corpus documents: q-gram lemma filter in diagonal bands, then banded alignment.
 
-Texts are reduced to letters and digits: entities resolved, markup and invisible characters removed, accents
-folded, lower case, no separators at all; so line breaks, hyphenation and punctuation leave no trace. The item
-table is held as an index of its character q-grams (first of the rarest only: every item's bound is computed on the kept
+Texts are reduced to letters and digits of any script: entities resolved, markup and invisible characters removed,
+accents folded, lower case, no separators at all; so line breaks, hyphenation and punctuation leave no trace. The items
+are held as an index of their character q-grams (first of the rarest only: every item's bound is computed on the kept
 ones, so nothing is lost by it). Documents stream past it in one scan without a shuffle:
 
 1. every document position's q-gram is looked up by array hashing (NumPy, whole batches);
 2. hits are counted per (document, item, diagonal band); bands overlap by half so that left-out and added words
    stay within one;
 3. regions below the item's edit-budget bound are dropped: a stretch of ``run`` words with a share ``edits`` of them
-   altered still holds that many of the item's q-grams, by the q-gram lemma, whichever words they are;
-4. the rest is decided by a banded alignment of words: a case has a stretch of at least ``run`` consecutive words of
+   altered still holds that many of the item's q-grams, by the q-gram lemma, whichever words they are. Of the rest the
+   missing q-grams must be those of so few edits, wherever they stand (the fewest edits that explain them are counted);
+4. what is left is decided by a banded alignment of words: a case has a stretch of at least ``run`` consecutive words of
    the item in which at most one word in 1/edits is changed, added or left out.
 
-The item table must be bounded (``max_rows``, checked before it is sent to the executors). Null and empty texts
-disclose nothing; items shorter than ``run`` words can't be disclosed. Repeated documents are reported once each
-doc_id; repeated items count once. Extra columns are ignored.
+Items whose edits may leave no q-gram at all are aligned with every text that holds enough of their words. Null and
+empty texts disclose nothing; items shorter than ``run`` words can't be disclosed. Repeated documents are reported once
+each doc_id; repeated items count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heappop, heappush
 from itertools import takewhile
 
@@ -35,8 +37,7 @@ from pyspark.sql import functions as F
 #: Tags and link targets of any length; possessive, so that what isn't closed is read once.
 TAG = re.compile(r"</?[A-Za-z][^<>]*+>|\]\([^()\s]*+\)")
 INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
-BROKEN = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
-JOINT = re.compile(r"(?<=\w)[-‐‑](?=\w)")
+BROKEN = re.compile(r"(?<=[\w\u0300-\u036f])[-‐‑]\s*\n\s*(?=\w)")
 #: Cyrillic and Greek letters that look like Latin ones (fixed values).
 LOOKALIKE = str.maketrans("асеорхуіјѕԁһвкмнтαεορικυν", "aceopxyijsdhbkmhtaeopikuv")
 #: Items in one index; more items are more indexes, each with a table of positions of this height.
@@ -47,9 +48,12 @@ PLANES = 3
 CHANCE = 0.5
 #: Characters around a region that the alignment also sees.
 MARGIN = 40
-#: What casefold and LOOKALIKE change into letters that ASCII has.
-FOREIGN = re.compile("[ßẞͰ-ԯ]")
-_DROP = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+#: Letters and digits outside ASCII, after decomposition.
+FOREIGN = re.compile(r"[^\W\x00-\x7f]+")
+#: What else there is outside ASCII.
+OTHER = re.compile(r"[^\w\x00-\x7f]+")
+_BLANK = bytes(c for c in range(128) if not chr(c).isalnum() and chr(c) != " ")
+_DROP = _BLANK + b" "
 
 
 def _unmarked(text: str) -> str:
@@ -62,35 +66,36 @@ def _unmarked(text: str) -> str:
 
 
 def plain(text: str) -> str:
-    """Text without entities, markup, invisible characters, accents and upper case; hyphens inside words are removed."""
+    """Text without entities, markup, invisible characters and compatibility forms; letters that only look Latin are."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text or "](" in text:
         text = _unmarked(text)
     if not text.isascii():
-        text = INVISIBLE.sub("", text)
-        text = unicodedata.normalize("NFKD", text).casefold().translate(LOOKALIKE)
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-    return text.lower()
+        text = unicodedata.normalize("NFKD", INVISIBLE.sub("", text))
+        if FOREIGN.search(text):
+            text = FOREIGN.sub(lambda m: m[0].casefold().translate(LOOKALIKE), text)
+    return text
+
+
+def _letters(text: str, drop: bytes) -> bytes:
+    if text.isascii() or not FOREIGN.search(text):
+        return text.encode("ascii", "ignore").lower().translate(None, drop)
+    return OTHER.sub("", text).encode().lower().translate(None, drop)
 
 
 def solid(text: str) -> bytes:
-    """Only the letters and digits of a text."""
-    if "&" in text:
-        text = html.unescape(text)
-    if "<" in text or "](" in text:
-        text = _unmarked(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        if FOREIGN.search(text):
-            text = text.casefold().translate(LOOKALIKE)
-    return text.encode("ascii", "ignore").lower().translate(None, _DROP)
+    """Only the letters and digits of a text, of any script, accents folded: words(text) without spaces."""
+    return _letters(plain(text), _DROP)
 
 
 def words(text: str) -> list[bytes]:
-    """The words of a text (between white space), each reduced to letters and digits; empty ones are left out."""
+    """The words of a text (between white space), each reduced to letters and digits; empty ones are left out.
+
+    Hyphens at a line's end join the word's parts.
+    """
     text = BROKEN.sub("", plain(text))
-    return [w for w in (x.encode("ascii", "ignore").translate(None, _DROP) for x in text.split()) if w]
+    return _letters(" ".join(text.split()), _BLANK).split()
 
 
 def _grams(b: np.ndarray, q: int) -> np.ndarray:
@@ -145,13 +150,15 @@ class Index:
         raw = [self._bounds(w, ps[begin[k] : begin[k + 1]]) for k, w in enumerate(self.words)]
         self.bounds = [(np.maximum(1, need), a, b) for need, a, b in raw]
         self.unbounded = [k for k, b in enumerate(raw) if min(b[0], default=1) < 1]
+        once = (pl == 0) & (self.place[1, it, row] < 0)
+        self.steps = [self._steps(w, ps[begin[k] : begin[k + 1]][once[begin[k] : begin[k + 1]]]) for k, w in enumerate(self.words)]
         self.windows, self.exact = [], []
         for ws in self.words:
             w = [(k, k + run, run - budget) for run, budget in self.stretches(len(ws)) for k in range(len(ws) - run + 1)]
             self.windows.append(tuple(np.array(x, np.int64) for x in zip(*w, strict=True)) if w else (np.zeros(0, np.int64),) * 3)
             self.exact.append([b"".join(ws[k : k + run]) for k in range(len(ws) - run + 1)])
         self.need = np.maximum(1, np.array([min(b[0], default=1 << 30) for b in self.bounds], np.int64))
-        self.tune(size - 1, len(items))
+        self._size = size - 1
 
     def tune(self, seen: np.ndarray, texts: int) -> None:
         """Chooses of every item the rarest q-grams, as many as put its bound farthest above chance.
@@ -191,6 +198,8 @@ class Index:
         if len(self.gram) and texts:
             _, row = self.lookup(_grams(np.frombuffer(b"".join(texts), np.uint8), self.q))
             self.tune(np.bincount(row, minlength=len(self.gram)), len(texts))
+        else:
+            self.tune(self._size, len(self.ids))
 
     def _bounds(self, ws: list[bytes], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each stretch (see stretches), the fewest kept q-grams it holds after the most harmful edits allowed,
@@ -210,6 +219,36 @@ class Index:
             parts.append((till[b] - till[a] - harm[:, run - budget :].sum(1), a, b))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
+    def _steps(self, ws: list[bytes], once: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For _possible: positions whose q-gram the item has once; where the q-grams end that an edit of the word of
+        a position's last letter touches; where words begin; and the stretches."""
+        at = np.r_[0, np.cumsum([len(w) for w in ws])].astype(np.int64)
+        single = np.zeros(at[-1] + 1, bool)
+        single[once] = True
+        word = np.repeat(np.arange(len(ws)), np.diff(at))
+        last = np.minimum(np.arange(at[-1]) + self.q - 1, at[-1] - 1)
+        beyond = np.r_[at[word[last] + 1], at[-1], at[-1]] if len(ws) else np.zeros(2, np.int64)
+        # A stretch of twice run words or more falls into two, one of which has at most the share of edits of the whole.
+        return single, beyond, at, [x for x in takewhile(lambda x: x[0] < 2 * self.run, self.stretches(len(ws))) if x[0] <= len(ws)]
+
+    def _possible(self, item: int, hits: np.ndarray) -> np.ndarray:
+        """Which rows of hits (by item position) some stretch can have with its edits.
+
+        Every edit is spent as far to the right as it still explains the first q-gram missing, which needs the fewest.
+        """
+        single, beyond, at, stretches = self.steps[item]
+        end = hits.shape[1]
+        there = np.where(single & ~hits, np.arange(end, dtype=np.int32), np.int32(end))
+        there = np.c_[np.minimum.accumulate(there[:, ::-1], axis=1)[:, ::-1], np.full(len(hits), end, np.int32)]  # next q-gram missing
+        row = np.arange(len(hits))[:, None]
+        pos, spent, found = there[:, at[:-1]], 0, np.zeros(len(hits), bool)
+        for run, budget in stretches:
+            for _ in range(spent, budget):
+                pos = there[row, beyond[pos]]
+            spent = budget
+            found |= (pos[:, : len(at) - run] > at[run:] - self.q).any(1)
+        return found
+
     def stretches(self, n: int) -> list[tuple[int, int]]:
         """(words, edits) of the shortest stretches for each number of edits: any disclosed stretch of an item of n
         words holds one of them with no more edits. Of longer ones than 6 * run some part of 3 to 6 * run words has at
@@ -268,8 +307,7 @@ class Index:
                 size = int(self.length[k]) + 2
                 till = np.zeros((int(enough.sum()), size), np.int32)
                 np.cumsum(np.bincount(rank[who[ok]] * size + p[ok] + 1, minlength=till.size).reshape(till.shape), axis=1, out=till)
-                need, first, last = self.bounds[k]
-                some = (till[:, last] - till[:, first] >= need).any(1)
+                some = self._possible(k, np.diff(till, axis=1) > 0)
                 for c in np.flatnonzero(enough)[some].tolist():
                     lowest = int(low[x + c]) - self.offset
                     out.setdefault((int(d[x + c]), k), []).append((lowest, lowest + width))
@@ -454,11 +492,17 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
     return scan
 
 
-def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, width: int = 96, max_rows: int = 100_000) -> DataFrame:
-    """(doc_id, item_id) of every document that discloses an item."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct().limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} items; scan in parts")
-    held = sorted((str(r.i), r.t) for r in rows)
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    return out.mapInArrow(_scan_batches(held, q, run, edits, width), "doc_id long, item_id string").distinct()
+def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, width: int = 96, part: int = 3_000) -> DataFrame:
+    """(doc_id, item_id) of every document that discloses an item.
+
+    Items are sent to the workers in parts of about ``part``; every part is a scan of the documents, and the scans'
+    rows are united, so any number of items is searched whole and memory is that of one part.
+    """
+    held = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    parts = max(1, -(-held.count() // part))
+    scans = []
+    for k in range(parts):
+        rows = held.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()
+        scans.append(texts.mapInArrow(_scan_batches(sorted((r.i, r.t) for r in rows), q, run, edits, width), "doc_id long, item_id string"))
+    return reduce(DataFrame.unionAll, scans).distinct()

@@ -87,9 +87,15 @@ def test_dirty_rows(spark):
     part = " ".join(book.split()[8_000:8_030])
     found = lk.disclosures(spark.createDataFrame([(1, "x " + part + " y"), (2, book)], "doc_id long, text string"), spark.createDataFrame([("b", book)], "id string, passage string"), "doc_id", "text", "id", "passage")
     assert sorted(r.doc_id for r in found.collect()) == [1, 2]
-    many = spark.range(20).select(F.col("id").cast("string").alias("id"), F.lit(p).alias("passage"))
-    with pytest.raises(ValueError, match="more than 10"):
-        lk.disclosures(docs, many, "doc_id", "text", "id", "passage", max_rows=10)
+
+
+def test_items_beyond_one_part(spark):
+    rng = random.Random(77)
+    items = [(f"m{k}", text(24, rng)) for k in range(60)]
+    docs = spark.createDataFrame([(k, f"{text(9, rng)} {p}") for k, (_, p) in enumerate(items)] + [(99, text(50, rng))], "doc_id long, text string")
+    q = spark.createDataFrame(items, "id string, passage string")
+    found = {n: sorted(map(tuple, lk.disclosures(docs, q, "doc_id", "text", "id", "passage", part=n).collect())) for n in (7, 60, 3_000)}
+    assert found[7] == found[60] == found[3_000] == sorted((k, f"m{k}") for k in range(60))
 
 
 @pytest.mark.parametrize("n,at", [(24, (5, 9, 13, 17)), (30, (10, 12, 14, 16, 18)), (36, (10, 13, 16, 19, 22, 25))])
@@ -182,3 +188,41 @@ def test_markup_of_any_length(spark):
     for open_mark in ("<a ", "<!--", "](", "<!-- <a ]("):  # linear where nothing is closed
         assert lk.solid(open_mark * 200_000 + "end").endswith(b"end")
     assert lk.solid("a <!-- b --> c <!-- d") == b"acd"
+
+
+#: (words of the stretch, words changed, their places, letters of a word)
+PLANTED = [(24, 4, (9, 11, 13, 15), (2, 8)), (30, 5, (11, 13, 15, 17, 19), (2, 8)), (24, 4, None, (4, 8)), (24, 4, None, (1, 3)), (20, 3, None, (1, 3))]
+
+
+@pytest.mark.parametrize("n,edits,places,letters", PLANTED)
+def test_every_planted_stretch_is_found(spark, n, edits, places, letters):
+    rng = random.Random(n * edits + letters[0])
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(*letters)))
+    items, docs = [], []
+    for k in range(120):
+        item = [word() for _ in range(n)]
+        doc = list(item)
+        for at in places or rng.sample(range(1, n - 1), edits):
+            doc[at] = word() + "x"
+        assert by_edit_distance(item, doc)
+        items.append((f"p{k}", " ".join(item)))
+        docs.append((k, " ".join([word() for _ in range(15)] + doc + [word() for _ in range(15)])))
+    found = lk.disclosures(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "id string, passage string"), "doc_id", "text", "id", "passage")
+    assert {(k, f"p{k}") for k in range(120)} <= {tuple(r) for r in found.collect()}
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфх", "αβγδζηθλμξπστφχψ", "אבגדהוזחטיכל", "가나다라마바사아자차", "łøđħŧæœəŋ"])
+def test_passages_of_other_scripts(spark, letters):
+    rng = random.Random(len(letters))
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    ws = [word() for _ in range(26)]
+    near = [word() if k in (8, 17) else w.upper() for k, w in enumerate(ws)]
+    docs = [(1, f"{word()} — {', '.join(near)}; {word()}"), (2, " ".join(ws[:18])), (3, " ".join(word() for _ in range(40)))]
+    found = lk.disclosures(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", " ".join(ws))], "id string, passage string"), "doc_id", "text", "id", "passage")
+    assert [tuple(r) for r in found.collect()] == [(1, "a")]
+
+
+def test_letters_are_the_words_joined():
+    for t in ("Ärger im Straßen-\nbau", "a\u2003b\u2028c\u0085d", "Łódź—Ωmega 5µm ﬁn", "soft\u00adhyphen zero\u200bwidth", "e\u0301te\u0301-\n nuit", "x<b>y</b> &amp; z", "١٢٣ четыре"):
+        assert b"".join(lk.words(t)) == lk.solid(t), t
+    assert lk.words("a\u2003b\u2028c\u0085d") == [b"a", b"b", b"c", b"d"]
