@@ -47,14 +47,14 @@ def test_empty_and_clean_tables_score_zero(spark, corpus):
     assert {tuple(r)[1:] for r in tx.score(clean).collect()} == {(0.0, 0.0, 0.0)}
 
 
-@pytest.mark.parametrize("raw,want", [("idiiot", "idiot"), ("7h3", "the"), ("br34$7$", "breasts"), ("d#c%nt", "decent"), ("l-o-s-e-r", "loser"), ("раthеtіс", "pathetic"), ("pa​thetic", "pathetic"), ("basrua", "basura"), ("poooornooo", "porno"), ("Schwachhkopf", "schwachkopf"), ("g3mí4", "gemia")])
+@pytest.mark.parametrize("raw,want", [("idiiot", "idiot"), ("7h3", "the"), ("br34$7$", "breasts"), ("m#r%n", "moron"), ("1d10t", "idiot"), ("l0s3r", "loser"), ("a55h0l3", "ashole"), ("8u7t0ck5", "butocks"), ("p0rn0", "porno"), ("l-o-s-e-r", "loser"), ("раthеtіс", "pathetic"), ("pa​thetic", "pathetic"), ("idoit", "idiot"), ("poooornooo", "porno"), ("Schwachhkopf", "schwachkopf"), ("g3mí4", "gemia")])
 def test_disguises(raw, want):
     assert tx.words_of(raw) == [want]
 
 
 def test_letters_set_apart_and_ordinary_codes():
     assert tx.joined("why d o e s it").split() == ["why", "does", "it"]
-    assert tx.words_of("29,1") == [] and tx.words_of("interferogram") == ["interferogram"] and tx.words_of("stripe") == ["stripe"]
+    assert tx.words_of("29,1") == [] and tx.words_of("<a " + "x" * 400 + ">")[0] == "a" and tx.words_of("interferogram") == ["interferogram"] and tx.words_of("stripe") == ["stripe"]
     assert len(tx.hashes("b a s u r a humana", tx.Tokens())) == 2
 
 
@@ -62,8 +62,51 @@ def test_label_model_learns_accuracy():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
     vote = lambda hit, false: np.where(y, rng.random(4000) < hit, rng.random(4000) < false).astype(float)
-    good, bad = vote(0.8, 0.02), vote(0.3, 0.3)
+    good, bad = vote(0.8, 0.02), vote(0.5, 0.1)
     against = -np.where(y, rng.random(4000) < 0.03, rng.random(4000) < 0.6).astype(float)
     votes = np.stack([good, vote(0.6, 0.05), bad, bad, bad, against], 1)  # three copies of a poor voter
-    post = tx.label_model(votes)
-    assert ((post > 0.5) == y).mean() > 0.9
+    model = tx.LabelModel(votes)
+    p = dict(zip("good both copies doubted none".split(), model.posterior(np.array([[1, 0, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0], [0, 0, 1, 1, 1, 0], [0, 0, 1, 1, 1, -1], [0, 0, 0, 0, 0, -1.0]])), strict=True))
+    assert p["both"] > p["good"] > p["copies"] > p["doubted"] > p["none"] == 0
+
+
+def test_copies_of_a_voter_add_nothing():
+    rng = np.random.default_rng(3)
+    y = rng.random(6000) < 0.4
+    vote = lambda hit, false: np.where(y, rng.random(6000) < hit, rng.random(6000) < false).astype(float)
+    one, two, against = vote(0.7, 0.1), vote(0.7, 0.1), -np.where(y, rng.random(6000) < 0.05, rng.random(6000) < 0.5).astype(float)
+    copied = np.stack([one, one, one, one, two, against], 1)
+    model = tx.LabelModel(copied)
+    assert sum(p in range(4) for p in model.parent[:4]) == 3
+    plain = tx.LabelModel(np.stack([one, two, against], 1))
+    for rest in ([1, -1], [0, 0], [1, 0]):
+        assert abs(model.posterior(np.array([[1.0, 1, 1, 1, *rest]]))[0] - plain.posterior(np.array([[1.0, *rest]]))[0]) < 0.2
+
+
+#: Sentences of which no voter and no planted case holds the wording.
+OTHER_WORDS = {
+    "abusive": ["You are nothing but a spineless coward and a bully.", "Hope you choke on your dinner tonight.", "Eres un fracasado y un cobarde, das asco.", "Ich werde dich umbringen, du Hurensohn.", "Tu n'es qu'un sale bouffon, va crever.", "I will come round and smash your teeth in, you worthless creep."],
+    "hateful": ["All Muslims are terrorists and must be deported.", "Women are too stupid to vote.", "Those immigrants are parasites living off our money.", "Jews are rats that control everything.", "Les Arabes sont des parasites, il faut les expulser.", "Alle Ausländer sind Kriminelle und gehören abgeschoben."],
+    "sexual": ["She spread her legs and begged him to fuck her harder.", "Hot teens on live cam waiting for you, click now.", "Looking for a hookup tonight, send naked pics.", "Quiero follarte toda la noche, mándame fotos desnuda.", "Ich will dich ficken, schick mir Nacktbilder.", "Femmes chaudes près de chez toi, vidéos sexe gratuites."],
+}
+HARMLESS_TWINS = [
+    "I felt like such an idiot when the script failed.", "The moderators banned a user who had called others morons.", "You can kill the process with a signal if it hangs.", "Never use a dead pixel when you train the model.",
+    "Rats gnawed the insulation of the antenna cable.", "The survey counted refugees and migrants in the camp.", "Women engineers lead the calibration team.", "You should send the data back to the server.",
+    "The bare soil is visible to the naked eye.", "Sexual reproduction of coral species was studied.", "Breast cancer screening uses image analysis.", "The strip map mode covers a wide area.",
+]
+
+
+def test_other_words_than_the_planted_ones(spark):
+    texts = [t for c in OTHER_WORDS for t in OTHER_WORDS[c]] + HARMLESS_TWINS
+    more = spark.createDataFrame([(50_000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    weights, biases = tx.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    got = more.mapInArrow(tx._score_batches(weights, biases), "doc_id long, abusive double, hateful double, sexual double").collect()
+    flags = {r.doc_id - 50_000: {c for c in tx.CATEGORIES if r[c] >= 0.5} for r in got}
+    right = sum(c in flags[k] for k, c in enumerate(c for c in OTHER_WORDS for _ in OTHER_WORDS[c]))
+    assert right >= 0.8 * 18, [t for k, t in enumerate(texts[:18]) if not flags[k]]
+    assert not any(flags[18 + k] for k in range(len(HARMLESS_TWINS))), [(t, flags[18 + k]) for k, t in enumerate(HARMLESS_TWINS) if flags[18 + k]]
+
+
+def test_lists_are_disjoint_of_markup_and_fold():
+    assert set(tx.ORDER) == set(tx.CLASSES) and len(tx.CODE) < 65
+    assert tx.class_of("idiot") == "I" and tx.class_of("deported") == "E" and tx.class_of("interferogram") == "."
