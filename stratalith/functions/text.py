@@ -71,9 +71,12 @@ def index_text(section: Column, content: Column) -> Column:
 
 
 def slug(url: Column) -> Column:
-    """The last part of a URL's path: unquoted, lower case, other characters as single hyphens."""
-    last = F.regexp_extract(F.regexp_replace(F.parse_url(url, F.lit("PATH")), "/+$", ""), r"([^/]*)$", 1)
-    return F.trim(F.regexp_replace(F.lower(F.url_decode(F.regexp_replace(last, r"\+", "%2B"))), "[^a-z0-9]+", "-"), F.lit("-"))
+    """The last part of a URL's path: unquoted, lower case, without .pdf, other characters as single hyphens; "index" for
+    an empty path."""
+    path = F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))
+    last = F.regexp_extract(F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "/+$", ""), r"([^/]*)$", 1)
+    plain = F.regexp_replace(F.lower(F.coalesce(F.nullif(last, F.lit("")), F.lit("index"))), r"\.pdf$", "")
+    return F.when(url.isNotNull(), F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-")))
 
 
 def is_pdf(url: Column) -> Column:

@@ -89,7 +89,8 @@ ORACLE: dict[str, str] = {
     "token_estimate": f"SELECT CAST(id AS BIGINT) AS id, CAST(ceil(len({_words('content')}) * 1.68::DOUBLE) AS BIGINT) AS tokens FROM chunks",
     "token_estimate_by_recipe": f"SELECT DISTINCT url, CAST(c.chunk_index AS BIGINT) AS chunk_index, CAST(ceil(len({_words('c.content')}) * t) AS BIGINT) AS tokens FROM (SELECT url, chunking.tokens_per_word AS t, unnest(chunks) AS c FROM chunk_files)",
     "sentence_count": f"SELECT CAST(id AS BIGINT) AS id, {_sentences('content')} AS sentences FROM chunks",
-    "url_slug": r"SELECT url, trim(regexp_replace(lower(url_decode(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1))), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(regexp_replace(url, '[?#].*$', '')) LIKE '%.pdf' AS pdf FROM index_documents",
+    "url_slug": r"""SELECT url, trim(regexp_replace(regexp_replace(lower(coalesce(nullif(regexp_extract(url_decode(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '([^/]*)/*$', 1), ''), 'index')), '\.pdf$', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+      lower(regexp_replace(url, '[?#].*$', '')) LIKE '%.pdf' AS pdf FROM index_documents""",
     "title_key": f"SELECT replace(lower({_squeeze('title')}), 'ß', 'ss') AS key, count(*) AS pages FROM index_documents GROUP BY 1",
     "citation_links": "SELECT CAST(c.id AS BIGINT) AS id, url || coalesce('#' || nullif(anchor, ''), '') AS citation FROM chunks c JOIN index_documents d ON d.id = c.document_id",
     "content_hash_dupes": "SELECT sha256(content) AS hash, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import text, vectors
 from stratalith.functions.stemming import stems
-from stratalith.operators import answers, catalogue, chunking, evaluation, index, lexical, retrieval, sections
+from stratalith.operators import answers, catalogue, chunking, evaluation, index, lexical, line_documents, retrieval, sections
 from stratalith.session import checkpoint_dir, table
 from stratalith.streaming import windows
 
@@ -130,7 +130,7 @@ def line_sections(spark: SparkSession, d: str) -> DataFrame:
     page, y = (F.floor(F.col("n") / 40) + 1).cast("int"), (F.col("n") % 40) * 15.0 + 100
     size = F.when(F.col("line").rlike(r"^\d+(\.\d+)*\.? \S"), 14.0).otherwise(10.0)
     lines = doc.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"), F.lit("Manual").alias("title"), F.lit(800.0).alias("height"), page.alias("page"), F.regexp_replace("line", r"^\d+(\.\d+)*", "1").alias("text"), y.alias("top"), (y + 12).alias("bottom"), F.lit(50.0).alias("x0"), size.alias("size"), F.lit(None).cast("array<array<string>>").alias("cells"))
-    s = sections.line_sections(lines)
+    s = line_documents.line_sections(lines)
     return s.select("page_id", "position", F.array_join("path", " > ").alias("section"), "anchor", F.size("blocks").alias("blocks"))
 
 

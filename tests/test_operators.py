@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stratalith.operators import answers, catalogue, chunking, evaluation, index, lexical, retrieval, sections
+from stratalith.operators import answers, catalogue, chunking, evaluation, index, lexical, line_documents, retrieval, sections
 from stratalith.plans.agent import Toolbox, run_agent, serve_call
 from stratalith.session import table
 from stratalith.sources import catalogues, files, providers
@@ -115,23 +115,55 @@ def test_html_sections():
     assert sections.read_html("<h1>T</h1><p>x</p>", sections.Layout(None, None))[1][0].blocks == ["x"]
 
 
-def line(page, text, top, size=10.0, x0=50.0, cells=None):
-    return sections.Line(page, text, top, top + 10, x0, size, cells)
+def test_html_text_keeps_words_apart():
+    read = lambda body: [b for s in sections.read_html(f"<h1>T</h1>{body}", sections.ANY)[1] for b in s.blocks]
+    assert read("<table><tr><td><p>One</p><p>Two</p></td></tr></table>") == ["One Two"]
+    assert read("<ul><li><p>Red</p><p>Blue</p></li></ul>") == ["- Red Blue"]
+    assert read("<p>a<copy-clipboard>copy me</copy-clipboard> b<i18n-message>m</i18n-message></p><!-- c -->") == ["a b"]
+    assert read("<div class='x expand-control'><div>More <p>of it</p></div></div>") == ["More of it"]
+    assert read("<div>loose <b>bold</b> text<p>block</p></div>") == ["loose", "bold", "text", "block"]
 
 
-def test_line_sections():
-    lines = [line(p, f"Manual v{p}", 5) for p in (1, 2, 3)] + [
-        line(1, "Front matter text", 150), line(1, "1 Scope", 200, 14), line(1, "of the work", 212, 14), line(1, "Some prose that is syn-", 240), line(1, "thetic and goes on", 252),
-        line(1, "synthetic words", 290), line(1, "N e a r R a n g e", 310), line(1, "• First item", 400), line(1, "wraps here", 412, x0=60.0), line(1, "• Inner item", 424, x0=70.0),
-        line(2, "1.1 Detail", 200, 14), line(2, "", 300, cells=[["a", "", None], [None, None, None]]), line(2, "3 Not next", 400, 14), line(2, "2 Next ...... 9", 420, 14), line(3, "2 Next", 200, 14), line(3, "End text here.", 240),
-    ]
-    got = [(s.path, s.anchor, s.blocks) for s in sections.read_lines("Doc", lines, 800.0)]
+def test_pages_without_sections_are_named(spark):
+    late = b"<html><head>" + b" " * 3000 + b"<meta charset='iso-8859-1'></head><body><h1>T</h1><p>caf\xe9</p></body></html>"
+    pages = spark.createDataFrame([(1, "u", PAGE.encode()), (2, "u", b"%PDF-1.6"), (3, "u", None), (4, "u", b"<p>x</p>"), (5, "u", late), (6, "u", b"<article id='content'><section class='article-body'>x</section></article>"), (7, "u", b"<article id='content'><h1>t</h1></article>")], "page_id long, url string, content binary")
+    assert {r.page_id: r.refused for r in sections.refused_pages(pages).collect()} == {2: "pdf", 3: "empty", 4: "no article", 5: "no article", 6: "no title", 7: "no body"}
+    assert sections.html_sections(pages.where("page_id = 5"), sections.ANY).first().blocks == ["café"]
+
+
+LINE = "page_id long, url string, title string, height double, page int, text string, top double, bottom double, x0 double, size double, cells array<array<string>>"
+
+
+def line(page, text, top, size=10.0, x0=50.0, cells=None, doc=1):
+    return (doc, "u", "Doc", 800.0, page, text, float(top), float(top) + 10, x0, float(size), cells)
+
+
+MANUAL = [line(p, f"Manual v{p}", 5) for p in (1, 2, 3)] + [
+    line(1, "Front matter text", 150), line(1, "1 Scope", 200, 14), line(1, "of the work", 212, 14), line(1, "Some prose that is syn-", 240), line(1, "thetic and goes on", 252),
+    line(1, "synthetic words", 290), line(1, "N e a r R a n g e", 310), line(1, "• First item", 400), line(1, "wraps here", 412, x0=60.0), line(1, "• Inner item", 424, x0=70.0),
+    line(2, "1.1 Detail", 200, 14), line(2, "", 300, cells=[["a", "", None], [None, None, None]]), line(2, "3 Not next", 400, 14), line(2, "2 Next ...... 9", 420, 14), line(3, "2 Next", 200, 14), line(3, "End text here.", 240),
+]
+
+
+def test_line_sections(spark):
+    docs = spark.createDataFrame([*MANUAL, line(1, "no heading at all", 300, doc=2), line(1, None, 300, doc=2)], LINE).repartition(3)
+    got = [(r.path, r.anchor, r.blocks) for r in line_documents.line_sections(docs).orderBy("position").collect()]
     assert got[0] == (["Doc", "1 Scope of the work"], "page=1", ["Some prose that is synthetic and goes on", "synthetic words", "- First item wraps here\n  - Inner item"])
-    assert got[1][0] == ["Doc", "1 Scope of the work", "1.1 Detail"] and got[1][2][0] == "a | "
-    assert got[2] == (["Doc", "2 Next"], "page=3", ["End text here."])
-    assert not any("Manual" in b or "Front" in b for s in got for b in s[2])
-    assert sections.may_follow(None, (1,)) and not sections.may_follow(None, (2,)) and sections.may_follow((3, 2), (4,)) and sections.may_follow((3,), (100,)) and not sections.may_follow((100,), (100,))
-    assert sections.number_of("A1.4") == (100, 1, 4)
+    assert got[1] == (["Doc", "1 Scope of the work", "1.1 Detail"], "page=2", ["a | ", "3 Not next", "2 Next...... 9"])
+    assert got[2] == (["Doc", "2 Next"], "page=3", ["End text here."]) and len(got) == 3
+    assert line_documents.line_sections(docs.limit(0)).count() == 0
+
+
+def test_paragraphs_over_pages_and_lists_of_lines(spark):
+    rows = [line(1, "1 One", 200, 14), line(1, "A sentence that goes", 700), line(2, "on here and ends.", 150), line(2, "New one", 900, x0=50.0), line(2, "- Dash", 300), line(2, "o Round", 320), line(2, "under 10 pt", 332, x0=60.0), line(2, "Prose again", 344), line(2, "well-", 400), line(2, "Known words", 412)]
+    got = line_documents.line_sections(spark.createDataFrame(rows, LINE)).first().blocks
+    assert got == ["A sentence that goes on here and ends.", "- Dash\n- Round under 10 pt", "Prose again", "well-Known words", "New one"]
+
+
+def test_numbers_that_follow(spark):
+    cases = [([], [1], True), ([], [2], False), ([3, 2], [4], True), ([3, 2], [3, 3], True), ([3, 2], [3, 2, 1], True), ([3, 2], [3, 4], False), ([3], [100], True), ([100], [100], False), ([100], [101], True), ([3], [3, 2], False), ([1, 2], [2, 3], False)]
+    df = spark.createDataFrame(cases, "l array<int>, n array<int>, y boolean")
+    assert df.where(line_documents.may_follow(F.col("l"), F.col("n")) != F.col("y")).collect() == []
 
 
 def test_pages_to_chunk_files_and_back(spark, tmp_path):
@@ -289,12 +321,15 @@ def test_agent(spark, chunks, documents):
     assert serve_call(box, {"id": 1, "method": "tools/list"})["result"]["tools"]
 
 
-def test_page_lines_and_grids():
-    g = lambda t, x, top, up=True: sections.Glyph(t, x, x + 5, top, top + 10, 10.0, up)
-    glyphs = [g("A", 10, 100), g("b", 15, 100), g("c", 25, 101), g("V", 400, 50, False), g("t", 110, 205), g("z", 10, 300)]
-    grid = sections.Grid((100, 200, 300, 260), [["h", ""], ["m", "x(cid:12)"], [None, ""]], [[(100, 200, 200, 220), (200, 200, 300, 220)], [(100, 220, 200, 260), (200, 220, 300, 240)], [None, (200, 240, 300, 260)]])
-    lines = sections.page_lines(1, glyphs, [grid])
-    assert [(x.text, x.cells) for x in lines] == [("Ab c", None), ("", [["h", None], ["m", "x"], ["m", None]]), ("z", None)]
+def test_glyphs_to_lines(spark):
+    g = lambda t, x, top, up=True: (1, 1, t, float(x), x + 5.0, float(top), top + 10.0, 10.0, up)
+    glyphs = spark.createDataFrame([g("A", 10, 100), g("b", 15, 100), g("c", 25, 101), g("V", 400, 50, False), g("t", 110, 205), g("z", 10, 300), g("(cid:3)", 10, 400)], "page_id long, page int, text string, x0 double, x1 double, top double, bottom double, size double, upright boolean")
+    box = "struct<x0:double,top:double,x1:double,bottom:double>"
+    b = lambda *x: tuple(map(float, x))
+    boxes = [[b(100, 200, 200, 220), b(200, 200, 300, 220)], [b(100, 220, 200, 260), b(200, 220, 300, 240)], [None, b(200, 240, 300, 260)]]
+    grids = spark.createDataFrame([(1, 1, 100.0, 200.0, 300.0, 260.0, [["h", ""], ["m", "x(cid:12)"], [None, ""]], boxes)], f"page_id long, page int, x0 double, top double, x1 double, bottom double, text array<array<string>>, boxes array<array<{box}>>")
+    got = [(r.text, r.cells) for r in line_documents.glyph_lines(glyphs, grids).orderBy("top").collect()]
+    assert got == [("Ab c", None), ("", [["h", None], ["m", "x"], ["m", None]]), ("z", None)]
 
 
 def test_agent_check_columns(spark):

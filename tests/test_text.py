@@ -1,13 +1,12 @@
 import math
+import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratalith.functions import text, vectors
 from stratalith.functions.stemming import stem, stems
-from stratalith.operators.chunking import Settings, cut_section, recipe, tokens_of, units_of
+from stratalith.operators.chunking import Settings, chunk_sections, cut, recipe, units
 from stratalith.operators.sections import tidy
 
 
@@ -25,12 +24,14 @@ def test_clean(spark, raw, want):
 @pytest.mark.parametrize("n,want", [(0, 0), (1, 2), (297, 499), (298, 501)])
 def test_tokens(spark, n, want):
     t = " ".join(["w"] * n)
-    assert one(spark, t, text.estimate_tokens) == want == tokens_of(t)
+    assert one(spark, t, text.estimate_tokens) == want
 
 
 def test_sentences_and_slug_and_links(spark):
     assert one(spark, "One. Two! three? (Four) a. b", text.sentences) == ["One.", "Two! three?", "(Four) a. b"]
     assert one(spark, "https://h.example/a/Der%20Weg+x_1/", text.slug) == "der-weg-x-1"
+    assert one(spark, "https://h.example/a/Some%20Report%20-%202.3.PDF", text.slug) == "some-report-2-3"
+    assert one(spark, "https://h.example/", text.slug) == one(spark, "https://h.example", text.slug) == "index"
     assert one(spark, "https://h.example/a/F.PDF?x=1", text.is_pdf) is True
     for anchor, want in ((None, "u"), ("", "u"), ("x", "u#x")):
         assert one(spark, anchor, lambda c: text.citation_url(F.lit("u"), c)) == want
@@ -69,41 +70,40 @@ def test_cosine(spark):
         spark.createDataFrame([(e1, [1.0])], "a array<double>, b array<double>").select(vectors.cosine_distance(F.col("a"), F.col("b"))).collect()
 
 
-blocks = st.lists(st.lists(st.sampled_from(["One two three four five.", "Word ", "x " * 30, "row | cell", "\n", "Z. "]), min_size=1, max_size=40).map("".join).filter(str.strip), min_size=1, max_size=8)
-
-
-@settings(max_examples=40, deadline=None)
-@given(blocks)
-def test_chunks_hold_every_word_and_keep_their_size(bs):
-    s = Settings(60, 40, 8)
-    out = cut_section(bs, s)
-    units = list(units_of(bs, s.target_tokens))
-    total = sum(t for *_, t in units)
-    assert out == cut_section(bs, s)
-    if total <= s.max_tokens:
-        assert len(out) == 1
-    else:
-        goal = math.ceil(total / math.ceil(total / s.target_tokens))
-        largest = max(t for *_, t in units)
-        assert all(tokens_of(c) <= max(goal, largest) for c in out)
-    flat = [u for _, u, _ in units]
-    at = 0  # every chunk is a run of units: some of those before, then new ones
-    for c in out:
-        found = None
-        for lead in range(at, -1, -1):
-            for end in range(at + 1, len(flat) + 1):
-                if " ".join(" ".join(flat[lead:end]).split()) == " ".join(c.split()) and (found is None or end > found):
-                    found = end
-            if found:
-                break
-        assert found, c
-        at = found
-    assert at == len(flat)
-
-
-def test_a_long_sentence_is_cut_by_words():
-    out = cut_section([" ".join(f"w{i}" for i in range(600))])
-    assert all(tokens_of(c) <= 400 for c in out) and len(out) >= 3
+PARTS = ["One two three four five.", "Word ", "x " * 30, "row | cell", "\n", "Z. ", "Ünd so ", "(a) "]
+
+
+def test_chunks_hold_every_word_and_keep_their_size(spark):
+    rng, s = random.Random(8), Settings(60, 40, 8)
+    samples = [[b for b in ("".join(rng.choices(PARTS, k=rng.randrange(1, 40))) for _ in range(rng.randrange(1, 8))) if b.strip()] for _ in range(120)]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(samples)], "k int, b array<string>").select("k", "b", units(F.col("b"), s.target_tokens).alias("us"), cut(units(F.col("b"), s.target_tokens), s).alias("out")).collect()
+    tokens_of = lambda t: math.ceil(len(t.split()) * 1.68)
+    several = 0
+    for r in rows:
+        flat, total = [u.text for u in r.us], sum(u.tokens for u in r.us)
+        assert " ".join(flat).split() == " ".join(r.b).split()
+        goal = math.ceil(total / math.ceil(total / s.target_tokens)) if total > s.max_tokens else total
+        assert total > s.max_tokens or len(r.out) == 1
+        several += len(r.out) > 1
+        at = begin = 0  # chunks are runs of units: an end of the chunk before within the overlap, then as many as fit
+        for c in r.out:
+            lead = next(k for k in range(begin, at + 1) if sum(u.tokens for u in r.us[k:at]) <= s.overlap_tokens) if at else 0
+            if at and sum(u.tokens for u in r.us[lead : at + 1]) > goal:
+                lead = at
+            end = at + 1
+            while end < len(flat) and sum(u.tokens for u in r.us[lead : end + 1]) <= goal:
+                end += 1
+            assert c.split() == " ".join(flat[lead:end]).split() and tokens_of(c) <= max(goal, max(u.tokens for u in r.us))
+            begin, at = lead, end
+        assert at == len(flat)
+    assert several > 40
+
+
+def test_a_long_sentence_is_cut_by_words(spark):
+    page = spark.createDataFrame([(1, "u", "T", 0, ["T"], None, [" ".join(f"w{i}" for i in range(600))]), (1, "u", "T", 1, ["T", "A"], "a", ["x", None, ""]), (1, "u", "T", 2, ["T", "B"], "b", [])], "page_id long, url string, title string, position int, path array<string>, anchor string, blocks array<string>")
+    out = chunk_sections(page).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in out] == list(range(len(out))) and len(out) >= 4 and all(r.tokens <= 400 for r in out)
+    assert (out[-1].section, out[-1].anchor, out[-1].content) == ("T > A", "a", "x")
 
 
 def test_recipe_is_stable():
