@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.operators import chunking, index, lexical, sections
+from stratalith.session import cut_lineage
 from stratalith.sources import providers
 
 TABLES = ("documents", "chunks", "postings", "statistics", "frequencies")
@@ -41,13 +42,20 @@ def build(pages: DataFrame, out: str, provider: Callable[[list[str]], list[list[
     _write(new.select(F.xxhash64("url").alias("id"), "url", "title", "content_hash", "index_config", "fetched_at"), out, "documents")
     chunks = _read(spark, out, "chunks")
     table = lexical.lexeme_table(chunks)
-    posted = lexical.postings(table)
-    _write(posted, out, "postings")
+    words = cut_lineage(lexical.word_stems(lexical.vocabulary(table), True))
+    _write(lexical.postings(table, words), out, "postings")
     _write(lexical.corpus_statistics(table).join(index.fingerprint(chunks).select("fingerprint")), out, "statistics")
     _write(lexical.document_frequency(_read(spark, out, "postings")), out, "frequencies")
     return counts
 
 
+def search(spark: SparkSession, out: str, questions: DataFrame, k: int = 5) -> DataFrame:
+    """BM25 over a built index, from its stored postings."""
+    check_derived(spark, out)
+    tables = {name: _read(spark, out, name) for name in TABLES}
+    return lexical.stored_bm25(tables["postings"], tables["frequencies"], tables["statistics"], tables["chunks"], questions, k)
+
+
 def check_derived(spark: SparkSession, out: str) -> None:
     """Raises if the derived tables aren't those of the chunks."""
     if _read(spark, out, "statistics").first().fingerprint != index.fingerprint(_read(spark, out, "chunks")).first().fingerprint:

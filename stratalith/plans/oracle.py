@@ -23,17 +23,71 @@ def _terms(c: str) -> str:
 _MARKERS = rf"'\[[{_SPACE}]*\d{{1,3}}(?:[{_SPACE}]*[,–-][{_SPACE}]*\d{{1,3}})*[{_SPACE}]*\]'"
 _CLEAN = rf"""regexp_replace(regexp_replace({_squeeze(f"regexp_replace(text, {_MARKERS}, '', 'g')")}, ' +([,.;:!?)\]])', '\1', 'g'), '([(\[]) +', '\1', 'g')"""
 
+# Porter's stemmer, step by step over the distinct words; y after a consonant counts as a vowel.
+_RULES2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+_RULES3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
+_RULES4 = "al: ance: ence: er: ic: able: ible: ant: ement: ment: ent: ion: ou: ism: ate: iti: ous: ive: ize:"
+
+
+def _form(w: str) -> str:
+    return f"regexp_replace({w}, '([^aeiouy])y', '\\1i', 'g')"
+
+
+def _several(w: str, more: bool = False) -> str:
+    return f"regexp_matches({_form(w)}, '[aeiou][^aeiou]{'+[aeiou]+[^aeiou]' if more else ''}')"
+
+
+def _short(w: str) -> str:
+    return f"regexp_matches({_form(w)}, '[^aeiou][aeiou][^aeiouwxy]$')"
+
+
+def _suffixes(rules: str, more: bool) -> str:
+    out = []
+    for rule in sorted(rules.split(), key=lambda r: -len(r.split(":")[0])):
+        suffix, to = rule.split(":")
+        cut = f"left(w, len(w) - {len(suffix)})"
+        extra = f" AND regexp_matches({cut}, '[st]$')" if suffix == "ion" else ""
+        out.append(f"WHEN suffix(w, '{suffix}') THEN CASE WHEN {_several(cut, more)}{extra} THEN {cut} || '{to}' ELSE w END")
+    return "CASE " + " ".join(out) + " ELSE w END"
+
+
+def _cut(n: int) -> str:
+    return f"left(w, len(w) - {n})"
+
+
+_VOWEL = "regexp_matches({0}, '[aeiou]')"
+_DOUBLE = "(len(w) > 1 AND right(w, 1) = substr(w, len(w) - 1, 1) AND NOT regexp_matches(right(w, 1), '[aeiou]'))"
+_STEMS = f"""
+p0 AS (SELECT lexeme, lexeme AS w FROM words WHERE regexp_full_match(lexeme, '[a-z]{{3,}}')),
+p1 AS (SELECT lexeme, CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {_cut(2)} WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN {_cut(1)} ELSE w END AS w FROM p0),
+p2 AS (SELECT lexeme, CASE WHEN suffix(w, 'eed') THEN CASE WHEN {_several(_cut(3))} THEN {_cut(1)} ELSE w END WHEN suffix(w, 'ed') THEN CASE WHEN {_VOWEL.format(_form(_cut(2)))} THEN {_cut(2)} ELSE w END
+  WHEN suffix(w, 'ing') AND {_VOWEL.format(_form(_cut(3)))} THEN {_cut(3)} ELSE w END AS w, w AS b FROM p1),
+p3 AS (SELECT lexeme, CASE WHEN w = b OR suffix(b, 'eed') THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN {_DOUBLE} AND NOT regexp_matches(w, '[lsz]$') THEN {_cut(1)}
+  WHEN {_several('w')} AND NOT {_several('w', True)} AND {_short('w')} THEN w || 'e' ELSE w END AS w FROM p2),
+p4 AS (SELECT lexeme, CASE WHEN suffix(w, 'y') AND {_VOWEL.format(_form(_cut(1)))} THEN {_cut(1)} || 'i' ELSE w END AS w FROM p3),
+p5 AS (SELECT lexeme, {_suffixes(_RULES2, False)} AS w FROM p4),
+p6 AS (SELECT lexeme, {_suffixes(_RULES3, False)} AS w FROM p5),
+p7 AS (SELECT lexeme, {_suffixes(_RULES4, True)} AS w FROM p6),
+p8 AS (SELECT lexeme, CASE WHEN suffix(w, 'e') AND ({_several(_cut(1), True)} OR {_several(_cut(1))} AND NOT {_short(_cut(1))}) THEN {_cut(1)} ELSE w END AS w FROM p7),
+p9 AS (SELECT lexeme, CASE WHEN {_several('w', True)} AND {_DOUBLE} AND suffix(w, 'l') THEN {_cut(1)} ELSE w END AS w FROM p8),
+stems AS (SELECT words.lexeme AS lexeme, coalesce(p9.w, words.lexeme) AS stem FROM words LEFT JOIN p9 ON p9.lexeme = words.lexeme)"""
+
 _LEX = f"""
 lex AS (SELECT id, section, chunk_index, list_filter({_terms("coalesce(section, '') || chr(10) || chr(10) || coalesce(content, '')")}, lambda t: NOT list_contains({_STOP}, t)) AS ls FROM chunks),
 corpus AS (SELECT count(*) AS n, avg(CASE WHEN len(ls) > 0 THEN len(ls) END) AS avg_len FROM lex)"""
 
 
-def _asked(source: str) -> str:
-    return f"asked AS (SELECT DISTINCT qid, lexeme FROM (SELECT id AS qid, unnest(list_filter({_terms('question')}, lambda t: NOT list_contains({_STOP}, t))) AS lexeme FROM ({source})))"
+def _asked(source: str, stemmed: bool = True) -> str:
+    """CTEs asked and hits: lexemes of the questions, and their counts in the chunks."""
+    own = f"SELECT id AS qid, unnest(list_filter({_terms('question')}, lambda t: NOT list_contains({_STOP}, t))) AS lexeme FROM ({source})"
+    if not stemmed:
+        return f"asked AS (SELECT DISTINCT qid, lexeme FROM ({own})), tokens AS (SELECT id, unnest(ls) AS lexeme FROM lex)"
+    return f"""raw AS ({own}), every AS (SELECT id, unnest(ls) AS lexeme FROM lex), words AS (SELECT lexeme FROM raw UNION SELECT lexeme FROM every), {_STEMS},
+asked AS (SELECT DISTINCT qid, stem AS lexeme FROM raw JOIN stems USING (lexeme)), tokens AS (SELECT id, stem AS lexeme FROM every JOIN stems USING (lexeme))"""
 
 
 _MATCH = """
-hits AS (SELECT id, lexeme, count(*) AS tf FROM (SELECT id, unnest(ls) AS lexeme FROM lex) WHERE lexeme IN (SELECT lexeme FROM asked) GROUP BY ALL),
+hits AS (SELECT id, lexeme, count(*) AS tf FROM tokens WHERE lexeme IN (SELECT lexeme FROM asked) GROUP BY ALL),
 df AS (SELECT lexeme, count(*) AS df FROM hits GROUP BY lexeme)"""
 
 _BM25 = """
@@ -44,6 +98,7 @@ _TF = "scores AS (SELECT qid, h.id AS id, round(sum(ln(1 + CAST(tf AS DOUBLE))),
 _TOP = "ranked AS (SELECT qid, scores.id AS id, score, section, chunk_index, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section, chunk_index, scores.id) AS rank FROM scores JOIN lex USING (id))"
 _QUESTIONS = "SELECT id, question FROM eval_questions"
 _LEXICAL = f"WITH {_LEX}, {_asked(_QUESTIONS)}, {_MATCH}, {_BM25}, {_TOP}"
+_UNSTEMMED = f"WITH {_LEX}, {_asked(_QUESTIONS, False)}, {_MATCH}, {_BM25}, {_TOP}"
 _FREQUENCY = f"WITH {_LEX}, {_asked(_QUESTIONS)}, {_MATCH}, {_TF}, {_TOP}"
 _OUT = "SELECT qid, rank, CAST(id AS BIGINT) AS id, score FROM {0} WHERE rank <= {1}"
 
@@ -105,6 +160,8 @@ ORACLE: dict[str, str] = {
     "split_sections": "SELECT CAST(document_id AS BIGINT) AS document_id, section, count(*) AS chunks FROM chunks GROUP BY ALL HAVING count(*) > 1",
     "chunk_numbering": "SELECT CAST(id AS BIGINT) AS id, row_number() OVER w - 1 AS number, row_number() OVER w - 1 = chunk_index AS same FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)",
     "bm25_topk": _LEXICAL + _OUT.format("ranked", 5),
+    "bm25_topk_unstemmed": _UNSTEMMED + _OUT.format("ranked", 5),
+    "stem_classes": f"WITH {_LEX}, words AS (SELECT DISTINCT unnest(ls) AS lexeme FROM lex), {_STEMS} SELECT stem, count(*) AS words FROM stems GROUP BY stem",
     "bm25_doc_freq": f"WITH {_LEX}, {_asked(_QUESTIONS)}, {_MATCH} SELECT lexeme, df FROM df",
     "corpus_stats": f"WITH {_LEX} SELECT n, round(avg_len, 6) AS avg_len FROM corpus",
     "tf_rank_topk": _FREQUENCY + _OUT.format("ranked", 5),
@@ -115,8 +172,8 @@ ORACLE: dict[str, str] = {
     "shared_ranks": _FREQUENCY + ", cut AS (SELECT * FROM ranked WHERE rank <= 40) SELECT qid, CAST(id AS BIGINT) AS id, rank() OVER (PARTITION BY qid ORDER BY score DESC) AS shared FROM cut",
     "rrf_hybrid": _fused(True),
     "rrf_hybrid_native": _fused(False),
-    "rerank_top20": _LEXICAL + """, few AS (SELECT * FROM ranked WHERE rank <= 20), ask AS (SELECT qid, count(*) AS n FROM asked GROUP BY qid),
-      again AS (SELECT few.qid AS qid, few.id AS id, few.rank AS before, round(count(h.lexeme)::DOUBLE / ask.n, 6) AS score FROM few JOIN ask ON ask.qid = few.qid JOIN asked a ON a.qid = few.qid LEFT JOIN hits h ON h.id = few.id AND h.lexeme = a.lexeme GROUP BY few.qid, few.id, few.rank, ask.n),
+    "rerank_top20": _LEXICAL + """, few AS (SELECT * FROM ranked WHERE rank <= 20), plain AS (SELECT DISTINCT qid, lexeme FROM raw), held AS (SELECT DISTINCT id, lexeme FROM every), ask AS (SELECT qid, count(*) AS n FROM plain GROUP BY qid),
+      again AS (SELECT few.qid AS qid, few.id AS id, few.rank AS before, round(count(h.lexeme)::DOUBLE / ask.n, 6) AS score FROM few JOIN ask ON ask.qid = few.qid JOIN plain a ON a.qid = few.qid LEFT JOIN held h ON h.id = few.id AND h.lexeme = a.lexeme GROUP BY few.qid, few.id, few.rank, ask.n),
       o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM again)""" + _OUT.format("o", 5),
     "relevance_log_odds": f"""WITH t AS (SELECT id, {_terms('content')} AS t FROM chunks),
       n AS (SELECT id, len(t) + 1.0::DOUBLE AS n, len(list_filter(t, lambda x: x = 'the')) AS y, len(list_filter(t, lambda x: x = 'de')) AS o, len(list_filter(t, lambda x: x = 'and')) AS a FROM t),

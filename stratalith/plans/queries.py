@@ -185,14 +185,13 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def bm25_topk_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(lexical.bm25(table(spark, d, "chunks"), _questions(spark, d), stemmed=True))
+def bm25_topk_unstemmed(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(lexical.bm25(table(spark, d, "chunks"), _questions(spark, d), stemmed=False))
 
 
 @query
 def bm25_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    asked = lexical.question_terms(_questions(spark, d)).select("lexeme").distinct()
-    return lexical.document_frequency(lexical.postings(lexical.lexeme_table(table(spark, d, "chunks")), asked))
+    return lexical.document_frequency(lexical.matches(table(spark, d, "chunks"), lexical.question_terms(_questions(spark, d)))[0])
 
 
 @query
@@ -252,7 +251,7 @@ def rerank_top20(spark: SparkSession, d: str) -> DataFrame:
     chunks, asked = table(spark, d, "chunks"), _questions(spark, d)
 
     def scorer(ranked: DataFrame) -> DataFrame:
-        q = lexical.question_terms(asked)
+        q = lexical.question_terms(asked, stemmed=False)
         held = lexical.lexeme_table(chunks).select("id", F.array_distinct("lexemes").alias("held"))
         rows = ranked.select("qid", "id").join(held, "id").join(q.groupBy("qid").agg(F.collect_list("lexeme").alias("asked")), "qid")
         return rows.select("qid", "id", F.round(F.size(F.array_intersect("asked", "held")) / F.size("asked"), 6).alias("score"))
