@@ -65,7 +65,18 @@ def misses(firsts: DataFrame, k: int = 5) -> DataFrame:
     return firsts.where(F.col("first").isNull() | (F.col("first") > k)).select("qid", "first")
 
 
-CHECKS = ("tools", "arguments", "place", "passages", "citations", "answered")
+def dangling_questions(agent: DataFrame, questions: DataFrame) -> DataFrame:
+    """(id, label): agent questions whose label question doesn't exist. agent: (id, labels), labels may be null."""
+    asked = agent.where("labels is not null").select("id", F.col("labels").alias("label"))
+    return asked.join(questions.select(F.col("id").alias("label")).distinct(), "label", "left_anti").select("id", "label")
+
+
+def with_labels(agent: DataFrame, questions: DataFrame) -> DataFrame:
+    """Agent questions with the relevant (section, url) pairs of their label question, null where it has none."""
+    return agent.join(questions.select(F.col("id").alias("labels"), "relevant"), "labels", "left")
+
+
+CHECKS = ("tools_ok", "arguments_ok", "place_ok", "passages_ok", "citations_ok", "answered_ok")
 
 
 def accepted(value: Column, allowed: Column) -> Column:
@@ -84,7 +95,7 @@ def in_box(lon: Column, lat: Column, box: Column) -> Column:
 
 
 def agent_checks(runs: DataFrame) -> DataFrame:
-    """Adds the six checks to runs; null where one doesn't apply.
+    """Adds the six CHECKS to runs; null where one doesn't apply.
 
     Columns: expected_tools, called_tools ARRAY<STRING>; arguments, allowed MAP<STRING, ...> (values, and accepted values
     by argument; null allowed: no catalogue call is expected); lon, lat and box; passages and relevant ARRAY<STRING>
@@ -95,12 +106,12 @@ def agent_checks(runs: DataFrame) -> DataFrame:
     cited = F.coalesce(F.size("cited") > 0, F.lit(False))
     return runs.withColumns(
         {
-            "tools": same_set(F.col("called_tools"), F.col("expected_tools")),
+            "tools_ok": same_set(F.col("called_tools"), F.col("expected_tools")),
             "arguments_ok": F.when(F.col("allowed").isNotNull(), F.coalesce(right, F.lit(False))),
-            "place": F.when(F.col("lon").isNotNull(), F.coalesce(in_box(F.col("lon"), F.col("lat"), F.col("box")), F.lit(False))),
-            "found": F.when(docs, F.coalesce(F.arrays_overlap("passages", "relevant"), F.lit(False))),
-            "citations": F.when(docs, cited & F.forall("cited", lambda n: (n >= 1) & (n <= F.size("passages")))),
-            "answered": F.when(F.col("answerable"), F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0),
+            "place_ok": F.when(F.col("lon").isNotNull(), F.coalesce(in_box(F.col("lon"), F.col("lat"), F.col("box")), F.lit(False))),
+            "passages_ok": F.when(docs, F.coalesce(F.arrays_overlap("passages", "relevant"), F.lit(False))),
+            "citations_ok": F.when(docs, cited & F.forall("cited", lambda n: (n >= 1) & (n <= F.size("passages")))),
+            "answered_ok": F.when(F.col("answerable"), F.length(F.trim(F.coalesce("answer", F.lit("")))) > 0),
         }
     )
 

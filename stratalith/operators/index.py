@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 1_000
+DIGITS = (6, 3)
 
 
 def newest(files: DataFrame, key: str = "url", at: str = "fetched_at") -> DataFrame:
@@ -35,17 +35,17 @@ def replace_pages(chunks: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataF
 
 
 def fingerprint(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row (n, fingerprint): the count and a digest of the ids in order.
+    """One row (n, fingerprint): the count and a digest of the set of ids.
 
-    Ids are digested in ranges of 1,000 and the digests in order of range in ranges again, so no task ever holds the
-    ids of more than a few thousand rows of a table of 10**9.
+    Ids are digested in order within buckets of their MD5's first six hexadecimal digits, buckets within their first
+    three, and those as a whole. However ids are distributed, no group holds more than a few thousand entries for 10**10
+    rows.
     """
-    level = rows.select(F.floor(F.col(id_col) / BUCKET).cast("long").alias("b"), F.col(id_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("o"), F.lit(1).cast("long").alias("n"))
-    for _ in range(2):
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), ",")
-        level = level.groupBy("b").agg(F.md5(text).alias("t"), F.sum("n").alias("n"))
-        level = level.select(F.floor(F.col("b") / BUCKET).cast("long").alias("b"), "t", F.col("b").alias("o"), "n")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), ",")
+    i = F.col(id_col).cast("string")
+    level = rows.where(F.col(id_col).isNotNull()).select(F.md5(i).alias("o"), i.alias("t"), F.lit(1).cast("long").alias("n"))
+    for digits in DIGITS:
+        level = level.groupBy(F.substring("o", 1, digits).alias("b")).agg(F.md5(text).alias("t"), F.sum("n").alias("n")).withColumnRenamed("b", "o")
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.md5(text).alias("fingerprint"))
 
 

@@ -170,6 +170,23 @@ def retrieve(chunks: DataFrame, questions: DataFrame, queries: DataFrame | None
     return rerank(out, scorer(out), k) if scorer else out
 
 
+def check_backend(backend: str, method: str, index: DataFrame, copy: DataFrame | None) -> DataFrame:
+    """The table to search: the index, or its copy in another engine if that is in step. Raises where the method needs
+    the copy, where there is none, and where it is stale."""
+    from stratalith.operators.index import check_in_step
+
+    if backend not in ("tables", "engine"):
+        raise ValueError(f"unknown backend {backend!r}")
+    if method == "hybrid-native" and backend != "engine":
+        raise ValueError("hybrid-native is the engine's")
+    if backend == "tables":
+        return index
+    if copy is None:
+        raise RuntimeError("the engine has no copy; load it first")
+    check_in_step(index, copy)
+    return copy
+
+
 def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, bucket: float = 0.6, tables: int = 8, reach: float = 0.7) -> DataFrame:
     """Approximate k nearest chunks: random projections propose candidates within ``reach`` (Euclidean distance of
     unit vectors), which are ranked exactly. Recall is measured by ``recall`` against ``vector``."""

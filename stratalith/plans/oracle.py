@@ -151,9 +151,9 @@ ORACLE: dict[str, str] = {
     "content_hash_dupes": "SELECT sha256(content) AS hash, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1",
     "debris_lines": f"""SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
       WHERE NOT regexp_matches(line, '[A-Za-z]{{3,}}') OR len({_words('line')}) >= 6 AND len(list_filter({_words('line')}, lambda w: len(w) = 1)) * 2 >= len({_words('line')}) GROUP BY doc_id""",
-    "repeated_lines": rf"""WITH k AS (SELECT DISTINCT document_id, id, regexp_replace({_squeeze('line')}, '\d+', '#', 'g') AS key FROM (SELECT document_id, id, unnest(string_split(content, chr(10))) AS line FROM chunks)),
-      n AS (SELECT document_id, count(*) AS pages FROM chunks GROUP BY 1), c AS (SELECT document_id, key, count(*) AS n FROM k WHERE key <> '' GROUP BY ALL)
-      SELECT CAST(document_id AS BIGINT) AS document_id, key, c.n AS n FROM c JOIN n USING (document_id) WHERE c.n >= greatest(3, 0.5 * pages)""",
+    "repeated_lines": rf"""WITH k AS (SELECT DISTINCT source, doc_id, regexp_replace({_squeeze('line')}, '\d+', '#', 'g') AS key FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+      n AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1), c AS (SELECT source, key, count(*) AS n FROM k WHERE key <> '' GROUP BY ALL)
+      SELECT source, key, c.n AS n FROM c JOIN n USING (source) WHERE c.n >= greatest(3, 0.1 * pages)""",
     "vocabulary": "SELECT CAST(document_id AS BIGINT) AS document_id, count(DISTINCT w) AS words FROM (SELECT document_id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS w FROM chunks) GROUP BY 1",
     "chunk_stats": f"WITH t AS (SELECT ceil(len({_words('content')}) * 1.68::DOUBLE) AS t FROM chunks) SELECT count(*) AS chunks, round(avg(t), 6) AS mean, round(median(t), 6) AS median, min(t) AS least, max(t) AS most FROM t",
     "ingest_stats": f"SELECT url, count(DISTINCT section) AS sections, count(*) AS chunks, CAST(sum(len({_words('content')})) AS BIGINT) AS words FROM chunks c JOIN index_documents d ON d.id = c.document_id GROUP BY url",
@@ -188,14 +188,15 @@ ORACLE: dict[str, str] = {
     "removed_pages_anti": "SELECT url FROM index_documents d WHERE NOT EXISTS (SELECT 1 FROM chunk_files f WHERE f.url = d.url)",
     "replaced_chunks": f"""WITH {_NEW}, x AS (SELECT d.url AS url, count(*) AS chunks FROM chunks c JOIN index_documents d ON d.id = c.document_id WHERE NOT EXISTS (SELECT 1 FROM fresh WHERE fresh.url = d.url AND len(fresh.chunks) > 0) GROUP BY 1
       UNION ALL SELECT url, len(chunks) AS chunks FROM fresh WHERE len(chunks) > 0) SELECT url, chunks FROM x""",
-    "fingerprint": """WITH a AS (SELECT id // 1000 AS b, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id)) AS t, count(*) AS n FROM chunks GROUP BY 1),
-      b AS (SELECT b // 1000 AS b, md5(string_agg(t, ',' ORDER BY b)) AS t, sum(n) AS n FROM a GROUP BY 1)
-      SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, md5(coalesce(string_agg(t, ',' ORDER BY b), '')) AS fingerprint FROM b""",
+    "fingerprint": """WITH i AS (SELECT CAST(id AS VARCHAR) AS t, md5(CAST(id AS VARCHAR)) AS o FROM chunks),
+      a AS (SELECT left(o, 6) AS o, md5(string_agg(t, ',' ORDER BY o, t)) AS t, count(*) AS n FROM i GROUP BY 1),
+      b AS (SELECT left(o, 3) AS o, md5(string_agg(t, ',' ORDER BY o, t)) AS t, sum(n) AS n FROM a GROUP BY 1)
+      SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, md5(coalesce(string_agg(t, ',' ORDER BY o), '')) AS fingerprint FROM b""",
     "totals": "SELECT (SELECT count(*) FROM index_documents) AS documents, (SELECT count(*) FROM chunks) AS chunks",
     "duplicate_keys": "SELECT url, count(*) AS n FROM chunk_files GROUP BY url HAVING count(*) > 1",
     "orphan_chunks": "SELECT count(*) AS orphans FROM chunks WHERE document_id NOT IN (SELECT id FROM index_documents)",
     "full_export": "SELECT CAST(c.id AS BIGINT) AS id, url, title, CAST(chunk_index AS BIGINT) AS chunk_index, md5(coalesce(section, '') || chr(10) || chr(10) || coalesce(content, '')) AS digest FROM chunks c JOIN index_documents d ON d.id = c.document_id",
-    "label_validation_anti": f"WITH {_LABELS} SELECT qid, url, section FROM labels l WHERE NOT EXISTS (SELECT 1 FROM chunks c JOIN index_documents d ON d.id = c.document_id WHERE d.url = l.url AND c.section = l.section)",
+    "label_validation_anti": f"WITH {_LABELS} SELECT qid, url, section FROM labels l WHERE NOT EXISTS (SELECT 1 FROM chunks c JOIN index_documents d ON d.id = c.document_id JOIN chunk_files f ON f.url = d.url WHERE d.url = l.url AND c.section = l.section)",
     "first_relevant_rank": _FIRSTS + " SELECT qid, first FROM firsts",
     "hit_at_k": _FIRSTS + f", m AS (SELECT {_METRICS} FROM firsts) SELECT questions, hit_1, hit_3, hit_5, hit_10 FROM m",
     "mrr_at_k": _FIRSTS + f", m AS (SELECT {_METRICS} FROM firsts) SELECT questions, mrr FROM m",

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def table(df: DataFrame, rows: int = 50) -> str:
-    """The first rows as aligned columns."""
-    head = [df.columns] + [["-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(rows).collect()]
+def table(df: DataFrame, rows: int = 1_000) -> str:
+    """Rows as aligned columns; what is beyond ``rows`` is counted at the end."""
+    got = df.limit(rows + 1).collect()
+    head = [df.columns] + [["-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in got[:rows]]
     width = [max(len(r[c]) for r in head) for c in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in head)
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in head]
+    return "\n".join(lines + ([f"... and {df.count() - rows} more"] if len(got) > rows else []))
 
 
 def ingest(statistics: DataFrame, summary: DataFrame) -> str:
@@ -30,4 +32,13 @@ def evaluation(grouped: DataFrame, missed: DataFrame) -> str:
 
 def sources(cited: DataFrame) -> str:
     """Cited sections with their numbers, in order of the first."""
-    return "\n".join(f"[{r.numbers}] {r.section} {r.url}" for r in cited.orderBy("first").limit(50).collect())
+    return "\n".join(f"[{r.numbers}] {r.section} {r.url}" for r in cited.orderBy("first").toLocalIterator())
+
+
+def agent(rates: DataFrame, checked: DataFrame, checks: tuple[str, ...]) -> str:
+    """Rates of the checks by set, then the runs that fail one, with what they fail."""
+    from pyspark.sql import functions as F
+
+    failed = F.array_join(F.array_compact(F.array(*(F.when(~F.col(c), F.lit(c.removesuffix("_ok"))) for c in checks))), ", ")
+    bad = checked.select("id", failed.alias("fails")).where("fails <> ''")
+    return f"{table(rates.orderBy('group', 'check'))}\n\nFailed:\n{table(bad.orderBy('id'))}"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,33 @@ def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
     return bodies.select(F.regexp_extract("path", r"([^/]+)\.body$", 1).alias("name"), "content").join(meta, "name").select("url", "fetched_at", "content")
 
 
+def fetch_page(url: str, folder: str, fetch: Callable[[str], bytes], now: Callable[[], str], refresh: bool = False) -> tuple[bytes, str, bool]:
+    """(content, fetched_at, from_cache) of a page: from the cache folder unless it lacks the page or ``refresh`` asks
+    for it anew; what is fetched is written through, body first, each file in one step."""
+    name = hashlib.sha256(url.encode()).hexdigest()[:40]
+    body, meta = os.path.join(folder, f"{name}.body"), os.path.join(folder, f"{name}.json")
+    if not refresh and os.path.exists(meta) and os.path.exists(body):
+        with open(meta) as m, open(body, "rb") as b:
+            return b.read(), json.load(m)["fetched_at"], True
+    content, at = fetch(url), now()
+    os.makedirs(folder, exist_ok=True)
+    for path, data in ((body, content), (meta, json.dumps({"url": url, "fetched_at": at}).encode())):
+        with open(path + ".part", "wb") as f:
+            f.write(data)
+        os.replace(path + ".part", path)
+    return content, at, False
+
+
+def agent_question_list(spark: SparkSession, path: str) -> DataFrame:
+    """Agent questions of a YAML list: (id, set, question, labels, expected_tools, allowed, answerable)."""
+    import yaml
+
+    with open(path) as f:
+        rows = yaml.safe_load(f) or []
+    kind = "id string, set string, question string, labels string, expected_tools array<string>, allowed map<string,array<string>>, answerable boolean"
+    return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in kind.split(", ")) for r in rows], kind)
+
+
 def write_chunk_files(chunks: DataFrame, path: str) -> None:
     """One JSON record a page, replacing what was there."""
     chunks.write.mode("overwrite").json(path)

@@ -55,6 +55,31 @@ def scorer(questions: DataFrame, chunks: DataFrame, provider: Callable[[list[str
     return score
 
 
+def model_digest(name: str, models: list[dict]) -> str:
+    """The digest of a model in a server's list of {"name", "digest"}; a name without tag means its latest."""
+    for m in models:
+        if m.get("name") in (name, f"{name}:latest"):
+            return m["digest"]
+    raise ValueError(f"no model {name}; pull it first")
+
+
+def translate(questions: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
+    """(id, english) of the questions that aren't English, by a provider of translations for batches of texts.
+
+    Answers are tidied of white space and quotes around them; an empty one leaves the question as it is.
+    """
+    rows = questions.where("lower(lang) <> 'en' and question is not null").select("id", "question")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            got = provider(b["question"].tolist()) if len(b) else []
+            if len(got) != len(b):
+                raise ValueError(f"{len(got)} translations for {len(b)} questions")
+            yield pd.DataFrame({"id": b["id"], "english": [" ".join(t.split()).strip("\"'“”«»") or None for t in got]})
+
+    return rows.mapInPandas(run, rows.select("id").schema.add("english", T.StringType()))
+
+
 def translated(questions: DataFrame, translations: DataFrame) -> DataFrame:
     """Questions in English: English ones stay; others take their translation (id, english) unless it is missing."""
     t = translations.select("id", "english")

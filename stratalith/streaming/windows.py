@@ -19,8 +19,18 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return g.select(F.col("window.start").alias("start"), "event_type", "events", "value")
 
 
-def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is available and gives the result as a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def to_files(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs an aggregating stream over what is available and gives the newest row of each key.
+
+    Every batch writes the rows it changed as files of their own under its number, so a repeated batch replaces itself
+    and nothing is held on the driver.
+    """
+    names = stream.columns
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(path)
+    newest = F.max_by(F.struct(*(c for c in names if c not in keys)), "batch").alias("x")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "x.*").select(*names)

@@ -191,6 +191,9 @@ def test_incremental_index(spark):
     fresh = spark.createDataFrame([("text", 9)], "url string, n int")
     assert sorted(map(tuple, index.replace_pages(chunks, fresh, index.removed(old, new)).collect())) == [("same", 0), ("text", 9)]
     ids = spark.range(2500)
+    hashed = spark.range(3000).select(F.xxhash64("id").alias("id"))
+    index.check_in_step(hashed, hashed.orderBy("id"))
+    assert index.fingerprint(hashed).first().n == 3000 and index.fingerprint(hashed).first() != index.fingerprint(hashed.where("id > 0")).first()
     index.check_in_step(ids, ids.repartition(7))
     with pytest.raises(RuntimeError, match="stale"):
         index.check_in_step(ids, ids.where("id <> 77"))
@@ -335,8 +338,10 @@ def test_glyphs_to_lines(spark):
 def test_agent_check_columns(spark):
     kind = "expected_tools array<string>, called_tools array<string>, arguments map<string,string>, allowed map<string,array<string>>, lon double, lat double, box array<double>, passages array<string>, relevant array<string>, answer string, cited array<int>, answerable boolean"
     r = spark.createDataFrame([(["a"], ["a", "a"], {"m": "IW"}, {"m": ["IW", "EW"], "o": []}, 5.0, 5.0, [0.0, 0.0, 5.0, 5.0], ["p", "q"], ["q"], "yes", [1, 2], True), (["a"], [], None, None, None, None, None, ["p"], ["q"], " ", [3], True), (["a"], ["a"], {}, {"m": ["IW"]}, 9.0, 5.0, [0.0, 0.0, 5.0, 5.0], None, None, None, None, False)], kind)
-    got = [tuple(x) for x in evaluation.agent_checks(r).select("tools", "arguments_ok", "place", "found", "citations", "answered").collect()]
+    got = [tuple(x) for x in evaluation.agent_checks(r).select(*evaluation.CHECKS).collect()]
     assert got == [(True, True, True, True, True, True), (False, None, None, False, False, False), (True, False, False, None, None, None)]
+    rates = {(x.group, x.check): (x.passed, x.of) for x in evaluation.check_rates(evaluation.agent_checks(r.withColumn("set", F.lit("s")))).collect()}
+    assert rates[("all", "tools_ok")] == (2, 3) and rates[("s", "arguments_ok")] == (1, 2) and rates[("all", "pass")] == (1, 3)
 
 
 def test_build_and_update(spark, tmp_path):
@@ -356,7 +361,75 @@ def test_build_and_update(spark, tmp_path):
     assert chunks.groupBy("url").count().count() == 2 and chunks.count() == 10
     assert run(pages("one", "TWO"), "other") == {"changed": 2}
     build.check_derived(spark, out)
+    q = spark.createDataFrame([("q", "deep inline two")], "id string, question string")
+    stored = [(r.rank, r.id, r.score) for r in build.search(spark, out, q).orderBy("rank").collect()]
+    assert stored and stored == [(r.rank, r.id, r.score) for r in lexical.bm25(chunks, q).orderBy("rank").collect()]
     assert build._read(spark, out, "frequencies").where("lexeme = 'two'").first().df >= 1
     assert "2 changed" in reports.index({"changed": 2}, 2, 10) and not calls
     stats = chunking.ingest_statistics(chunks)
     assert "10 chunks" in reports.ingest(stats, chunking.size_summary(chunks, F.length("content")))
+
+
+def test_protocol(spark, chunks, documents):
+    from stratalith.plans.agent import protocol_check, serve
+
+    box = Toolbox(chunks, documents, table(spark, SMALL, "scenes"), dt.date(2023, 3, 1))
+    checks = protocol_check(lambda r: serve_call(box, r))
+    assert len(checks) == 11 and all(ok for _, ok in checks), checks
+    out = []
+    serve(box, ['{"jsonrpc": "2.0", "id": 1, "method": "ping"}\n', "\n", "no json\n", '{"method": "x"}\n', "[]\n"], out.append)
+    assert [json.loads(x).get("error", {}).get("code") for x in out] == [None, -32700, -32600]
+
+
+def test_scene_tool_with_place_and_product(spark, chunks, documents):
+    scenes = table(spark, SMALL, "scenes").withColumn("product", F.lit(catalogue.PRODUCTS[0])).withColumns({c: F.lit(v) for c, v in (("west", 0.0), ("south", 0.0), ("east", 1.0), ("north", 1.0))})
+    places = {"Hut": catalogue.Place("Hut", "house", 0.1, 0.1, 0.104, 0.103), "Far": catalogue.Place("Far", "city", 50.0, 50.0, 51.0, 51.0)}
+    box = Toolbox(chunks, documents, scenes, dt.date(2026, 3, 1), geocode=places.get)
+    assert box.call("search_scenes", {"days": 4000, "place": "Nowhere"}) == "Error: no place is called Nowhere"
+    assert "below 1 km" in box.call("search_scenes", {"days": 4000, "place": "Hut"})
+    assert box.call("search_scenes", {"days": 4000, "place": "Hut", "product": catalogue.PRODUCTS[0]}).startswith("Found over Hut") and box.structured["scenes"]
+    assert box.call("search_scenes", {"days": 4000, "place": "Far"}) == "No scenes found." and box.call("search_scenes", {"days": 4000, "product": "x"}).startswith("Error: product")
+
+
+def test_search_docs_by_both_halves_and_reranker(spark, chunks, documents):
+    box = Toolbox(chunks, documents, table(spark, SMALL, "scenes"), dt.date(2023, 3, 1), embed=lambda ts: [[0.0, 0.0, 1.0]] * len(ts), scorer=lambda q, c: providers.scorer(q, c, lambda ps: [{"yes": -0.1, "no": -5.0} if "wide" in p else {"yes": -5.0, "no": -0.1} for p in ps]))
+    assert box.call("search_docs", {"query": "noise"}).startswith("[1] Mode")
+    assert box.structured["passages"][0]["url"] == "https://h.example/b.pdf"
+
+
+def test_write_through_caches(spark, tmp_path):
+    asked = []
+    fetch = lambda u: asked.append(u) or b"body"
+    get = lambda **k: files.fetch_page("https://h.example/x", str(tmp_path / "c"), fetch, lambda: "t", **k)
+    assert get() == (b"body", "t", False) and get() == (b"body", "t", True) and get(refresh=True)[2] is False and len(asked) == 2
+    assert files.cached_pages(spark, str(tmp_path / "c")).first().url == "https://h.example/x"
+    looked = []
+    cache = catalogues.PlaceCache(str(tmp_path / "p.json"), lambda n: looked.append(n))
+    assert cache("No  Where") is None and cache("no where") is None and looked == ["No  Where"]
+    again = catalogues.PlaceCache(str(tmp_path / "p.json"), lambda n: 1 / 0)
+    assert again("NO WHERE") is None
+
+
+def test_models_translation_and_backend(spark, chunks):
+    assert providers.model_digest("m", [{"name": "x", "digest": "1"}, {"name": "m:latest", "digest": "2"}]) == "2"
+    with pytest.raises(ValueError):
+        providers.model_digest("m", [])
+    q = spark.createDataFrame([("a", "es", "ruido"), ("b", "en", "noise"), ("c", "de", "x"), ("d", "fr", None)], "id string, lang string, question string")
+    t = providers.translate(q, lambda ts: [f' "{x} in English" ' if x != "x" else " " for x in ts])
+    assert {r.id: r.question for r in providers.translated(q, t).collect()} == {"a": "ruido in English", "b": "noise", "c": "x", "d": None}
+    assert retrieval.check_backend("tables", "hybrid", chunks, None) is chunks and retrieval.check_backend("engine", "hybrid-native", chunks, chunks) is chunks
+    for bad in (("engine", "hybrid", chunks, None), ("engine", "hybrid", chunks, chunks.where("id > 1"))):
+        with pytest.raises(RuntimeError):
+            retrieval.check_backend(*bad)
+    for bad in (("x", "hybrid"), ("tables", "hybrid-native")):
+        with pytest.raises(ValueError):
+            retrieval.check_backend(*bad, chunks, chunks)
+
+
+def test_agent_report_and_long_tables(spark):
+    from stratalith.plans import cases, reports
+
+    checked = evaluation.agent_checks(spark.createDataFrame(cases.RUNS, cases.RUN))
+    said = reports.agent(evaluation.check_rates(checked), checked, evaluation.CHECKS)
+    assert "b   tools, passages, citations, answered" in said and "c   arguments, place" in said
+    assert reports.table(spark.range(30), 10).endswith("... and 20 more")

@@ -1,9 +1,10 @@
 import pytest
 
-from stratalith.plans.oracle import ORACLE
-from stratalith.plans.queries import QUERIES
+from stratalith.plans import cases, oracle, queries
 from tests.conftest import SMALL
 
+QUERIES, ORACLE = queries.QUERIES | cases.QUERIES, oracle.ORACLE | cases.ORACLE
+
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, same):
