@@ -1,20 +1,32 @@
 """Main content of web pages by wrapper inference over the pages of a host.
 
-A wrapper is a union-free regular expression over a site's tag and text tokens. It is inferred by aligning page after
-page: tokens that agree stay fixed; a tag mismatch makes an element optional; consecutive or recurring equal elements
-become one repeated group; a text mismatch makes a slot. Elements are told apart by tag and the attributes that layout
-hangs on (class, role, width, id of containers).
-
-1. One scan decodes and tokenises every page (declared charset; unclosed elements are closed by rule), merges the
-   pages of a host into partial wrappers inside its task, and gives out one row per stretch of text with its place in
-   the wrapper, its lines and a digest of the text with digits masked. Page bytes are never shuffled.
+A wrapper is a union-free regular expression over a site's tag and text tokens: fixed text, slots (#text), optional
+elements (?), repeated ones (+) and repeated groups of optional ones ((a? b?)+). It is inferred by aligning the token
+streams of a host's pages, parent by parent:
+
+- a text mismatch makes a slot;
+- a tag mismatch makes an element optional, placed between its neighbours;
+- an element that recurs makes it repeated; where others stand between, or pages disagree on the order, what lies
+  between is folded into one repeated group. So every kind of element has one place in its parent's expression, and a
+  page's stretch of text lies in exactly one slot.
+
+What the alignment needs of a page are the neighbours of each element in its parent: two kinds are in one group if each
+can be reached from the other over such neighbourhoods. They can be counted in any order, so wrappers of parts of a
+host are merged by adding up, and the result is the same. Elements are told apart by tag and the attributes that
+layout hangs on (class, role, width, id of containers).
+
+1. One scan decodes and tokenises every page (declared charset; unclosed elements are closed by rule), aligns the
+   pages of a host inside its task, and gives out one row per stretch of text with its slot, its lines and a digest of
+   the text with digits masked. Page bytes are never shuffled, and texts and paths only as hashes.
 2. Partial wrappers of a host are merged, first in salted groups, then whole.
-3. A text that fills a slot on a good share of a host's pages is a constant of the site; one that does so on several
-   hosts is a constant of the web. Counts are over distinct addresses, so pages fetched again don't count twice, and
+3. A value that fills a slot on a good share of a host's pages is a variant of the template; one that does so on
+   several hosts is one of the web. Counts are over distinct addresses, so pages fetched again don't count twice, and
    addresses with the same prose (of ``least_copy`` characters or more; walls have less) count once.
-4. Per host the node that holds the varying text and the varying title is the body. Groups inside it are left out
-   when their texts are mostly links, or when constants mark them (remarks of readers, sharing, notices).
-5. Lines of the body that aren't constants are the result.
+4. Per host the element of the expression that holds the slot of the titles and most of the open slots' text is the
+   body. Groups inside it are left out when their slots hold mostly links, or when variants of the template mark them
+   (remarks of readers, sharing, notices); one that every page has once needs twice the marks of an optional or
+   repeated one. Text that no page varies is no slot and left out.
+5. Lines of the body's slots that aren't variants of the template are the result.
 
 Null contents, PDF and other non-HTML files have no lines; a page without the host's body (walls, errors) has none
 either. Pages fetched again are all reported. A host with one page is judged by constants of the web and link share.
@@ -36,7 +48,7 @@ from stratalith.session import cut_lineage
 
 TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+CHARSET = re.compile(rb"<(?:meta|\?xml)[^>]*?(?:charset|encoding)\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 DIGITS = re.compile(r"\d+")
 VOID = frozenset("br img hr input meta link area base col embed source track wbr".split())
 SILENT = frozenset("script style noscript svg template button select textarea iframe head title".split())
@@ -52,9 +64,9 @@ SCOPE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"},
 
 def decode(data: bytes | None) -> str | None:
     """A page's text by its declared charset, else UTF-8, else Latin-1; None if it isn't HTML."""
-    if not data or data[:5] == b"%PDF-" or b"<" not in data[:2000]:
+    if not data or data[:5] == b"%PDF-" or b"<" not in data:
         return None
-    m = CHARSET.search(data[:2000])
+    m = CHARSET.search(data)
     for name in (m[1].decode("ascii", "ignore") if m else "utf-8", "utf-8"):
         try:
             return data.decode(name)
@@ -71,21 +83,28 @@ def _signature(tag: str, attributes: str) -> str:
     return f"{tag}[{' '.join(keep)}]" if keep else tag
 
 
-def pieces(page: str) -> Iterator[tuple[tuple[str, ...], str, list[int], bool]]:
-    """Stretches of text between block tags: (path of signatures, text, lines that show text, mostly inside links)."""
-    stack: list[tuple[str, str]] = []  # tag, signature
+Stretch = tuple[tuple[str, ...], tuple[int, ...], str, list[int], bool]
+
+
+def pieces(page: str) -> Iterator[Stretch]:
+    """Stretches of text between block tags: (path of signatures, numbers of these elements, text, lines that show
+    text, mostly inside links)."""
+    stack: list[tuple[str, str, int]] = []  # tag, signature, number
+    opened = 0
     inline: list[str] = []
     texts: list[str] = []
     lines: list[int] = []
     linked = strong = 0
     line, silent = 1, None
 
-    def flush() -> Iterator[tuple[tuple[str, ...], str, list[int], bool]]:
+    def flush() -> Iterator[Stretch]:
         nonlocal linked, strong
         if texts:
             text = " ".join(texts)
-            place = tuple(s for _, s in stack)
-            yield place + ("strong",) if strong * 2 > len(text) else place, text, list(dict.fromkeys(lines)), linked * 10 >= 9 * len(text)
+            place, numbers = tuple(s for _, s, _ in stack), tuple(n for *_, n in stack)
+            if strong * 2 > len(text):
+                place, numbers = (*place, "strong"), (*numbers, -line)
+            yield place, numbers, text, list(dict.fromkeys(lines)), linked * 10 >= 9 * len(text)
             texts.clear()
             lines.clear()
             linked = strong = 0
@@ -143,78 +162,160 @@ def pieces(page: str) -> Iterator[tuple[tuple[str, ...], str, list[int], bool]]:
                 break
             if tag in SCOPE and held in SCOPE[tag] or held in ("body", "html"):
                 break
-        stack.append((tag, _signature(tag, m[3] or "")))
+        opened += 1
+        stack.append((tag, _signature(tag, m[3] or ""), opened))
         inline.clear()
     yield from flush()
 
 
+#: The token of a stretch of text among an element's children.
+TEXT = "#"
+#: Pages of different articles that a text must be the same on to be fixed.
+FIXED = 3
+
+
 class Wrapper:
-    """Inferred expression of a site: nodes by path, with counts that say what is optional, repeated or a slot."""
+    """Inferred expression of a site, as counts that add up over its pages: see the module's text."""
 
     def __init__(self) -> None:
         self.pages = 0
-        self.order: dict[tuple[str, ...], list[str]] = {}  # children in first-seen order, new ones after their left neighbour
-        self.seen: dict[tuple[str, ...], int] = {}  # pages that have the node
-        self.most: dict[tuple[str, ...], int] = {}  # most siblings alike
-        self.text: dict[tuple[str, ...], str | None] = {}  # the agreed text, None once it is a slot
-
-    def align(self, found: list[tuple[tuple[str, ...], str]]) -> None:
-        """Merges one page: its (path, text) tokens in document order."""
+        self.times: dict[tuple[str, ...], int] = {}  # instances of the node
+        self.seen: dict[tuple[str, ...], int] = {}  # pages that have it
+        self.held: dict[tuple[str, ...], int] = {}  # instances of its parent that have it
+        self.most: dict[tuple[str, ...], int] = {}  # most of it in one parent
+        self.next: dict[tuple[str, ...], dict[tuple[str, str], int]] = {}  # neighbours among a node's children
+        self.text: dict[tuple[str, ...], tuple[str | None, frozenset[int]]] = {}  # the agreed text, and articles it is of
+
+    def align(self, found: list[tuple[tuple[str, ...], tuple[int, ...], str]], article: int = 0) -> None:
+        """Aligns one page, given as its (path, element numbers, text) tokens in document order.
+
+        article: tells pages of different articles apart.
+        """
         self.pages += 1
-        times: dict[tuple[str, ...], int] = {}
-        last: dict[tuple[str, ...], str] = {}
-        before: tuple[str, ...] = ()
-        for path, text in found:
-            for depth in range(1, len(path) + 1):
-                node = path[:depth]
-                if node != before[:depth] or depth == len(path):
-                    times[node] = times.get(node, 0) + 1
-                parent = node[:-1]
-                children = self.order.setdefault(parent, [])
-                if node[-1] not in children:
-                    left = last.get(parent)
-                    children.insert(children.index(left) + 1 if left in children else len(children), node[-1])
-                last[parent] = node[-1]
-            before = path
-            if path not in self.text:
-                self.text[path] = text
-            elif self.text[path] != text:
-                self.text[path] = None
-        for node, n in times.items():
+        children: dict[int, tuple[tuple[str, ...], list[str]]] = {0: ((), [])}
+        last: dict[int, int] = {}
+        nodes = set()
+        for at, (path, numbers, text) in enumerate(found):
+            parent = 0
+            for depth, (kind, number) in enumerate(zip((*path, TEXT), (*numbers, -1 - at - (1 << 32)), strict=True)):
+                if last.get(parent) != number:
+                    last[parent] = number
+                    children.setdefault(parent, (path[:depth], []))[1].append(kind)
+                    if kind != TEXT:
+                        node = path[: depth + 1]
+                        self.times[node] = self.times.get(node, 0) + 1
+                        nodes.add(node)
+                parent = number
+            self._put(path, text, frozenset((article,)))
+        for node in nodes:
             self.seen[node] = self.seen.get(node, 0) + 1
-            self.most[node] = max(n, self.most.get(node, 0))
+        for parent_path, kinds in children.values():
+            for kind in set(kinds):
+                node = (*parent_path, kind)
+                self.held[node] = self.held.get(node, 0) + 1
+                self.most[node] = max(self.most.get(node, 0), kinds.count(kind))
+            edges = self.next.setdefault(parent_path, {})
+            for pair in zip(kinds, kinds[1:], strict=False):
+                edges[pair] = edges.get(pair, 0) + 1
+
+    def _put(self, path: tuple[str, ...], text: str | None, articles: frozenset[int]) -> None:
+        own, known = self.text.get(path, (text, frozenset()))
+        self.text[path] = (own if own == text else None, frozenset(sorted(known | articles)[:FIXED]))
 
     def merge(self, other: Wrapper) -> None:
-        """Aligns another wrapper of the same site with this one."""
+        """Aligns the pages of another wrapper of the same site with this one's."""
         self.pages += other.pages
-        for parent, children in other.order.items():
-            own = self.order.setdefault(parent, [])
-            left = None
-            for c in children:
-                if c not in own:
-                    own.insert(own.index(left) + 1 if left in own else len(own), c)
-                left = c
-        for node, n in other.seen.items():
-            self.seen[node] = self.seen.get(node, 0) + n
-            self.most[node] = max(self.most.get(node, 0), other.most[node])
-        for path, text in other.text.items():
-            self.text[path] = text if self.text.get(path, text) == text else None
-
-    def expression(self, node: tuple[str, ...] = (), depth: int = 12) -> str:
-        """The wrapper as an expression: name(children), ? for optional, + for repeated, #text for a slot."""
-        inner = []
-        if node in self.text:
-            inner.append("#text" if self.text[node] is None else repr(self.text[node][:40]))
-        if depth:
-            inner += [self.expression((*node, c), depth - 1) for c in self.order.get(node, ())]
-        body = " ".join(inner)
-        if not node:
-            return body
-        many, maybe = self.most[node] > 1, self.seen[node] < self.seen.get(node[:-1], self.pages)
-        return f"{node[-1]}({body}){'*' if many and maybe else '+' if many else '?' if maybe else ''}"
-
-
-_LEAF = "page_id long, url string, host string, path string, digest long, lines array<int>, chars int, link boolean, fixable boolean, wrapper binary"
+        for mine, theirs in ((self.times, other.times), (self.seen, other.seen), (self.held, other.held)):
+            for node, n in theirs.items():
+                mine[node] = mine.get(node, 0) + n
+        for node, n in other.most.items():
+            self.most[node] = max(self.most.get(node, 0), n)
+        for parent, edges in other.next.items():
+            own = self.next.setdefault(parent, {})
+            for pair, n in edges.items():
+                own[pair] = own.get(pair, 0) + n
+        for path, (text, articles) in other.text.items():
+            self._put(path, text, articles)
+
+    def is_slot(self, path: tuple[str, ...]) -> bool:
+        """Whether texts differ there, or too few articles agree to call it fixed."""
+        text, articles = self.text[path]
+        return text is None or len(articles) < FIXED
+
+    def kinds(self) -> dict[tuple[str, ...], list[str]]:
+        """The kinds of children of every node."""
+        out: dict[tuple[str, ...], list[str]] = {}
+        for node in self.held:
+            out.setdefault(node[:-1], []).append(node[-1])
+        return out
+
+    def sequence(self, parent: tuple[str, ...], kinds: list[str]) -> list[list[str]]:
+        """The children of a node in order, each in a list of its own, or with those it forms a repeated group with."""
+        after: dict[str, set[str]] = {k: set() for k in kinds}
+        for a, b in self.next.get(parent, ()):
+            after[a].add(b)
+
+        def reach(start: str) -> set[str]:
+            seen, todo = set(), [start]
+            while todo:
+                for k in after[todo.pop()]:
+                    if k not in seen:
+                        seen.add(k)
+                        todo.append(k)
+            return seen
+
+        reached = {k: reach(k) for k in kinds}
+        groups: list[list[str]] = []
+        for k in sorted(kinds):
+            for g in groups:
+                if g[0] in reached[k] and k in reached[g[0]]:
+                    g.append(k)
+                    break
+            else:
+                groups.append([k])
+        # What reaches more comes first: reaching is transitive, so this is an order of the expression.
+        return sorted(groups, key=lambda g: (-len(reached[g[0]] - set(g)), g))
+
+    def is_loose(self, node: tuple[str, ...], groups: list[list[str]]) -> bool:
+        """Whether the expression has the node as optional, repeated or in a repeated group."""
+        return self.held[node] < self._parents(node) or self.most[node] > 1 or any(len(g) > 1 for g in groups if node[-1] in g)
+
+    def _parents(self, node: tuple[str, ...]) -> int:
+        return self.times[node[:-1]] if node[:-1] else self.pages
+
+    def expression(self) -> str:
+        """The wrapper as an expression: name(children), ? optional, + repeated, (..)+ a repeated group, #text a slot."""
+        kinds = self.kinds()
+
+        def one(node: tuple[str, ...], grouped: bool) -> str:
+            if node[-1] == TEXT:
+                body = "#text" if self.is_slot(node[:-1]) else repr(self.text[node[:-1]][0])
+            else:
+                body = f"{node[-1]}({inner(node)})"
+            maybe = grouped or self.held[node] < self._parents(node)
+            return body + ("*" if self.most[node] > 1 and maybe and not grouped else "+" if self.most[node] > 1 and not grouped else "?" if maybe else "")
+
+        def inner(parent: tuple[str, ...]) -> str:
+            parts = []
+            for g in self.sequence(parent, kinds.get(parent, [])):
+                shown = " ".join(one((*parent, k), len(g) > 1) for k in g)
+                parts.append(f"({shown})+" if len(g) > 1 else shown)
+            return " ".join(parts)
+
+        return inner(())
+
+
+SALTS = 16
+#: host, path and groups are hashes; plain is prose rather than headings, cells and items.
+_LEAF = "page_id long, url long, host long, path long, groups array<long>, plain boolean, digest long, lines array<int>, chars int, link boolean, fixable boolean, name string, wrapper binary"
+#: Elements of which recurring values are ordinary.
+_BRIEF = frozenset("h1 h2 h3 h4 h5 h6 figcaption li td th strong".split())
+
+
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text) - (1 << 63)
 
 
 def masked(text: str) -> str:
@@ -233,21 +334,26 @@ def can_be_fixed(mask: str) -> bool:
 
 
 def _parse_batches(max_hosts: int):
-    names = ["page_id", "url", "host", "path", "digest", "lines", "chars", "link", "fixable", "wrapper"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    names = [c.split()[0] for c in _LEAF.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary()]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         wrappers: dict[str, Wrapper] = {}
+        hashed: dict[tuple[str, ...], tuple[int, list[int], bool]] = {}
+
+        def place(path: tuple[str, ...]) -> tuple[int, list[int], bool]:
+            if (known := hashed.get(path)) is None:
+                known = hashed[path] = _hash("/".join(path)), sorted({_hash(s) for s in path if "[" in s}), not (path and path[-1].split("[")[0] in _BRIEF)
+            return known
 
         def give() -> Iterator[pa.RecordBatch]:
             if wrappers:
-                yield table([(None, None, h, *[None] * 6, pickle.dumps(w.__dict__)) for h, w in wrappers.items()])
+                yield table([(None, None, _hash(h), *[None] * 8, h, pickle.dumps(w.__dict__)) for h, w in wrappers.items()])
                 wrappers.clear()
+                hashed.clear()
 
         for big in batches:
             for at in range(0, big.num_rows, 64):
@@ -257,16 +363,15 @@ def _parse_batches(max_hosts: int):
                     if page is None:
                         continue
                     found = []
-                    for path, text, lines, link in pieces(page):
-                        if "body" in path:
-                            path = path[path.index("body") + 1 :]
-                        elif path and path[0] == "html":
-                            path = path[1:]
-                        m = masked(text)
-                        found.append((path, m))
-                        d = xxh64_intdigest(m) - (1 << 63)
-                        rows.append((page_id, url, host, "/".join(path), d, lines, len(text), link, can_be_fixed(m), None))
-                    wrappers.setdefault(host, Wrapper()).align(found)
+                    u, h = _hash(url), _hash(host)
+                    for path, numbers, text, lines, link in pieces(page):
+                        skip = path.index("body") + 1 if "body" in path else int(bool(path) and path[0] == "html")
+                        path, m = path[skip:], masked(text)
+                        fixable = can_be_fixed(m)
+                        found.append((path, numbers[skip:], m if fixable else text))
+                        rows.append((page_id, u, h, *place(path), _hash(m), lines, len(text), link, fixable, None, None))
+                    article = _hash("\n".join(sorted((m for *_, m in found), key=lambda m: (-len(m), m))[:3]))
+                    wrappers.setdefault(host, Wrapper()).align(found, article)
                 if rows:
                     yield table(rows)
                 if len(wrappers) > max_hosts:
@@ -282,7 +387,7 @@ def _merge_groups(t: pa.Table) -> pa.Table:
         part = Wrapper()
         part.__dict__.update(pickle.loads(data))
         whole.merge(part)
-    return pa.table({"host": t.column("host").slice(0, 1), "wrapper": pa.array([pickle.dumps(whole.__dict__)], pa.binary())})
+    return pa.table({"host": t.column("host").slice(0, 1), "name": t.column("name").slice(0, 1), "wrapper": pa.array([pickle.dumps(whole.__dict__)], pa.binary())})
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", max_hosts: int = 2_000) -> DataFrame:
@@ -293,10 +398,10 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", conte
 
 
 def wrappers(parsed: DataFrame, salts: int = 64) -> DataFrame:
-    """(host, wrapper) of every host: partial wrappers merged in salted groups, then whole."""
-    parts = parsed.where("wrapper is not null").select("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt"), "wrapper")
-    some = parts.groupBy("host", "salt").applyInArrow(_merge_groups, "host string, wrapper binary")
-    return some.groupBy("host").applyInArrow(_merge_groups, "host string, wrapper binary")
+    """(host, name, wrapper) of every host: partial wrappers merged in salted groups, then whole."""
+    parts = parsed.where("wrapper is not null").select("host", "name", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt"), "wrapper")
+    some = parts.groupBy("host", "salt").applyInArrow(_merge_groups, "host long, name string, wrapper binary")
+    return some.groupBy("host").applyInArrow(_merge_groups, "host long, name string, wrapper binary")
 
 
 def _decide_groups(min_mark: float, min_link: float):
@@ -304,34 +409,43 @@ def _decide_groups(min_mark: float, min_link: float):
         rows = t.to_pylist()
         w = Wrapper()
         w.__dict__.update(pickle.loads(next(r["wrapper"] for r in rows if r["wrapper"] is not None)))
-        nodes = {tuple(r["path"].split("/")) if r["path"] else (): r for r in rows if r["kind"] == "node"}
-        groups = {r["path"]: r for r in rows if r["kind"] == "group"}
+        slots = {p: _hash("/".join(p)) for p in w.text}
+        by_hash = {r["path"]: r for r in rows if r["kind"] == "node"}
+        nodes = {p: by_hash[h] for p, h in slots.items() if h in by_hash and w.is_slot(p)}
+        boxes = {r["path"]: r for r in rows if r["kind"] == "group"}
         volume: dict[tuple[str, ...], int] = {}
         for path, r in nodes.items():
             for k in range(len(path) + 1):
                 volume[path[:k]] = volume.get(path[:k], 0) + r["varying"]
-        # The body: down the element that holds most of the varying text, then up to the one that holds the title too.
-        chain, node = [], ()
+        # The body: down the element whose slots hold most of the varying text, then up to the one with the titles' slot.
+        kinds, chain, node = w.kinds(), [], ()
         while volume.get(node):
-            inside = [(*node, c) for c in w.order.get(node, ()) if re.split(r"\[", c)[0] in CONTAINER]
-            best = max(inside, key=lambda n: volume.get(n, 0), default=None)
+            inside = [(*node, c) for c in kinds.get(node, ()) if c.split("[")[0] in CONTAINER]
+            best = max(sorted(inside), key=lambda n: volume.get(n, 0), default=None)
             if best is None or volume.get(best, 0) < 0.5 * volume[node]:
                 break
             chain.append(best)
             node = best
-        if not chain:
-            return pa.table({"host": pa.array([], pa.string()), "path": pa.array([], pa.string())})
-        title = [p for p, r in nodes.items() if p and p[-1] == "h1" and r["varying_pages"] >= 0.3 * w.seen.get(chain[0], 1)]
-        body = next((n for n in reversed(chain) if any(p[: len(n)] == n for p in title)), chain[-1])
-        out_groups = set()
-        for g, r in groups.items():
-            if g in body or r["chars"] >= 0.4 * volume[body]:  # what holds the body isn't a box inside it
-                continue
-            if r["chars"] and (r["link_chars"] >= min_link * r["chars"] or r["marked_pages"] >= min_mark * r["pages"]):
-                out_groups.add(g)
-        keep = [p for p in nodes if p[: len(body)] == body and not any(s in out_groups for s in p[len(body) :])]
-        host = rows[0]["host"]
-        return pa.table({"host": pa.array([host] * len(keep), pa.string()), "path": pa.array(["/".join(p) for p in keep], pa.string())})
+        title = [p for p, r in nodes.items() if p and p[-1] == "h1" and r["varying_pages"] >= 0.3 * w.seen.get(chain[0] if chain else p, 1)]
+        body = next((n for n in (*reversed(chain), ()) if any(p[: len(n)] == n for p in title)), chain[-1] if chain else None)
+        if body is None:
+            return pa.table({"host": pa.array([], pa.int64()), "path": pa.array([], pa.int64())})
+        loose: dict[str, bool] = {}
+        for parent, ks in kinds.items():
+            if parent[: len(body)] == body and any("[" in k for k in ks):
+                groups = w.sequence(parent, ks)
+                for k in ks:
+                    if "[" in k:
+                        loose[k] = loose.get(k, False) or w.is_loose((*parent, k), groups)
+        out = set()
+        for k, free in loose.items():
+            r = boxes.get(_hash(k))
+            if r is None or k in body or not r["chars"] or r["chars"] >= 0.4 * volume[body]:
+                continue  # what holds the body isn't a box inside it
+            if r["link_chars"] >= min_link * r["chars"] or r["marked_pages"] >= (1 if free else 2) * min_mark * r["pages"]:
+                out.add(k)
+        keep = [slots[p] for p in nodes if p[: len(body)] == body and not any(s in out for s in p[len(body) :])]
+        return pa.table({"host": pa.array([rows[0]["host"]] * len(keep), pa.int64()), "path": pa.array(keep, pa.int64())})
 
     return run
 
@@ -339,22 +453,21 @@ def _decide_groups(min_mark: float, min_link: float):
 def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", share: float = 0.02, item_share: float = 0.15, hosts: int = 3, min_mark: float = 0.25, min_link: float = 0.9, least_copy: int = 400) -> DataFrame:
     """(page_id, line_no) of the lines that carry text of the main body."""
     parsed = parse(pages, id_col, url_col, content_col)
-    leaf = parsed.where("wrapper is null").drop("wrapper")
+    leaf = parsed.where("wrapper is null").drop("wrapper", "name")
     # Constants: by share of a host's addresses, or by hosts. Repeated fetches of an address count once.
-    kind = F.element_at(F.split("path", "/"), -1)
     # Headings, cells and items of a body recur by chance: only those of a good part of the pages are constants.
-    plain = ~F.regexp_extract(kind, r"^([a-z0-9]*)", 1).isin("h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "li", "td", "th", "strong")
+    plain = F.col("plain")
     # Copies of an article have one vote: addresses of a host with the same prose, and on other hosts the same longest texts.
     prose = leaf.where("fixable").where(plain & ~F.col("link")).groupBy("host", "url", "digest").agg(F.max("chars").alias("chars"))
     own = prose.groupBy("host", "url").agg(F.sort_array(F.collect_list(F.struct("chars", "digest")), False).alias("all"), F.sum("chars").alias("volume"))
     copied = F.col("volume") >= least_copy
     own = own.select("host", "url", F.when(copied, F.xxhash64("all")).alias("same"), F.when(copied, F.xxhash64(F.slice("all", 1, 3))).alias("body"))
-    voter, body = F.coalesce("same", F.xxhash64("url")), F.coalesce("body", F.xxhash64("host", "url"))
+    voter, body = F.coalesce("same", "url"), F.coalesce("body", F.xxhash64("host", "url"))
     urls = leaf.select("host", "url").distinct().join(own, ["host", "url"], "left").groupBy("host").agg(F.count_distinct(voter).alias("urls"))
-    once = leaf.where("fixable").groupBy("host", "path", "digest", "url").agg(F.lit(1).alias("one")).join(own, ["host", "url"], "left")
-    texts = once.groupBy("host", "path", "digest").agg(F.count_distinct(voter).alias("n"), F.slice(F.collect_set(body), 1, hosts).alias("bodies"))
+    once = leaf.where("fixable").groupBy("host", "path", "digest", "url").agg(F.first("plain").alias("plain")).join(own, ["host", "url"], "left")
+    texts = once.groupBy("host", "path", "digest").agg(F.first("plain").alias("plain"), F.count_distinct(voter).alias("n"), F.slice(F.collect_set(body), 1, hosts).alias("bodies"))
     enough = F.when(plain, F.greatest(F.lit(2), share * F.col("urls"))).otherwise(F.greatest(F.lit(3), item_share * F.col("urls")))
-    local = texts.join(urls, "host").select("host", "path", "digest", (F.col("n") >= enough).alias("local"))
+    local = texts.join(urls, "host").select("host", "path", "digest", "plain", (F.col("n") >= enough).alias("local"))
     spread = texts.where(plain).groupBy("digest").agg(F.count_distinct("host").alias("hosts"), F.size(F.array_distinct(F.flatten(F.collect_list("bodies")))).alias("voters")).where((F.col("hosts") >= hosts) & (F.col("voters") >= hosts)).select("digest", F.lit(True).alias("wide"))
     marks = local.join(spread, "digest", "left").select("host", "path", "digest", (F.col("local") | (F.coalesce("wide", F.lit(False)) & plain)).alias("constant")).where("constant")
     leaf = cut_lineage(leaf.join(marks, ["host", "path", "digest"], "left").withColumn("constant", F.coalesce("constant", F.lit(False))))
@@ -363,7 +476,7 @@ def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.count("*").alias("pages"), F.lit(0).cast("long").alias("marked_pages"), F.sum(F.when(~F.col("constant"), 1).otherwise(0)).alias("varying_pages"),
     )
     # Groups are told by signature wherever they stand in the site's pages.
-    per_page = leaf.withColumn("path", F.explode(F.array_distinct(F.filter(F.split("path", "/"), lambda s: s.contains("["))))).groupBy("host", "path", "page_id").agg(
+    per_page = leaf.withColumn("path", F.explode("groups")).groupBy("host", "path", "page_id").agg(
         F.sum("chars").alias("chars"), F.sum(F.when(F.col("link"), F.col("chars")).otherwise(0)).alias("link_chars"), F.max("constant").alias("marked")
     )
     groups = per_page.groupBy("host", "path").agg(
@@ -371,9 +484,11 @@ def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
     none = F.lit(None).cast("binary").alias("wrapper")
     stats = nodes.select("*", F.lit("node").alias("kind"), none).unionByName(groups.select("*", F.lit("group").alias("kind"), none))
-    stats = stats.unionByName(wrappers(parsed).select("host", F.lit("").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("varying", "chars", "link_chars", "pages", "marked_pages", "varying_pages")), F.lit("wrapper").alias("kind"), "wrapper"))
-    keep = stats.groupBy("host").applyInArrow(_decide_groups(min_mark, min_link), "host string, path string")
-    body = leaf.where("not constant").join(keep, ["host", "path"])
+    stats = stats.unionByName(wrappers(parsed).select("host", F.lit(0).cast("long").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("varying", "chars", "link_chars", "pages", "marked_pages", "varying_pages")), F.lit("wrapper").alias("kind"), "wrapper"))
+    keep = stats.groupBy("host").applyInArrow(_decide_groups(min_mark, min_link), "host long, path long")
+    # One slot of a large host may hold a good part of all rows: slots are repeated for each salt.
+    keep = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    body = leaf.where("not constant").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(keep, ["host", "path", "salt"])
     return body.select("page_id", F.explode("lines").alias("line_no")).distinct()
 
 
@@ -389,4 +504,4 @@ def wrapper_report(pages: DataFrame) -> DataFrame:
                 ws.append(w)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.pages for w in ws], pa.int64()), pa.array([w.expression() for w in ws], pa.string())], names=["host", "pages", "expression"])
 
-    return wrappers(parse(pages)).mapInArrow(run, "host string, pages long, expression string")
+    return wrappers(parse(pages)).select("name", "wrapper").mapInArrow(run, "host string, pages long, expression string")
