@@ -181,6 +181,7 @@ class Wrapper:
         self.pages = 0
         self.times: dict[tuple[str, ...], int] = {}  # instances of the node
         self.seen: dict[tuple[str, ...], int] = {}  # pages that have it
+        self.sites: dict[str, int] = {}  # pages that have the kind anywhere
         self.held: dict[tuple[str, ...], int] = {}  # instances of its parent that have it
         self.most: dict[tuple[str, ...], int] = {}  # most of it in one parent
         self.next: dict[tuple[str, ...], dict[tuple[str, str], int]] = {}  # neighbours among a node's children
@@ -209,6 +210,8 @@ class Wrapper:
             self._put(path, text, frozenset((article,)))
         for node in nodes:
             self.seen[node] = self.seen.get(node, 0) + 1
+        for kind in {k for k, *_ in (node[::-1] for node in nodes)}:
+            self.sites[kind] = self.sites.get(kind, 0) + 1
         for parent_path, kinds in children.values():
             for kind in set(kinds):
                 node = (*parent_path, kind)
@@ -225,7 +228,7 @@ class Wrapper:
     def merge(self, other: Wrapper) -> None:
         """Aligns the pages of another wrapper of the same site with this one's."""
         self.pages += other.pages
-        for mine, theirs in ((self.times, other.times), (self.seen, other.seen), (self.held, other.held)):
+        for mine, theirs in ((self.times, other.times), (self.seen, other.seen), (self.held, other.held), (self.sites, other.sites)):
             for node, n in theirs.items():
                 mine[node] = mine.get(node, 0) + n
         for node, n in other.most.items():
@@ -306,8 +309,9 @@ class Wrapper:
 
 
 SALTS = 16
-#: host, path and groups are hashes; plain is prose rather than headings, cells and items.
-_LEAF = "page_id long, url long, host long, path long, groups array<long>, plain boolean, digest long, lines array<int>, chars int, link boolean, fixable boolean, name string, wrapper binary"
+#: host, path, groups, voter and body are hashes; first marks one row a page; plain is prose rather than headings, cells
+#: and items. Pages with the same voter, or on several hosts the same body, have the same prose.
+_LEAF = "page_id long, url long, host long, voter long, body long, first boolean, path long, groups array<long>, plain boolean, digest long, lines array<int>, chars int, link boolean, fixable boolean, name string, wrapper binary"
 #: Elements of which recurring values are ordinary.
 _BRIEF = frozenset("h1 h2 h3 h4 h5 h6 figcaption li td th strong".split())
 
@@ -333,9 +337,9 @@ def can_be_fixed(mask: str) -> bool:
     return letters >= 8 if "0" in mask and not DIGITLESS_DATE.match(mask) else letters >= 3 or bool(DIGITLESS_DATE.match(mask))
 
 
-def _parse_batches(max_hosts: int):
+def _parse_batches(max_hosts: int, least_copy: int):
     names = [c.split()[0] for c in _LEAF.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.binary()]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -351,7 +355,7 @@ def _parse_batches(max_hosts: int):
 
         def give() -> Iterator[pa.RecordBatch]:
             if wrappers:
-                yield table([(None, None, _hash(h), *[None] * 8, h, pickle.dumps(w.__dict__)) for h, w in wrappers.items()])
+                yield table([(None, None, _hash(h), *[None] * 11, h, pickle.dumps(w.__dict__)) for h, w in wrappers.items()])
                 wrappers.clear()
                 hashed.clear()
 
@@ -362,16 +366,23 @@ def _parse_batches(max_hosts: int):
                     page = decode(content)
                     if page is None:
                         continue
-                    found = []
+                    found, own = [], []
                     u, h = _hash(url), _hash(host)
+                    prose: dict[int, int] = {}
                     for path, numbers, text, lines, link in pieces(page):
                         skip = path.index("body") + 1 if "body" in path else int(bool(path) and path[0] == "html")
                         path, m = path[skip:], masked(text)
-                        fixable = can_be_fixed(m)
+                        fixable, d, where = can_be_fixed(m), _hash(m), place(path)
                         found.append((path, numbers[skip:], m if fixable else text))
-                        rows.append((page_id, u, h, *place(path), _hash(m), lines, len(text), link, fixable, None, None))
-                    article = _hash("\n".join(sorted((m for *_, m in found), key=lambda m: (-len(m), m))[:3]))
-                    wrappers.setdefault(host, Wrapper()).align(found, article)
+                        own.append((*where, d, lines, len(text), link, fixable, None, None))
+                        if fixable and where[2] and not link:
+                            prose[d] = max(len(text), prose.get(d, 0))
+                    longest = sorted(prose, key=lambda d: (-prose[d], d))
+                    copied = sum(prose.values()) >= least_copy
+                    voter = _hash(repr(longest)) if copied else u
+                    body = _hash(repr(longest[:3])) if copied else _hash(f"{h} {u}")
+                    rows += [(page_id, u, h, voter, body, not k, *x) for k, x in enumerate(own)]
+                    wrappers.setdefault(host, Wrapper()).align(found, body)
                 if rows:
                     yield table(rows)
                 if len(wrappers) > max_hosts:
@@ -390,11 +401,11 @@ def _merge_groups(t: pa.Table) -> pa.Table:
     return pa.table({"host": t.column("host").slice(0, 1), "name": t.column("name").slice(0, 1), "wrapper": pa.array([pickle.dumps(whole.__dict__)], pa.binary())})
 
 
-def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", max_hosts: int = 2_000) -> DataFrame:
+def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", least_copy: int = 400, max_hosts: int = 2_000) -> DataFrame:
     """The one scan over the pages: rows of text stretches, and rows of partial wrappers."""
     host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.lower(host).alias("host"), F.col(content_col).alias("content"))
-    return cut_lineage(src.where("page_id is not null and content is not null").mapInArrow(_parse_batches(max_hosts), _LEAF))
+    return cut_lineage(src.where("page_id is not null and content is not null").mapInArrow(_parse_batches(max_hosts, least_copy), _LEAF))
 
 
 def wrappers(parsed: DataFrame, salts: int = 64) -> DataFrame:
@@ -442,7 +453,7 @@ def _decide_groups(min_mark: float, min_link: float):
             r = boxes.get(_hash(k))
             if r is None or k in body or not r["chars"] or r["chars"] >= 0.4 * volume[body]:
                 continue  # what holds the body isn't a box inside it
-            if r["link_chars"] >= min_link * r["chars"] or r["marked_pages"] >= (1 if free else 2) * min_mark * r["pages"]:
+            if r["link_chars"] >= min_link * r["chars"] or r["marked"] >= (1 if free else 2) * min_mark * w.sites[k]:
                 out.add(k)
         keep = [slots[p] for p in nodes if p[: len(body)] == body and not any(s in out for s in p[len(body) :])]
         return pa.table({"host": pa.array([rows[0]["host"]] * len(keep), pa.int64()), "path": pa.array(keep, pa.int64())})
@@ -452,44 +463,40 @@ def _decide_groups(min_mark: float, min_link: float):
 
 def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", share: float = 0.02, item_share: float = 0.15, hosts: int = 3, min_mark: float = 0.25, min_link: float = 0.9, least_copy: int = 400) -> DataFrame:
     """(page_id, line_no) of the lines that carry text of the main body."""
-    parsed = parse(pages, id_col, url_col, content_col)
+    parsed = parse(pages, id_col, url_col, content_col, least_copy)
     leaf = parsed.where("wrapper is null").drop("wrapper", "name")
-    # Constants: by share of a host's addresses, or by hosts. Repeated fetches of an address count once.
-    # Headings, cells and items of a body recur by chance: only those of a good part of the pages are constants.
-    plain = F.col("plain")
-    # Copies of an article have one vote: addresses of a host with the same prose, and on other hosts the same longest texts.
-    prose = leaf.where("fixable").where(plain & ~F.col("link")).groupBy("host", "url", "digest").agg(F.max("chars").alias("chars"))
-    own = prose.groupBy("host", "url").agg(F.sort_array(F.collect_list(F.struct("chars", "digest")), False).alias("all"), F.sum("chars").alias("volume"))
-    copied = F.col("volume") >= least_copy
-    own = own.select("host", "url", F.when(copied, F.xxhash64("all")).alias("same"), F.when(copied, F.xxhash64(F.slice("all", 1, 3))).alias("body"))
-    voter, body = F.coalesce("same", "url"), F.coalesce("body", F.xxhash64("host", "url"))
-    urls = leaf.select("host", "url").distinct().join(own, ["host", "url"], "left").groupBy("host").agg(F.count_distinct(voter).alias("urls"))
-    once = leaf.where("fixable").groupBy("host", "path", "digest", "url").agg(F.first("plain").alias("plain")).join(own, ["host", "url"], "left")
-    texts = once.groupBy("host", "path", "digest").agg(F.first("plain").alias("plain"), F.count_distinct(voter).alias("n"), F.slice(F.collect_set(body), 1, hosts).alias("bodies"))
-    enough = F.when(plain, F.greatest(F.lit(2), share * F.col("urls"))).otherwise(F.greatest(F.lit(3), item_share * F.col("urls")))
-    local = texts.join(urls, "host").select("host", "path", "digest", "plain", (F.col("n") >= enough).alias("local"))
-    spread = texts.where(plain).groupBy("digest").agg(F.count_distinct("host").alias("hosts"), F.size(F.array_distinct(F.flatten(F.collect_list("bodies")))).alias("voters")).where((F.col("hosts") >= hosts) & (F.col("voters") >= hosts)).select("digest", F.lit(True).alias("wide"))
-    marks = local.join(spread, "digest", "left").select("host", "path", "digest", (F.col("local") | (F.coalesce("wide", F.lit(False)) & plain)).alias("constant")).where("constant")
-    leaf = cut_lineage(leaf.join(marks, ["host", "path", "digest"], "left").withColumn("constant", F.coalesce("constant", F.lit(False))))
-    nodes = leaf.groupBy("host", "path").agg(
-        F.sum(F.when(~F.col("constant"), F.col("chars")).otherwise(0)).alias("varying"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("link"), F.col("chars")).otherwise(0)).alias("link_chars"),
-        F.count("*").alias("pages"), F.lit(0).cast("long").alias("marked_pages"), F.sum(F.when(~F.col("constant"), 1).otherwise(0)).alias("varying_pages"),
+    key = ["host", "path", "digest"]
+    # An address votes once, whatever its fetches; addresses with the same prose vote once together.
+    once = leaf.groupBy(*key, "url").agg(
+        F.min("voter").alias("voter"), F.min("body").alias("body"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"),
+        F.sum("chars").alias("chars"), F.sum(F.when(F.col("link"), F.col("chars")).otherwise(0)).alias("link_chars"), F.count("*").alias("n"),
     )
+    votes = once.groupBy(*key, "voter").agg(F.min("body").alias("body"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
+    few = F.slice(F.array_sort(F.collect_set(F.pmod(F.col("body"), F.lit(1 << 10)))), 1, hosts)  # at most 1,024 values are collected
+    texts = votes.groupBy(*key).agg(F.count("*").alias("voters"), few.alias("bodies"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
+    addresses = leaf.where("first").groupBy("host", "url").agg(F.min("voter").alias("voter")).select("host", "voter").distinct().groupBy("host").agg(F.count("*").alias("addresses"))
+    # Variants of the template: by share of a host's addresses, or by hosts. Headings, cells and items of a body recur by
+    # chance: only those of a good part of the pages count.
+    enough = F.when(F.col("plain"), F.greatest(F.lit(2), share * F.col("addresses"))).otherwise(F.greatest(F.lit(3), item_share * F.col("addresses")))
+    wide = texts.where("plain and fixable").select("digest", "host", F.explode("bodies").alias("body")).groupBy("digest").agg(F.count_distinct("host").alias("hosts"), F.count_distinct("body").alias("different"))
+    spread = wide.where((F.col("hosts") >= hosts) & (F.col("different") >= hosts)).select("digest", F.lit(True).alias("wide"))
+    texts = cut_lineage(texts.join(addresses, "host").join(spread, "digest", "left").withColumn("variant", F.col("fixable") & ((F.col("voters") >= enough) | (F.coalesce("wide", F.lit(False)) & F.col("plain")))).drop("bodies", "wide", "voters"))
+    marks = texts.where("variant")
+    open_chars = F.when(~F.col("variant"), F.col("chars")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    nodes = texts.groupBy("host", "path").agg(F.sum(open_chars).alias("varying"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.sum(F.when(~F.col("variant"), F.col("n")).otherwise(0)).alias("varying_pages"), zero.alias("marked"))
     # Groups are told by signature wherever they stand in the site's pages.
-    per_page = leaf.withColumn("path", F.explode("groups")).groupBy("host", "path", "page_id").agg(
-        F.sum("chars").alias("chars"), F.sum(F.when(F.col("link"), F.col("chars")).otherwise(0)).alias("link_chars"), F.max("constant").alias("marked")
-    )
-    groups = per_page.groupBy("host", "path").agg(
-        F.lit(0).cast("long").alias("varying"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.count("*").alias("pages"), F.sum(F.col("marked").cast("long")).alias("marked_pages"), F.lit(0).cast("long").alias("varying_pages")
-    )
+    boxes = texts.withColumn("path", F.explode("groups")).groupBy("host", "path").agg(zero.alias("varying"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), zero.alias("varying_pages"))
+    marked = leaf.where("fixable and size(groups) > 0").select(*key, "page_id").join(marks.select(*key, "groups"), key).select("host", F.explode("groups").alias("path"), "page_id").distinct()
+    boxes = boxes.join(marked.groupBy("host", "path").agg(F.count("*").alias("marked")), ["host", "path"], "left").withColumn("marked", F.coalesce("marked", zero))
     none = F.lit(None).cast("binary").alias("wrapper")
-    stats = nodes.select("*", F.lit("node").alias("kind"), none).unionByName(groups.select("*", F.lit("group").alias("kind"), none))
-    stats = stats.unionByName(wrappers(parsed).select("host", F.lit(0).cast("long").alias("path"), *(F.lit(0).cast("long").alias(c) for c in ("varying", "chars", "link_chars", "pages", "marked_pages", "varying_pages")), F.lit("wrapper").alias("kind"), "wrapper"))
+    stats = nodes.select("*", F.lit("node").alias("kind"), none).unionByName(boxes.select("*", F.lit("group").alias("kind"), none))
+    stats = stats.unionByName(wrappers(parsed).select("host", zero.alias("path"), *(zero.alias(c) for c in ("varying", "chars", "link_chars", "varying_pages", "marked")), F.lit("wrapper").alias("kind"), "wrapper"))
     keep = stats.groupBy("host").applyInArrow(_decide_groups(min_mark, min_link), "host long, path long")
     # One slot of a large host may hold a good part of all rows: slots are repeated for each salt.
     keep = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    body = leaf.where("not constant").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(keep, ["host", "path", "salt"])
-    return body.select("page_id", F.explode("lines").alias("line_no")).distinct()
+    body = leaf.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).select(*key, "salt", "page_id", "lines").join(keep, ["host", "path", "salt"])
+    return body.join(marks.select(*key), key, "left_anti").select("page_id", F.explode("lines").alias("line_no")).distinct()
 
 
 def wrapper_report(pages: DataFrame) -> DataFrame:
