@@ -422,8 +422,14 @@ def _decide_groups(min_mark: float, min_link: float):
         w.__dict__.update(pickle.loads(next(r["wrapper"] for r in rows if r["wrapper"] is not None)))
         slots = {p: _hash("/".join(p)) for p in w.text}
         by_hash = {r["path"]: r for r in rows if r["kind"] == "node"}
-        nodes = {p: by_hash[h] for p, h in slots.items() if h in by_hash and w.is_slot(p)}
-        boxes = {r["path"]: r for r in rows if r["kind"] == "group"}
+        filled = {p: by_hash[h] for p, h in slots.items() if h in by_hash}
+        nodes = {p: r for p, r in filled.items() if w.is_slot(p)}
+        marked = {r["path"]: r["marked"] for r in rows if r["kind"] == "group"}
+        boxes: dict[str, tuple[int, int]] = {}  # characters, those of links
+        for p, r in filled.items():
+            for k in {k for k in p if "[" in k}:
+                chars, links = boxes.get(k, (0, 0))
+                boxes[k] = chars + r["chars"], links + r["link_chars"]
         volume: dict[tuple[str, ...], int] = {}
         for path, r in nodes.items():
             for k in range(len(path) + 1):
@@ -450,10 +456,10 @@ def _decide_groups(min_mark: float, min_link: float):
                         loose[k] = loose.get(k, False) or w.is_loose((*parent, k), groups)
         out = set()
         for k, free in loose.items():
-            r = boxes.get(_hash(k))
-            if r is None or k in body or not r["chars"] or r["chars"] >= 0.4 * volume[body]:
+            chars, links = boxes.get(k, (0, 0))
+            if k in body or not chars or chars >= 0.4 * volume[body]:
                 continue  # what holds the body isn't a box inside it
-            if r["link_chars"] >= min_link * r["chars"] or r["marked"] >= (1 if free else 2) * min_mark * w.sites[k]:
+            if links >= min_link * chars or marked.get(_hash(k), 0) >= (1 if free else 2) * min_mark * w.sites[k]:
                 out.add(k)
         keep = [slots[p] for p in nodes if p[: len(body)] == body and not any(s in out for s in p[len(body) :])]
         return pa.table({"host": pa.array([rows[0]["host"]] * len(keep), pa.int64()), "path": pa.array(keep, pa.int64())})
@@ -468,12 +474,12 @@ def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     key = ["host", "path", "digest"]
     # An address votes once, whatever its fetches; addresses with the same prose vote once together.
     once = leaf.groupBy(*key, "url").agg(
-        F.min("voter").alias("voter"), F.min("body").alias("body"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"),
+        F.min("voter").alias("voter"), F.min("body").alias("body"), F.first("plain").alias("plain"), F.max("fixable").alias("fixable"),
         F.sum("chars").alias("chars"), F.sum(F.when(F.col("link"), F.col("chars")).otherwise(0)).alias("link_chars"), F.count("*").alias("n"),
     )
-    votes = once.groupBy(*key, "voter").agg(F.min("body").alias("body"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
+    votes = once.groupBy(*key, "voter").agg(F.min("body").alias("body"), F.first("plain").alias("plain"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
     few = F.slice(F.array_sort(F.collect_set(F.pmod(F.col("body"), F.lit(1 << 10)))), 1, hosts)  # at most 1,024 values are collected
-    texts = votes.groupBy(*key).agg(F.count("*").alias("voters"), few.alias("bodies"), F.first("plain").alias("plain"), F.first("groups").alias("groups"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
+    texts = votes.groupBy(*key).agg(F.count("*").alias("voters"), few.alias("bodies"), F.first("plain").alias("plain"), F.max("fixable").alias("fixable"), *(F.sum(c).alias(c) for c in ("chars", "link_chars", "n")))
     addresses = leaf.where("first").groupBy("host", "url").agg(F.min("voter").alias("voter")).select("host", "voter").distinct().groupBy("host").agg(F.count("*").alias("addresses"))
     # Variants of the template: by share of a host's addresses, or by hosts. Headings, cells and items of a body recur by
     # chance: only those of a good part of the pages count.
@@ -485,13 +491,13 @@ def main_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     open_chars = F.when(~F.col("variant"), F.col("chars")).otherwise(0)
     zero = F.lit(0).cast("long")
     nodes = texts.groupBy("host", "path").agg(F.sum(open_chars).alias("varying"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.sum(F.when(~F.col("variant"), F.col("n")).otherwise(0)).alias("varying_pages"), zero.alias("marked"))
-    # Groups are told by signature wherever they stand in the site's pages.
-    boxes = texts.withColumn("path", F.explode("groups")).groupBy("host", "path").agg(zero.alias("varying"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), zero.alias("varying_pages"))
-    marked = leaf.where("fixable and size(groups) > 0").select(*key, "page_id").join(marks.select(*key, "groups"), key).select("host", F.explode("groups").alias("path"), "page_id").distinct()
-    boxes = boxes.join(marked.groupBy("host", "path").agg(F.count("*").alias("marked")), ["host", "path"], "left").withColumn("marked", F.coalesce("marked", zero))
+    # Groups are told by signature wherever they stand in the site's pages: pages on which a variant marks one.
+    held = leaf.where("fixable and size(groups) > 0").select(*key, "page_id", "groups").join(marks.select(*key), key, "left_semi")
+    marked = held.select("host", F.explode("groups").alias("path"), "page_id").distinct().groupBy("host", "path").agg(F.count("*").alias("marked"))
     none = F.lit(None).cast("binary").alias("wrapper")
-    stats = nodes.select("*", F.lit("node").alias("kind"), none).unionByName(boxes.select("*", F.lit("group").alias("kind"), none))
-    stats = stats.unionByName(wrappers(parsed).select("host", zero.alias("path"), *(zero.alias(c) for c in ("varying", "chars", "link_chars", "varying_pages", "marked")), F.lit("wrapper").alias("kind"), "wrapper"))
+    empty = [zero.alias(c) for c in ("varying", "chars", "link_chars", "varying_pages")]
+    stats = nodes.select("*", F.lit("node").alias("kind"), none).unionByName(marked.select("host", "path", *empty, "marked", F.lit("group").alias("kind"), none))
+    stats = stats.unionByName(wrappers(parsed).select("host", zero.alias("path"), *empty, zero.alias("marked"), F.lit("wrapper").alias("kind"), "wrapper"))
     keep = stats.groupBy("host").applyInArrow(_decide_groups(min_mark, min_link), "host long, path long")
     # One slot of a large host may hold a good part of all rows: slots are repeated for each salt.
     keep = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
