@@ -6,10 +6,12 @@ Stages (every one a DataFrame, nothing is gathered on the driver):
    (one byte each) and band hashes. Sets are built with NumPy over a whole Arrow batch.
 2. ``classes``     records with equal sets (copies) become one class with its smallest id as representative;
    counting is pre-aggregated before the shuffle, so a text copied into a third of all rows costs one row a task.
-3. ``candidates``  representatives that share a band. A band bucket larger than ``block`` is cut into blocks and
-   every pair of blocks becomes a group of its own, so no bucket is ever one task's work and none is capped.
+3. ``candidates``  representatives that share a band. A bucket of more than ``few`` ids is cut into blocks, its ids get
+   their MinHash values there, and every pair of blocks becomes a group of its own whose pairs are pruned where they
+   are made: a hot bucket is never one task's work, gives out no pair that pruning drops, and is not capped.
 4. ``prune``       MinHash values are compared in steps; after n values with m matches a pair is dropped when the
-   posterior probability (uniform prior) of similarity >= threshold is below ``tolerance``.
+   posterior probability (uniform prior) of similarity >= threshold is below ``tolerance``. Pairs of small buckets,
+   at most ``few`` / 2 a record and band, are joined with their values for it.
 5. ``verify``      the remaining pairs are decided by the exact Jaccard similarity of their texts.
 
 Null texts and texts with fewer words than a run have no set and no pair. Copies are pairs (similarity 1).
@@ -142,21 +144,34 @@ def min_matches(steps: list[int], threshold: float, tolerance: float) -> list[in
     return out
 
 
-def _prune_batches(n_hash: int, threshold: float, tolerance: float, step: int):
-    steps = [*range(step, n_hash, step), n_hash]
-    least = min_matches(steps, threshold, tolerance)
+class Pruning:
+    """The incremental comparison of MinHash values: (number of values, fewest matches) of every step."""
 
+    def __init__(self, n_hash: int, threshold: float, tolerance: float, step: int) -> None:
+        self.n_hash = n_hash
+        steps = [*range(step, n_hash, step), n_hash]
+        self.steps = list(zip(steps, min_matches(steps, threshold, tolerance), strict=True))
+
+    def values(self, column: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, self.n_hash)
+
+    def alive(self, x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs (x[p], y[q]) are left."""
+        alive, m, done = np.arange(len(p)), np.zeros(len(p), np.int32), 0
+        for n, need in self.steps:
+            m = m + (x[p[alive], done:n] == y[q[alive], done:n]).sum(1)
+            ok = m >= need
+            alive, m, done = alive[ok], m[ok], n
+        return alive
+
+
+def _prune_batches(pruning: Pruning):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, n_hash) for c in (2, 3))
-            alive, m, done = np.arange(b.num_rows), np.zeros(b.num_rows, np.int32), 0
-            for n, need in zip(steps, least, strict=True):
-                m = m + (x[alive, done:n] == y[alive, done:n]).sum(1)
-                ok = m >= need
-                alive, m, done = alive[ok], m[ok], n
-            yield b.select([0, 1]).take(pa.array(alive))
+            if b.num_rows:
+                every = np.arange(b.num_rows)
+                x, y = (pruning.values(b.column(c).to_pylist()) for c in (2, 3))
+                yield b.select([0, 1]).take(pa.array(pruning.alive(x, every, y, every)))
 
     return run
 
@@ -193,7 +208,7 @@ def _texts(df: DataFrame, id_col: str, text) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
 
 
-def near_duplicates(df: DataFrame, id_col: str, text, k: int = 5, threshold: float = 0.8, bands: int = 50, rows: int = 4, tolerance: float = 1e-4, step: int = 20, block: int = 500) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text, k: int = 5, threshold: float = 0.8, bands: int = 50, rows: int = 4, tolerance: float = 1e-4, step: int = 20, block: int = 500, few: int = 32) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of class representatives and the membership of every record with a set of runs.
 
     text: a Column. Returns (pairs(rep_a, rep_b, similarity), members(id, rep)), rep_a < rep_b.
@@ -206,14 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str, text, k: int = 5, threshold: flo
     members = sigs.select("id", "fp1", "fp2").join(firsts, ["fp1", "fp2"]).select("id", "rep")
     reps = sigs.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "sig", "bands").dropDuplicates(["id"])
     reps = cut_lineage(reps)
-    pairs = candidate_pairs(reps.select(F.explode("bands").alias("bucket"), "id"), block)
-    side = reps.select("id", "sig")
-    pairs = (
-        pairs.join(side.withColumnsRenamed({"id": "rep_a", "sig": "sig_a"}), "rep_a")
-        .join(side.withColumnsRenamed({"id": "rep_b", "sig": "sig_b"}), "rep_b")
-        .select("rep_a", "rep_b", "sig_a", "sig_b")
-        .mapInArrow(_prune_batches(bands * rows, threshold, tolerance, step), "rep_a long, rep_b long")
-    )
+    pairs = candidate_pairs(reps.select(F.explode("bands").alias("bucket"), "id"), reps.select("id", "sig"), Pruning(bands * rows, threshold, tolerance, step), block, few)
     pairs = cut_lineage(pairs)
     text_of = src.dropDuplicates(["id"]) if _repeats(sigs) else src
     pairs = (
@@ -229,7 +237,7 @@ def _repeats(sigs: DataFrame) -> bool:
     return not sigs.groupBy("id").count().where("count > 1").isEmpty()
 
 
-def _bucket_batches(block: int):
+def _bucket_batches(block: int, few: int):
     """Runs of equal buckets in sorted batches: pairs of the small runs, blocks of ids of the large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +260,7 @@ def _bucket_batches(block: int):
             two = two[[int(b[x]) not in blocks_of for x in two]] if blocks_of else two
             yield "pairs", i[two], i[two + 1], None
             for s, e in zip(starts[size != 2], ends[size != 2], strict=True):
-                if blocks_of and int(b[s]) in blocks_of or e - s > block:
+                if blocks_of and int(b[s]) in blocks_of or e - s > few:
                     at = blocks_of.pop(int(b[s]), 0)
                     for x in range(s, e, block):
                         yield "block", int(b[s]), at, i[x : min(x + block, e)]
@@ -288,42 +296,72 @@ def _bucket_batches(block: int):
     return run
 
 
-def _cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within one block, or between two."""
-    for batch in batches:
-        for sides in batch.column(0).to_pylist():
-            sides = [np.array(s["ids"], np.int64) for s in sides]
-            if len(sides) == 1:
-                p, q = np.triu_indices(len(sides[0]), 1)
-                x, y = sides[0][p], sides[0][q]
-            else:
-                x, y = np.repeat(sides[0], len(sides[1])), np.tile(sides[1], len(sides[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+def _cell_batches(pruning: Pruning, at_once: int = 20_000):
+    """Pairs within one block, or between two, that pruning leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sides in batch.column(0).to_pylist():
+                ids = [np.array([m["id"] for m in s["members"]], np.int64) for s in sides]
+                values = [pruning.values([m["sig"] for m in s["members"]]) for s in sides]
+                one = len(sides) == 1
+                p, q = np.triu_indices(len(ids[0]), 1) if one else (np.repeat(np.arange(len(ids[0])), len(ids[1])), np.tile(np.arange(len(ids[1])), len(ids[0])))
+                for k in range(0, len(p), at_once):
+                    a, b = p[k : k + at_once], q[k : k + at_once]
+                    left = pruning.alive(values[0], a, values[-1], b)
+                    x, y = ids[0][a[left]], ids[-1][b[left]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    return run
 
 
-def candidate_pairs(bucketed: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs (rep_a < rep_b) of ids that share a bucket, from rows (bucket, id) without repeats.
+def candidate_pairs(bucketed: DataFrame, values: DataFrame, pruning: Pruning, block: int, few: int) -> DataFrame:
+    """Distinct pairs (rep_a < rep_b) of ids that share a bucket and that pruning leaves, from rows (bucket, id) without
+    repeats and the MinHash values (id, sig).
 
-    One shuffle brings a bucket together. A bucket above ``block`` ids leaves that task as blocks of ids, and
-    every pair of its blocks is worked off elsewhere as a group of its own.
+    One shuffle brings a bucket together. A bucket above ``few`` ids leaves that task as blocks of at most ``block`` ids,
+    and every pair of its blocks is worked off elsewhere as a group of its own.
     """
     parts = cut_lineage(
-        bucketed.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id").mapInArrow(_bucket_batches(block), "x long, y long, bucket long, at int, ids array<long>").where("bucket is not null or x <> y").distinct()
+        bucketed.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id").mapInArrow(_bucket_batches(block, few), "x long, y long, bucket long, at int, ids array<long>").where("bucket is not null or x <> y").distinct()
     )
     small = parts.where("bucket is null").select("x", "y")
+    small = (
+        small.join(values.withColumnsRenamed({"id": "x", "sig": "sig_x"}), "x")
+        .join(values.withColumnsRenamed({"id": "y", "sig": "sig_y"}), "y")
+        .select("x", "y", "sig_x", "sig_y")
+        .mapInArrow(_prune_batches(pruning), "x long, y long")
+    )
     blocks = parts.where("bucket is not null").select("bucket", "at", "ids")
     counts = blocks.groupBy("bucket").agg((F.max("at") + 1).alias("n"))
-    cells = blocks.join(counts, "bucket").select("bucket", "at", "ids", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-    cells = cells.groupBy("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).agg(F.collect_list(F.struct("ids")).alias("sides"))
-    large = cells.select("sides").mapInArrow(_cell_batches, "x long, y long").where("x <> y")
+    # Values are joined once a block, whose size is bounded, and go along with it into its cells.
+    named = blocks.select("bucket", "at", F.explode("ids").alias("id")).join(values, "id").groupBy("bucket", "at").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
+    cells = named.join(counts, "bucket").select("bucket", "at", "members", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
+    cells = cells.groupBy("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")).agg(F.collect_list(F.struct("members")).alias("sides"))
+    large = cells.select("sides").mapInArrow(_cell_batches(pruning), "x long, y long").where("x <> y")
     return small.unionByName(large).distinct().withColumnsRenamed({"x": "rep_a", "y": "rep_b"})
 
 
+#: Members of a class that one task pairs with the rest of it.
+SHARE = 4_096
+
+
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of records: those of similar classes, and the copies within a class. (id_a, id_b), id_a < id_b."""
-    a, b = members.withColumnsRenamed({"id": "x", "rep": "rep_a"}), members.withColumnsRenamed({"id": "y", "rep": "rep_b"})
-    across = pairs.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").select("x", "y")
-    within = a.join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("x < y").select("x", "y")
+    """All pairs of records: those of similar classes, and the copies within a class. (id_a, id_b), id_a < id_b.
+
+    The pairs of a class of more than SHARE copies are made by several tasks: its members are dealt out on one side and
+    repeated for each deal on the other.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / SHARE).cast("int").alias("deals"))
+    several = members.join(sizes, "rep")
+    dealt = several.select("rep", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"), F.col("id").alias("x"))
+    all_of = several.select("rep", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("id").alias("y"))
+    within = dealt.join(all_of, ["rep", "deal"]).where("x < y").select("x", "y")
+    deals = members.join(sizes, "rep", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    a = deals.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))
+    of_a = sizes.withColumnsRenamed({"rep": "rep_a"})
+    spread = pairs.select("rep_a", "rep_b").join(of_a, "rep_a", "left").select("rep_a", "rep_b", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+    across = spread.join(a, ["rep_a", "deal"]).select("rep_b", "x").join(members.withColumnsRenamed({"id": "y", "rep": "rep_b"}), "rep_b").select("x", "y")
     both = across.unionByName(within).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 

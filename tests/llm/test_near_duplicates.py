@@ -35,11 +35,12 @@ def texts(n=160, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("block", [3, 500])
-def test_pairs_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block,few,share", [(3, 2, 5), (500, 32, 4_096), (4, 500, 1)])
+def test_pairs_equal_brute_force(spark, monkeypatch, block, few, share):
+    monkeypatch.setattr(nd, "SHARE", share)
     rows = texts()
     df = spark.createDataFrame(rows, "id int, text string").repartition(3)
-    pairs, members = nd.near_duplicates(df, "id", F.col("text"), k=3, threshold=0.6, block=block)
+    pairs, members = nd.near_duplicates(df, "id", F.col("text"), k=3, threshold=0.6, block=block, few=few)
     got = {(r.id_a, r.id_b) for r in nd.expand_pairs(pairs, members).collect()}
     assert got == brute(rows, 3, 0.6)
 
@@ -63,6 +64,20 @@ def test_a_hot_copy_group_is_one_class(spark):
     assert classes.where("class_id = 0").count() == 1000
 
 
+def test_a_hot_bucket_gives_out_only_what_pruning_leaves(spark):
+    # 300 texts share a long beginning, and so bands, but none is similar to another.
+    rng, common = random.Random(2), " ".join(f"c{i}" for i in range(30))
+    rows = [(i, common + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(45))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    sigs = df.mapInArrow(nd._signature_batches(3, 50, 4), "id long, fp1 long, fp2 long, sig binary, bands array<long>").cache()
+    pruning = nd.Pruning(200, 0.6, 1e-4, 20)
+    buckets = sigs.select(F.explode("bands").alias("bucket"), "id")
+    assert buckets.groupBy("bucket").count().where("count > 32").count() > 0
+    assert nd.candidate_pairs(buckets, sigs.select("id", "sig"), pruning, 50, 32).count() < 0.05 * 300 * 299 / 2
+    pairs, members = nd.near_duplicates(df, "id", F.col("text"), k=3, threshold=0.6, block=50)
+    assert {(r.id_a, r.id_b) for r in nd.expand_pairs(pairs, members).collect()} == brute(rows, 3, 0.6)
+
+
 def test_classes_join_chains(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (3, 9), (7, 8), (8, 9)], "a long, b long")
     got = {r.id: r.component for r in nd.components(edges, "a", "b").collect()}
