@@ -2,8 +2,8 @@
 
 1. Vectors that are equal become one point that carries its few smallest ids; null, empty, all-zero, non-finite
    vectors and those of another dimension than ``dim`` take no part.
-2. Pivots (k-means) and a projection (PCA) are fitted on a bounded sample of ``sample`` points, the ones with the
-   smallest hash. Every point is indexed: in the shard of its nearest pivot and of up to ``overlap`` - 1 others that
+2. Pivots (k-means) and a projection (PCA) are fitted on a bounded sample of ``sample`` points or three a pivot, the
+   ones with the smallest hash. Every point is indexed: in the shard of its nearest pivot and of up to ``overlap`` - 1 others that
    are nearly as close, so that neighbours parted by a border still meet. A shard above ``shard`` points is cut
    into sub-shards, each with a graph of its own that all points of the shard query, in blocks.
 3. A shard's graph is grown in batches: a greedy search from seeds proposes neighbours, relaxed distance pruning
@@ -332,6 +332,13 @@ def _shard_groups(dim: int, k: int, basis: np.ndarray, degree: int, width: int,
     return run
 
 
+def pivot_plan(n: int, shard: int, sample: int, max_pivots: int) -> tuple[int, int]:
+    """(pivots, sampled points) for n points: pivots in proportion to the points up to ``max_pivots``, and at least three
+    sampled points a pivot. Both are bounded by ``max_pivots``, above which shards are cut into sub-shards."""
+    pivots = max(1, min(max_pivots, round(1.6 * n / shard)))
+    return pivots, max(sample, 3 * pivots)
+
+
 def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | None = None, sample: int = 10_000, shard: int = 6_000, overlap: int = 3, slack: float = 0.12, max_pivots: int = 16_384, project: int = 48, degree: int = 16, width: int = 24, beam: int = 40) -> DataFrame:
     """(id, rank, neighbour, distance): the k closest other vectors of every usable vector."""
     spark = df.sparkSession
@@ -352,10 +359,11 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int | Non
     if n == 0:
         return spark.createDataFrame([], schema)
     # The only rows that reach the driver: a bounded sample to fit pivots and projection.
+    wanted, sample = pivot_plan(n, shard, sample, max_pivots)
     lucky = F.pmod(F.xxhash64("fp1"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.2 * sample / n))
     seen = points.where(lucky).orderBy(F.xxhash64("fp1"), "fp1").limit(sample).select("vec").toArrow().column("vec").to_pylist()
     x = _unit(seen, dim).astype(np.float32)
-    pivots = kmeans(x, max(1, min(max_pivots, len(x) // 2 or 1, round(1.6 * n / shard))))
+    pivots = kmeans(x, max(1, min(wanted, len(x) // 2)))
     _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
     basis = np.ascontiguousarray(vectors[:, ::-1][:, : min(project, dim)], np.float32)
     subs: dict[int, int] = {}

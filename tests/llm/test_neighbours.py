@@ -57,3 +57,9 @@ def test_pruning_keeps_diverse_edges():
     assert (g.edges[:400] <= 400).all() and (g.count <= g.room).all()
     found, sim = g.search(g.x[:50], 16)
     assert (found[:, 0] == np.arange(50)).mean() > 0.9 and (np.diff(sim, axis=1) <= 1e-6).all()
+
+
+def test_pivots_grow_with_the_points():
+    plan = lambda n: nb.pivot_plan(n, 6_000, 10_000, 16_384)
+    assert plan(1) == (1, 10_000) and plan(120_000) == (32, 10_000)
+    assert plan(18_750_000) == (5_000, 15_000) and plan(40_000_000) == (10_667, 32_001) and plan(10**10) == (16_384, 49_152)
