@@ -189,7 +189,11 @@ def check_backend(backend: str, method: str, index: DataFrame, copy: DataFrame |
 
 def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, bucket: float = 0.6, tables: int = 8, reach: float = 0.7) -> DataFrame:
     """Approximate k nearest chunks: random projections propose candidates within ``reach`` (Euclidean distance of
-    unit vectors), which are ranked exactly. Recall is measured by ``recall`` against ``vector``."""
+    unit vectors), which are ranked exactly; queries with fewer than k candidates are answered by the exact search.
+
+    Recall against ``vector`` is 1.0 on the test tables (query vector_lsh_recall); a test holds it at 0.9 or more. It pays
+    only where the exact scan is dear: at 12,000 rows that is faster.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -202,7 +206,11 @@ def lsh_neighbours(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, bucket
     rows, asked = unit(chunks, "id", "embedding"), unit(queries, "qid", "vec")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(rows)
     near = model.approxSimilarityJoin(asked, rows, reach, "e")
-    scores = near.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias("id"), F.round(F.col("e") * F.col("e") / 2, UNROUNDED).alias("score")).where("qid <> id")
+    scores = cut_lineage(near.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias("id"), F.round(F.col("e") * F.col("e") / 2, UNROUNDED).alias("score")).where("qid <> id"))
+    # Queries without k candidates within reach are answered by the exact search.
+    enough = scores.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    rest = queries.select(F.col("qid").cast("long").alias("qid"), "vec").join(enough, "qid", "left_anti")
+    scores = scores.join(enough, "qid", "left_semi").unionByName(vector_scores(chunks, rest, k))
     return lexical.top(scores, chunks.withColumn("id", F.col("id").cast("long")), k, ascending=True)
 
 

@@ -181,7 +181,7 @@ ORACLE: dict[str, str] = {
       SELECT CAST(id AS BIGINT) AS id, round(coalesce(y, least(y, o, a)) - coalesce(o, least(y, o, a)), 6) AS relevance FROM l WHERE y IS NOT NULL OR o IS NOT NULL OR a IS NOT NULL""",
     "topk_then_join": _LEXICAL + " SELECT qid, rank, ranked.section AS section, url || coalesce('#' || nullif(anchor, ''), '') AS citation FROM ranked JOIN chunks c ON c.id = ranked.id JOIN index_documents d ON d.id = c.document_id WHERE rank <= 5",
     "label_knn_hit": """WITH u AS (SELECT vec_id AS id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
-      d AS (SELECT a.id AS qid, a.label AS l, b.label AS m, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_inner_product(a.e, b.e), 6), b.id) AS n FROM u a JOIN u b ON a.id <> b.id)
+      d AS (SELECT a.id AS qid, a.label AS l, b.label AS m, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_inner_product(a.e, b.e), 6), b.id) AS n FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 100 = 0)
       SELECT CAST(l AS BIGINT) AS label, count(*) AS n, round(avg(CASE WHEN l = m THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM d WHERE n = 1 GROUP BY l""",
     "change_detect": f"""WITH {_NEW} SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'removed' WHEN o.content_hash IS NOT DISTINCT FROM n.content_hash AND o.index_config IS NOT DISTINCT FROM n.index_config THEN 'unchanged' ELSE 'changed' END AS state
       FROM index_documents o FULL JOIN fresh n ON o.url = n.url""",

@@ -285,9 +285,9 @@ def topk_then_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def label_knn_hit(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors whose nearest other vector has the same label, by label."""
+    """Whether the nearest other vector has the same label, for every vector whose id is divisible by 100, by label."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    near = retrieval.vector_scores(e, e.select(F.col("id").alias("qid"), F.col("embedding").alias("vec")), 1)
+    near = retrieval.vector_scores(e, e.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vec")), 1)
     best = near.groupBy("qid").agg(F.min(F.struct("score", "id")).alias("x")).select("qid", F.col("x.id").alias("id"))
     a, b = e.select(F.col("id").alias("qid"), F.col("label").alias("l")), e.select("id", F.col("label").alias("m"))
     hit = best.join(a, "qid").join(b, "id").select(F.col("l").cast("long").alias("label"), (F.col("l") == F.col("m")).cast("double").alias("hit"))

@@ -433,3 +433,12 @@ def test_agent_report_and_long_tables(spark):
     said = reports.agent(evaluation.check_rates(checked), checked, evaluation.CHECKS)
     assert "b   tools, passages, citations, answered" in said and "c   arguments, place" in said
     assert reports.table(spark.range(30), 10).endswith("... and 20 more")
+
+
+def test_approximate_search_has_recall_and_fills_up(spark):
+    c = table(spark, SMALL, "chunks")
+    q = c.where("id % 10 = 0").select(F.col("id").cast("long").alias("qid"), F.col("embedding").alias("vec"))
+    exact = retrieval.vector(c, q)
+    assert retrieval.recall(retrieval.lsh_neighbours(c, q), exact).first().recall >= 0.9
+    near = retrieval.lsh_neighbours(c, q, reach=0.01)
+    assert near.count() == exact.count() and retrieval.recall(near, exact).first().recall == 1.0
