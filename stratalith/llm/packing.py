@@ -195,7 +195,8 @@ def _place_batches(plans: dict[int, dict[int, np.ndarray]]):
 def pack(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_salt: int = 200_000) -> DataFrame:
     """Assignment of every piece of every document, for every window:
 
-    (window_id, container, doc_id, piece, start, tokens, doc_tokens); start is the piece's first token.
+    (window_id, container, doc_id, piece, start, tokens, doc_tokens); start is the piece's first token. Pieces of one
+    length are interchangeable: which of them goes where depends on ``rows_per_salt``, the containers' lengths do not.
     """
     # The windows are a fixed small table; a plan has at most a few rows per possible length.
     caps = {int(r.window_id): int(r.capacity) for r in windows.select("window_id", "capacity").where("window_id is not null and capacity > 0").distinct().collect()}

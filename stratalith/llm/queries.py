@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalith.llm import near_duplicates as nd
 from stratalith.llm import leakage, main_content, neighbours, packing, splitting, term_counts, toxicity
-from stratalith.session import table
+from stratalith.session import cut_lineage, table
 
 #: Runs of three words and a similarity of 0.6 define p1's cases.
 P1 = {"k": 3, "threshold": 0.6}
@@ -40,6 +40,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunk_files"))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per page: words of its elements, which the pieces' own parts must hold once, and pieces above the limit."""
+    limit = table(spark, d, "chunk_files").select("url", F.col("chunking.max_tokens").alias("most")).distinct()
+    own = F.substring(F.col("content"), F.col("own_start") + 1, F.length("content"))
+    pieces = p2_pieces(spark, d).join(limit, "url").select("url", F.size(F.regexp_extract_all(F.coalesce(own, F.lit("")), F.lit(r"(\S+)"), 1)).alias("words"), (F.col("oversized") & (F.col("tokens") > F.col("most"))).cast("long").alias("over"))
+    return pieces.groupBy("url").agg(F.sum("words").alias("words"), F.sum("over").alias("over"))
+
+
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five closest other chunks of every chunk with a usable vector, in order."""
     return neighbours.nearest(table(spark, d, "chunks"), "id", "embedding", dim=128)
@@ -87,6 +95,19 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return g.join(w, "window_id").select("window_id", "capacity", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("used"))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per window: tokens placed, containers above the capacity, documents whose tokens aren't placed once, and whether
+    0.97 of the space is used (a table of little text may leave its last container open)."""
+    w = table(spark, d, "context_windows").select(F.col("window_id").cast("long").alias("window_id"), "capacity")
+    placed = cut_lineage(_p6(spark, d))
+    full = placed.where("container is not null").groupBy("window_id", "container").agg(F.sum("tokens").alias("held")).join(F.broadcast(w), "window_id")
+    full = full.groupBy("window_id", "capacity").agg(F.count_if(F.col("held") > F.col("capacity")).alias("over"), F.count("*").alias("containers"), F.sum("held").alias("tokens"))
+    docs = placed.groupBy("window_id", "doc_id").agg(F.sum("tokens").alias("placed"), F.max("doc_tokens").alias("own"), F.count_distinct("start").alias("starts"), F.count("*").alias("n"))
+    wrong = docs.groupBy("window_id").agg(F.count_if((F.col("placed") != F.col("own")) | (F.col("starts") != F.col("n"))).alias("wrong"))
+    used = F.col("tokens") >= 0.97 * (F.col("containers") - 1) * F.col("capacity")
+    return full.join(wrong, "window_id").select("window_id", "tokens", "over", "wrong", used.alias("full"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.disclosures(table(spark, d, "documents"), table(spark, d, "eval_questions"), "doc_id", "text", "id", "passage")
 
@@ -111,5 +132,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_wrappers, p6_found, p6_assignment, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_pieces, p2_checks, p3_found, p3_neighbours, p4_found, p4_terms, p5_found, p5_wrappers, p6_found, p6_assignment, p6_fill, p6_checks, p7_found, p7_items, p8_found, p8_scores, p8_rates)
 }

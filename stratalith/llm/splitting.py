@@ -50,8 +50,9 @@ def _parts(text: str, start: int, end: int, level: int, limit: int, word_chars:
 
     ``forced`` gets an entry for every stretch without natural boundary that is above the limit.
     """
-    words = len(text[start:end].split())
-    if words <= limit and not (words and end - start > word_chars):
+    found = text[start:end].split()
+    words = len(found)
+    if words <= limit and max(map(len, found), default=0) <= word_chars:
         yield start, end, words
         return
     if level == WORD_LEVEL and words > limit:

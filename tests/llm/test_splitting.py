@@ -57,3 +57,14 @@ def test_dirty_files(spark):
     assert [p.cut for p in by[("u", 4)]][0] == "forced" and by[("u", 4)][0].anchor == "c"
     assert by[("u", 0)][0].content is None and not by[("v", 0)][0].oversized and len(by[("u", 2)]) == 1
     assert sp.split_oversized(df.limit(0)).count() == 0
+
+
+def test_only_single_words_are_cut_by_characters():
+    ordinary = " ".join("w" * 90 for _ in range(150))  # 13,649 characters, every word fits
+    text = ordinary + "\n" + " ".join("v" * 90 for _ in range(150))
+    pieces, forced = sp.split_item(text, 200, 0)
+    assert not forced and [text[s:e].split()[0][0] for _, s, e in pieces] == ["w", "v"]
+    for n, want in ((10_000, 1), (10_001, 2), (30_001, 4)):
+        word = "x" * n
+        pieces, _ = sp.split_item(f"a b c {word} d e f", 3, 0)
+        assert sum(text.count("x") > 0 for text in (f"a b c {word} d e f"[s:e] for _, s, e in pieces)) == want
