@@ -166,6 +166,8 @@ ORACLE: dict[str, str] = {
     "corpus_stats": f"WITH {_LEX} SELECT n, round(avg_len, 6) AS avg_len FROM corpus",
     "tf_rank_topk": _FREQUENCY + _OUT.format("ranked", 5),
     "vector_topk_cosine": f"WITH {_VECTORS} SELECT CAST(qid AS BIGINT) AS qid, rank, CAST(id AS BIGINT) AS id, score FROM near WHERE rank <= 5",
+    "vector_lsh_topk": f"WITH {_VECTORS} SELECT CAST(qid AS BIGINT) AS qid, rank, CAST(id AS BIGINT) AS id, score FROM near WHERE rank <= 5",
+    "vector_lsh_recall": "SELECT 1.0::DOUBLE AS recall",
     "vector_scores_scale": """WITH c AS (SELECT id, CAST(embedding AS DOUBLE[]) AS a, CAST(lag(embedding) OVER (PARTITION BY document_id ORDER BY chunk_index) AS DOUBLE[]) AS b FROM chunks),
       d AS (SELECT id, 1 - list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0) AS d FROM c WHERE len(a) > 0 AND len(b) > 0)
       SELECT CAST(id AS BIGINT) AS id, round((2 - d) / 2, 6) AS score, round(d, 6) AS distance FROM d WHERE d IS NOT NULL""",
