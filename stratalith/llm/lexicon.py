@@ -56,7 +56,7 @@ ORDER = "OSIGBVAECXdWikmobMZaReHurtslYQThLPnUw"
 
 #: Set phrases: class -> alternatives, as words.
 PHRASES: dict[str, tuple[str, ...]] = {
-    "insult": ("piece of shit", "piece of trash", "piece of garbage", "waste of space", "waste of air", "waste of oxygen", "human trash", "human garbage", "basura humana", "menschlicher abfall", "menschlicher müll", "déchet humain", "son of a bitch", "good for nothing", "hijo de puta", "hijos de puta", "pedazo de mierda", "stück scheiße", "stück dreck", "fils de pute", "tas de merde", "sac à merde", "pauvre type", "sale type", "pauvre con", "stupid cow", "fat pig", "dumme kuh", "blöde kuh", "grosse vache", "no brain", "half a brain", "dropped on your head", "dropped on the head", "as useless as", "dumb as", "stupid as", "more brains than", "brain of a", "sin cerebro", "kein hirn", "sans cervelle"),
+    "insult": ("piece of shit", "piece of trash", "piece of garbage", "waste of space", "waste of air", "waste of oxygen", "human trash", "human garbage", "basura humana", "menschlicher abfall", "menschlicher müll", "déchet humain", "son of a bitch", "good for nothing", "hijo de puta", "hijos de puta", "pedazo de mierda", "stück scheiße", "stück dreck", "fils de pute", "tas de merde", "sac à merde", "pauvre type", "sale type", "pauvre con", "your mother", "tu madre", "deine mutter", "ta mère", "stupid cow", "fat pig", "dumme kuh", "blöde kuh", "grosse vache", "no brain", "half a brain", "dropped on your head", "dropped on the head", "as useless as", "dumb as", "stupid as", "more brains than", "brain of a", "sin cerebro", "kein hirn", "sans cervelle"),
     "dismiss": ("shut up", "shut your mouth", "shut your face", "shut your trap", "get lost", "go to hell", "drop dead", "piss off", "fuck off", "fuck you", "screw you", "go die", "kill yourself", "hang yourself", "kys", "crawl back", "crawl away", "vete a la mierda", "vete al infierno", "vete al diablo", "que te den", "cierra la boca", "cierra el pico", "muérete", "mátate", "halt die klappe", "halt die fresse", "halt den mund", "halt dein maul", "fahr zur hölle", "verpiss dich", "hau ab", "fick dich", "leck mich", "bring dich um", "ferme la", "ferme ta gueule", "ta gueule", "va te faire", "va au diable", "va mourir", "fous le camp", "casse toi", "va crever"),
     "self": ("silly me", "my own fault", "my bad", "stupid of me", "foolish of me", "dumb of me", "qué tonto", "qué idiota", "tonto de mí", "ich idiot", "ich depp", "ich dussel", "wie dumm von mir", "quel idiot je", "idiot que je suis", "bête de ma part", "what an idiot i", "tonto fui", "idiota fui"),
     "purge": ("driven out", "drive them out", "throw them out", "kick them out", "send them back", "sent back", "wiped out", "get rid of", "rounded up", "better without", "better off without", "cleaner without", "mejor sin", "más limpio sin", "besser ohne", "sauberer ohne", "mieux sans", "plus propre sans", "locked up", "burn down", "back where they came", "back to where", "echarlos", "que se vayan", "a la calle", "fuera de aquí", "raus aus", "ausländer raus", "werft sie raus", "schickt sie", "les chasser", "qu ils partent", "rentrent chez", "dehors les", "hors de"),

@@ -75,6 +75,11 @@ WHOLE, BEGIN = _lexicon()
 CODE = {c: k + 1 for k, c in enumerate(ORDER)} | {"x": 64}
 
 
+_CHARS = np.full(128, ord("."), np.uint8)
+for _c, _k in CODE.items():
+    _CHARS[_k] = ord(_c)
+
+
 def class_of(word: str) -> str:
     """The class of a folded word, "." for none."""
     if (c := WHOLE.get(word)) is not None:
@@ -90,19 +95,19 @@ def _phrase(kind: str) -> str:
 
 
 def _voters() -> list[tuple[str, int, bool, str]]:
-    """(category, +1 or -1, over words instead of classes, pattern)."""
+    """(category, +1, -1 or -2 for an exception to rule, over words instead of classes, pattern)."""
     a, h, s = CATEGORIES
     classes = [
         (a, 1, r"Y[^r]{0,4}I"), (a, 1, r"[IA][^r]{0,3}Y"), (a, 1, r"AI|IA|I.A"), (a, 1, r"i.{0,4}[YIA]"), (a, 1, r"[QU].{0,3}V.{0,3}Y|Y.{0,3}[QU].{0,2}V"), (a, 1, r"V.?Y.{0,6}[XbH]"),
         (a, 1, r"W.{0,6}Y.{0,4}[XdV]|W.{0,4}V.{0,3}Y|W.{0,4}[Xd]"), (a, 1, r"Y.{0,4}[Xd](?!.?t)"), (a, 1, r"n.{0,4}k.{0,3}Y|n.{0,4}Y.{0,3}k"), (a, 1, r"Y.{0,3}A"), (a, 1, r"I.{1,8}I"), (a, 1, r"X[^t]{0,3}Y"), (a, 1, r"w.{0,2}I|w.?A.?I"), (a, 1, r"[UX].{0,4}I|I.{0,3}[UX]"), (a, 1, r"^[^trs]*I[^trs]*$"),
-        (a, -1, r"^[^Y]*Q.{0,4}[IA][^Y]*$"), (a, -1, r"s.{0,4}[IA]|[IA].{0,4}s"), (a, -1, r"r.{0,6}[IVAX]|[IVAX].{0,6}r"), (a, -1, r"[IVAXd].?t|t.{0,2}[IVAXd]"),
+        (a, -2, r"^[^Y]*(?:Q.{0,4}[IA]|[IA].{0,3}Q)[^Y]*$"), (a, -2, r"wI.?Q|Q.?w.{0,2}I"), (a, -1, r"s.{0,4}[IA]|[IA].{0,4}s"), (a, -1, r"r.{0,6}[IVAX]|[IVAX].{0,6}r"), (a, -1, r"[IVAXd].?t|t.{0,2}[IVAXd]"),
         (h, 1, r"G.{0,5}[BSCA]"), (h, 1, r"[BSCA].{0,4}G"), (h, 1, r"[Ld].{1,3}P.{0,4}[BSC]|T.{0,2}P.{0,4}[BS]|.P.{0,3}B"), (h, 1, r"G.{0,6}E|E.{0,5}G"), (h, 1, r"[eE].{0,6}H"), (h, 1, r"G.{0,5}n.{0,4}R|n.{0,5}R.{0,6}G|G.{0,3}R"),
         (h, 1, r"L.{0,3}G.{0,8}[BSCEXVI]"), (h, 1, r"S"), (h, 1, r"n.{0,5}G.{0,3}H|n.{0,4}[kR].{0,4}G"), (h, 1, r"T.{0,4}[BS]|T.{0,5}C"), (h, 1, r"n.{0,2}R.{0,8}[CBST]|C.{0,4}n.{0,2}R"), (h, 1, r"n.{0,3}[Rk].{0,3}H"), (h, 1, r"n.{0,2}[RW].{0,3}R"), (h, 1, r"^[^tru]*G.{0,8}[nERC][^tru]*$"),
         (h, -1, r"B.{0,4}t|t.{0,4}B"), (h, -1, r"r.{0,6}[GBSC]|[GBSC].{0,4}r"), (h, -1, r"u.{0,6}G|G.{0,6}u"), (h, -1, r"^[^GLTSE]*B[^GLTSE]*$"), (h, -1, r"[eE].{0,4}t"),
-        (s, 1, r"O"), (s, 1, r"o.{0,4}[bMYmQa]|[bMYmQha].{0,4}o"), (s, 1, r"Z.{0,2}M|M.{0,4}Z|Z.{0,4}Z"), (s, 1, r"h.{0,3}b.*m|m.*h.{0,3}b|m.{0,4}b|b.{0,4}m"), (s, 1, r"a.{0,5}[OoMZ]|[OoMZ].{0,5}a"), (s, 1, r"O.{0,8}[OomMZYa]|[omMZYa].{0,8}O"), (s, 1, r"[mo].{0,6}[mb].{0,6}[hmob]"), (s, 1, r"h.{0,3}m.{0,8}[hmob]"), (s, 1, r"o.?b|b.?o"),
+        (s, 1, r"O"), (s, 1, r"o.{0,4}[bMYmQa]|[bMYmQha].{0,4}o"), (s, 1, r"Z.{0,2}M|M.{0,4}Z|Z.{0,4}Z"), (s, 1, r"h.{0,3}b.*m|m.*h.{0,3}b|m.{0,4}b|b.{0,4}m"), (s, 1, r"a.{0,5}[OoMZ]|[OoMZ].{0,5}a"), (s, 1, r"O.{0,8}[OomMZYa]|[omMZYa].{0,8}O"), (s, 1, r"[mo].{0,6}[mb].{0,6}[hmob]"), (s, 1, r"h.{0,3}m.{0,8}[hmob]"), (s, 1, r"o.?b|b.?o"), (s, 1, r"h.{0,2}[ob].{0,14}h.{0,4}[ob]"),
         (s, -1, r"o.{0,3}t|t.{0,3}o"), (s, -1, r"[ObZ].{0,3}l|l.{0,3}[ObZ]"), (s, -1, r"r.{0,5}[OoZM]|[OoZM].{0,3}r"), (s, -1, r"^[^OZ]*o[^OZMmbh]*$"),
     ]
-    words = [(a, 1, "insult"), (a, 1, "dismiss"), (a, -1, "self"), (h, 1, "purge"), (h, 1, "less"), (s, 1, "solicit")]
+    words = [(a, 1, "insult"), (a, 1, "dismiss"), (a, -2, "self"), (h, 1, "purge"), (h, 1, "less"), (s, 1, "solicit")]
     return [(c, v, False, p) for c, v, p in classes] + [(c, v, True, _phrase(p)) for c, v, p in words]
 
 
@@ -188,12 +193,27 @@ def joined(text: str) -> str:
 class Tokens(dict):
     """Raw token -> packed codes of its words: 24 bits of hash, one that marks single letters, seven of class."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: dict[str, list[str]] = {}
+
     def __missing__(self, token: str) -> bytes:
         from xxhash import xxh32_intdigest
 
         if len(self) > 500_000:
             self.clear()
-        out = self[token] = np.array([xxh32_intdigest(w) & 0xFFFFFF00 | (len(w) == 1) << 7 | CODE.get(class_of(w), 0) for w in words_of(token)], np.uint32).tobytes()
+            self.words.clear()
+        ws = self.words[token] = words_of(token)
+        out = self[token] = np.array([xxh32_intdigest(w) & 0xFFFFFF00 | (len(w) == 1) << 7 | CODE.get(class_of(w), 0) for w in ws], np.uint32).tobytes()
+        return out
+
+    def spelled(self, text: str) -> list[str]:
+        """The words of a text's tokens."""
+        out: list[str] = []
+        for token in text.split():
+            if token not in self.words:
+                self[token]
+            out += self.words[token]
         return out
 
 
@@ -208,13 +228,16 @@ def hashes(text: str, tokens: Tokens) -> np.ndarray:
     return h
 
 
-def spelled(text: str, n: int) -> list[str]:
+def spelled(text: str, n: int, tokens: Tokens) -> list[str]:
     """The words behind ``hashes``, n of them."""
     text = opened(text)
-    ws = [w for x in text.split() for w in words_of(x)]
-    if len(ws) != n:
-        ws = [w for x in joined(text).split() for w in words_of(x)]
-    return ws
+    ws = tokens.spelled(text)
+    return ws if len(ws) == n else tokens.spelled(joined(text))
+
+
+def classes_of(h: np.ndarray) -> str:
+    """The classes of coded words."""
+    return _CHARS[h & 127].tobytes().decode("ascii")
 
 
 #: What ordinary words around a window may take from its score.
@@ -266,8 +289,8 @@ def votes_on(ws: list[str], classes: str, s: int = 0) -> bytes:
     """Each voter's vote on the window from word s: 0 none, 1 for, 2 against its category. Voters against a category
     also see the surroundings."""
     own, wide = slice(s, s + WINDOW), slice(max(0, s - AROUND), s + WINDOW + AROUND)
-    seen = {(1, False): classes[own], (-1, False): classes[wide], (1, True): " ".join(ws[own]), (-1, True): " ".join(ws[wide])}
-    return bytes((1 if sign > 0 else 2) if rx.search(seen[sign, words]) else 0 for (_, sign, words, _), rx in zip(VOTERS, COMPILED, strict=True))
+    seen = {(True, False): classes[own], (False, False): classes[wide], (True, True): " ".join(ws[own]), (False, True): " ".join(ws[wide])}
+    return bytes((1 if sign > 0 else 2) if rx.search(seen[sign > 0, words]) else 0 for (_, sign, words, _), rx in zip(VOTERS, COMPILED, strict=True))
 
 
 def _vote_batches(negatives: int):
@@ -291,8 +314,7 @@ def _vote_batches(negatives: int):
                 hot = starts[sums[np.minimum(starts + WINDOW, len(h))] > sums[starts]]
                 found = []
                 if len(hot):
-                    ws = spelled(text, len(h))
-                    cs = "".join(map(class_of, ws))
+                    ws, cs = spelled(text, len(h), tokens), classes_of(h)
                     for s in hot.tolist():
                         found.append((s, votes_on(ws, cs, s)))
                 if not any(1 in v for _, v in found):
@@ -334,8 +356,8 @@ def _tree(joint: np.ndarray, least: float, relative: bool = False) -> list[int]:
     return parent
 
 
-#: Least log-odds of a vote that nothing else explains.
-BETTER = np.log(3)
+#: Least log-odds of a vote that nothing else explains, and of one for an exception to rule.
+BETTER, SURE = np.log(3), np.log(100)
 
 
 class LabelModel:
@@ -348,7 +370,8 @@ class LabelModel:
 
     RIGHT = np.array([[[5, 12, 0.5]], [[0.5, 12, 5]]]) / 17.5
 
-    def __init__(self, votes: np.ndarray, rounds: int = 30, belief: float = 10.0) -> None:
+    def __init__(self, votes: np.ndarray, sure: np.ndarray | None = None, rounds: int = 30, belief: float = 10.0) -> None:
+        """sure: which voters vote for exceptions to rule."""
         rows, times = np.unique(votes[(votes > 0).any(1)], axis=0, return_counts=True)  # few patterns
         n, m = times.sum(), votes.shape[1]
         self.parent, self.ratio, self.prior = [-1] * m, np.zeros((m, 3, 3)), 0.2
@@ -376,6 +399,8 @@ class LabelModel:
                 # No voter is worse than chance, and one whose parent is silent is better.
                 self.ratio[j][:, 2] = np.maximum(self.ratio[j][:, 2], [BETTER * (k < 0), BETTER, BETTER * (k < 0)])
                 self.ratio[j][:, 0] = np.minimum(self.ratio[j][:, 0], [-BETTER * (k < 0), -BETTER, -BETTER * (k < 0)])
+                if sure is not None and sure[j]:
+                    self.ratio[j][:, 0] = np.minimum(self.ratio[j][:, 0], -SURE)
             self.prior = float(np.clip((post * times).sum() / n, 0.05, 0.8))
             post = self.posterior(rows)
 
@@ -444,7 +469,7 @@ def train(features: list[np.ndarray], y: np.ndarray, rounds: tuple[int, int] = (
     return out, float(bias)
 
 
-def learn(votes: np.ndarray, features: list[np.ndarray], invented: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
+def learn(votes: np.ndarray, features: list[np.ndarray], invented: int = 24_000) -> tuple[np.ndarray, np.ndarray]:
     """(weights, biases) of the classifier from windows' votes (-1, 0, 1) and features.
 
     What the label model says of ``invented`` made-up windows teaches runs of classes that the sample lacks.
@@ -461,7 +486,7 @@ def learn(votes: np.ndarray, features: list[np.ndarray], invented: int = 30_000)
         own = [j for j, v in enumerate(VOTERS) if v[0] == c]
         if not (votes[:, own] > 0).any():
             continue
-        model = LabelModel(votes[:, own])
+        model = LabelModel(votes[:, own], np.array([VOTERS[j][1] == -2 for j in own]))
         weights[k], biases[k] = train(features + runs, np.r_[model.posterior(votes[:, own]), model.posterior(more[:, own])])
     return weights, biases
 
@@ -473,6 +498,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = 20_000,
     share = min(1.0, sample_docs / n)
     if share < 1:
         src = src.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # The sample is bounded, whatever the table: it is spread over all cores, also where one file holds it.
+    src = src.repartition(docs.sparkSession.sparkContext.defaultParallelism)
     got = src.select(F.col("id").cast("string"), "text").mapInArrow(_vote_batches(negatives), "features array<int>, votes binary").toArrow()
     if not got.num_rows:
         return np.zeros((3, SIZE), np.float32), np.full(3, -30.0)
