@@ -17,7 +17,7 @@ TEMPLATE = "{section}\n\n{content}"
 
 def ingest(pages: DataFrame, settings: chunking.Settings = chunking.Settings(), layout: sections.Layout | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages with hash, chunks) of raw pages (page_id, url, content, fetched_at)."""
-    found = sections.html_sections(pages, layout)
+    found = cut_lineage(sections.html_sections(pages, layout))  # pages are parsed once for texts, states and chunks
     texts = chunking.page_texts(found).join(pages.select("page_id", "fetched_at"), "page_id")
     newest = index.newest(texts).select("page_id", "url", "title", "content_hash", "fetched_at")
     return newest, chunking.chunk_sections(found.join(newest.select("page_id"), "page_id", "left_semi"), settings)

@@ -6,6 +6,7 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
@@ -18,46 +19,58 @@ from stratalith.functions.text import lookup_key
 SCENE = "id string, acquired string, platform string, mode string, polarisations array<string>, orbit string, relative_orbit int"
 
 
-class PoliteClient:
-    """Fetches with at least ``pause`` seconds between requests and by each origin's robots.txt: 401 and 403 deny all,
-    other 4xx allow all, 5xx raise. get(url) -> (status, bytes) is plugged in."""
-
-    def __init__(self, get: Callable[[str], tuple[int, bytes]], agent: str, pause: float = 1.0, clock=time.monotonic, sleep=time.sleep) -> None:
-        self.get, self.agent, self.pause, self.clock, self.sleep = get, agent, pause, clock, sleep
-        self.requests, self.last = 0, None
-        self.robots: dict[str, RobotFileParser] = {}
-
-    def _request(self, url: str) -> tuple[int, bytes]:
-        if self.last is not None and (wait := self.pause - (self.clock() - self.last)) > 0:
-            self.sleep(wait)
-        self.last = self.clock()
-        self.requests += 1
-        return self.get(url)
-
-    def allowed(self, url: str) -> bool:
-        u = urlsplit(url)
-        origin = f"{u.scheme}://{u.netloc}"
-        if origin not in self.robots:
-            status, body = self._request(f"{origin}/robots.txt")
-            if status >= 500:
-                raise RuntimeError(f"robots.txt of {origin}: {status}")
-            rules = RobotFileParser()
-            if status in (401, 403):
-                rules.disallow_all = True
-            elif status >= 400:
-                rules.allow_all = True
-            else:
-                rules.parse(body.decode("utf-8", "replace").splitlines())
-            self.robots[origin] = rules
-        return self.robots[origin].can_fetch(self.agent, url)
-
-    def fetch(self, url: str) -> bytes:
-        if not self.allowed(url):
+@dataclass
+class Pace:
+    """Lets a caller through at most once every ``pause`` seconds."""
+
+    pause: float = 1.0
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], object] = time.sleep
+    passed: int = 0
+    due: float = float("-inf")
+
+    def __call__(self) -> None:
+        ahead = self.due - self.clock()
+        if ahead > 0:
+            self.sleep(ahead)
+        self.due = self.clock() + self.pause
+        self.passed += 1
+
+
+def robot_rules(status: int, body: bytes) -> RobotFileParser:
+    """What a robots.txt answer allows: 401 and 403 nothing, other 4xx everything, 5xx can't be told and raises."""
+    rules = RobotFileParser()
+    if status >= 500:
+        raise RuntimeError(f"robots.txt can't be read: {status}")
+    rules.disallow_all, rules.allow_all = status in (401, 403), 400 <= status and status not in (401, 403)
+    if status < 400:
+        rules.parse(body.decode("utf-8", "replace").splitlines())
+    return rules
+
+
+def page_fetcher(transport: Callable[[str], tuple[int, bytes]], agent: str, pace: Pace | None = None) -> Callable[[str], bytes]:
+    """A function from address to content that keeps the pace and each origin's robots.txt, read once.
+
+    transport: gives (status, content) of an address. Raises PermissionError where robots.txt forbids the page.
+    """
+    pace, known = pace or Pace(), {}
+
+    def request(url: str) -> tuple[int, bytes]:
+        pace()
+        return transport(url)
+
+    def fetch(url: str) -> bytes:
+        origin = "{0.scheme}://{0.netloc}".format(urlsplit(url))
+        if origin not in known:
+            known[origin] = robot_rules(*request(origin + "/robots.txt"))
+        if not known[origin].can_fetch(agent, url):
             raise PermissionError(f"robots.txt forbids {url}")
-        status, body = self._request(url)
+        status, content = request(url)
         if status >= 400:
             raise RuntimeError(f"{url}: {status}")
-        return body
+        return content
+
+    return fetch
 
 
 def search_request(collection: str, bbox: list[float] | None, start: str | None, end: str | None, limit: int, **equal) -> dict:

@@ -261,15 +261,16 @@ def test_catalogue_source(spark, tmp_path):
     assert body["limit"] == 11 and body["datetime"] == "2024-01-01T00:00:00Z/2024-01-02T23:59:59Z" and body["filter"]["op"] == "and"
 
 
-def test_polite_client():
+def test_page_fetcher():
     answers_ = {"https://a.example/robots.txt": (200, b"User-agent: *\nDisallow: /no"), "https://a.example/x": (200, b"ok"), "https://b.example/robots.txt": (403, b""), "https://c.example/robots.txt": (404, b""), "https://c.example/y": (200, b"y"), "https://d.example/robots.txt": (503, b"")}
     now, slept = [0.0], []
-    c = catalogues.PoliteClient(lambda u: answers_[u], "bot", clock=lambda: now[0], sleep=slept.append)
-    assert c.fetch("https://a.example/x") == b"ok" and c.fetch("https://c.example/y") == b"y"
+    pace = catalogues.Pace(clock=lambda: now[0], sleep=slept.append)
+    fetch = catalogues.page_fetcher(lambda u: answers_[u], "bot", pace)
+    assert fetch("https://a.example/x") == b"ok" and fetch("https://c.example/y") == b"y"
     for u, e in (("https://a.example/no/1", PermissionError), ("https://b.example/z", PermissionError), ("https://d.example/z", RuntimeError)):
         with pytest.raises(e):
-            c.fetch(u)
-    assert len(slept) == c.requests - 1 and all(s == 1.0 for s in slept)
+            fetch(u)
+    assert len(slept) == pace.passed - 1 and all(s == 1.0 for s in slept)
 
 
 def test_places(spark):
