@@ -99,15 +99,14 @@ def pieces(page: str) -> Iterator[Stretch]:
 
     def flush() -> Iterator[Stretch]:
         nonlocal linked, strong
-        if texts:
-            text = " ".join(texts)
-            place, numbers = tuple(s for _, s, _ in stack), tuple(n for *_, n in stack)
-            if strong * 2 > len(text):
-                place, numbers = (*place, "strong"), (*numbers, -line)
-            yield place, numbers, text, list(dict.fromkeys(lines)), linked * 10 >= 9 * len(text)
-            texts.clear()
-            lines.clear()
-            linked = strong = 0
+        text = " ".join(texts)
+        place, numbers = tuple([s for _, s, _ in stack]), tuple([n for _, _, n in stack])
+        if strong * 2 > len(text):
+            place, numbers = (*place, "strong"), (*numbers, -line)
+        yield place, numbers, text, list(dict.fromkeys(lines)), linked * 10 >= 9 * len(text)
+        texts.clear()
+        lines.clear()
+        linked = strong = 0
 
     for m in TOKEN.finditer(page):
         token, tag = m[0], m[2]
@@ -140,7 +139,7 @@ def pieces(page: str) -> Iterator[Stretch]:
                 inline.remove(tag)
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
+            if texts and tag in ("br", "hr"):
                 yield from flush()
             continue
         if closing:
@@ -149,12 +148,14 @@ def pieces(page: str) -> Iterator[Stretch]:
                 continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    yield from flush()
+                    if texts:
+                        yield from flush()
                     del stack[k:]
                     inline.clear()
                     break
             continue
-        yield from flush()
+        if texts:
+            yield from flush()
         for k in range(len(stack) - 1, -1, -1):  # close what this start ends
             held = stack[k][0]
             if tag in CLOSED_BY.get(held, ()):
@@ -165,7 +166,8 @@ def pieces(page: str) -> Iterator[Stretch]:
         opened += 1
         stack.append((tag, _signature(tag, m[3] or ""), opened))
         inline.clear()
-    yield from flush()
+    if texts:
+        yield from flush()
 
 
 #: The token of a stretch of text among an element's children.
@@ -194,20 +196,31 @@ class Wrapper:
         """
         self.pages += 1
         children: dict[int, tuple[tuple[str, ...], list[str]]] = {0: ((), [])}
-        last: dict[int, int] = {}
         nodes = set()
-        for at, (path, numbers, text) in enumerate(found):
-            parent = 0
-            for depth, (kind, number) in enumerate(zip((*path, TEXT), (*numbers, -1 - at - (1 << 32)), strict=True)):
-                if last.get(parent) != number:
-                    last[parent] = number
-                    children.setdefault(parent, (path[:depth], []))[1].append(kind)
-                    if kind != TEXT:
-                        node = path[: depth + 1]
-                        self.times[node] = self.times.get(node, 0) + 1
-                        nodes.add(node)
-                parent = number
-            self._put(path, text, frozenset((article,)))
+        before: tuple[int, ...] = ()
+        own = frozenset((article,))
+        for path, numbers, text in found:
+            shared = 0  # elements that are open since the stretch before
+            for x, y in zip(before, numbers, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            parent = numbers[shared - 1] if shared else 0
+            for depth in range(shared, len(path)):
+                held = children.get(parent)
+                if held is None:
+                    held = children[parent] = (path[:depth], [])
+                held[1].append(path[depth])
+                node = path[: depth + 1]
+                self.times[node] = self.times.get(node, 0) + 1
+                nodes.add(node)
+                parent = numbers[depth]
+            held = children.get(parent)
+            if held is None:
+                held = children[parent] = (path, [])
+            held[1].append(TEXT)
+            before = numbers
+            self._put(path, text, own)
         for node in nodes:
             self.seen[node] = self.seen.get(node, 0) + 1
         for kind in {k for k, *_ in (node[::-1] for node in nodes)}:
@@ -223,6 +236,8 @@ class Wrapper:
 
     def _put(self, path: tuple[str, ...], text: str | None, articles: frozenset[int]) -> None:
         own, known = self.text.get(path, (text, frozenset()))
+        if own is None and len(known) >= FIXED:
+            return
         self.text[path] = (own if own == text else None, frozenset(sorted(known | articles)[:FIXED]))
 
     def merge(self, other: Wrapper) -> None:
