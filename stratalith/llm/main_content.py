@@ -268,35 +268,50 @@ class Wrapper:
         return out
 
     def sequence(self, parent: tuple[str, ...], kinds: list[str]) -> list[list[str]]:
-        """The children of a node in order, each in a list of its own, or with those it forms a repeated group with."""
-        after: dict[str, set[str]] = {k: set() for k in kinds}
-        for a, b in self.next.get(parent, ()):
-            after[a].add(b)
-
-        def reach(start: str) -> set[str]:
-            seen, todo = set(), [start]
-            while todo:
-                for k in after[todo.pop()]:
-                    if k not in seen:
-                        seen.add(k)
-                        todo.append(k)
-            return seen
-
-        reached = {k: reach(k) for k in kinds}
-        groups: list[list[str]] = []
-        for k in sorted(kinds):
-            for g in groups:
-                if g[0] in reached[k] and k in reached[g[0]]:
-                    g.append(k)
-                    break
-            else:
-                groups.append([k])
-        # What reaches more comes first: reaching is transitive, so this is an order of the expression.
-        return sorted(groups, key=lambda g: (-len(reached[g[0]] - set(g)), g))
+        """The children of a node in order, each in a list of its own, or with those it forms a repeated group with.
 
-    def is_loose(self, node: tuple[str, ...], groups: list[list[str]]) -> bool:
-        """Whether the expression has the node as optional, repeated or in a repeated group."""
-        return self.held[node] < self._parents(node) or self.most[node] > 1 or any(len(g) > 1 for g in groups if node[-1] in g)
+        Groups are the strongly connected components of the neighbourhoods, found in one walk; it leaves them in the
+        reverse of their order.
+        """
+        after: dict[str, list[str]] = {k: [] for k in kinds}
+        for a, b in sorted(self.next.get(parent, ()), reverse=True):
+            after[a].append(b)
+        index: dict[str, int] = {}
+        low: dict[str, int] = {}
+        held: list[str] = []
+        waiting: set[str] = set()
+        groups: list[list[str]] = []
+        for root in sorted(kinds, reverse=True):
+            if root in index:
+                continue
+            walk = [(root, iter(after[root]))]
+            index[root] = low[root] = len(index)
+            held.append(root)
+            waiting.add(root)
+            while walk:
+                k, rest = walk[-1]
+                following = next((x for x in rest if x not in index or x in waiting), None)
+                if following is None:
+                    walk.pop()
+                    if walk:
+                        low[walk[-1][0]] = min(low[walk[-1][0]], low[k])
+                    if low[k] == index[k]:
+                        at = held.index(k)
+                        groups.append(sorted(held[at:]))
+                        waiting.difference_update(held[at:])
+                        del held[at:]
+                elif following in index:
+                    low[k] = min(low[k], index[following])
+                else:
+                    index[following] = low[following] = len(index)
+                    held.append(following)
+                    waiting.add(following)
+                    walk.append((following, iter(after[following])))
+        return groups[::-1]
+
+    def is_loose(self, node: tuple[str, ...], grouped: set[str]) -> bool:
+        """Whether the expression has the node as optional, repeated or in a repeated group (of these kinds)."""
+        return self.held[node] < self._parents(node) or self.most[node] > 1 or node[-1] in grouped
 
     def _parents(self, node: tuple[str, ...]) -> int:
         return self.times[node[:-1]] if node[:-1] else self.pages
@@ -465,10 +480,10 @@ def _decide_groups(min_mark: float, min_link: float):
         loose: dict[str, bool] = {}
         for parent, ks in kinds.items():
             if parent[: len(body)] == body and any("[" in k for k in ks):
-                groups = w.sequence(parent, ks)
+                grouped = {k for g in w.sequence(parent, ks) if len(g) > 1 for k in g}
                 for k in ks:
                     if "[" in k:
-                        loose[k] = loose.get(k, False) or w.is_loose((*parent, k), groups)
+                        loose[k] = loose.get(k, False) or w.is_loose((*parent, k), grouped)
         out = set()
         for k, free in loose.items():
             chars, links = boxes.get(k, (0, 0))

@@ -94,6 +94,27 @@ def test_alignment_folds_what_pages_disagree_on():
     assert len(set(orders)) == 1
 
 
+def test_groups_equal_mutual_reach():
+    rng = random.Random(6)
+    for _ in range(200):
+        kinds = [f"k{i}" for i in range(rng.randrange(1, 9))]
+        w = mc.Wrapper()
+        w.next[()] = {(rng.choice(kinds), rng.choice(kinds)): 1 for _ in range(rng.randrange(0, 14))}
+        reach = {k: {k} for k in kinds}
+        for _ in kinds:
+            for a, b in w.next[()]:
+                for k in kinds:
+                    if a in reach[k]:
+                        reach[k].add(b)
+        groups = w.sequence((), kinds)
+        assert sorted(k for g in groups for k in g) == sorted(kinds)
+        at = {k: n for n, g in enumerate(groups) for k in g}
+        for a in kinds:
+            for b in kinds:
+                assert (at[a] == at[b]) == (b in reach[a] and a in reach[b])
+                assert b not in reach[a] or at[a] <= at[b]
+
+
 def test_text_that_no_page_varies_is_no_slot(spark):
     # Quantities agree by their masks alone, so counts of texts can't tell this one: only that it stands in every page.
     words = "orbit noise radar swath phase tile mask burst delta queue".split()
