@@ -443,3 +443,12 @@ def test_approximate_search_has_recall_and_fills_up(spark):
     assert retrieval.recall(retrieval.lsh_neighbours(c, q), exact).first().recall >= 0.9
     near = retrieval.lsh_neighbours(c, q, reach=0.01)
     assert near.count() == exact.count() and retrieval.recall(near, exact).first().recall == 1.0
+
+
+def test_tables_of_a_database(spark):
+    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).selectExpr("cast(id as int) as id", "concat('u', id) as url").write.format("jdbc").options(url="jdbc:derby:memory:pages;create=true", dbtable="documents", **options).mode("overwrite").save()
+    pages = files.read_jdbc(spark, "jdbc:derby:memory:pages", "documents", partitionColumn="id", lowerBound="0", upperBound="100", numPartitions="4", **options)
+    some = pages.where("id > 90")
+    assert some.count() == 9 and pages.rdd.getNumPartitions() == 4
+    assert "GreaterThan(ID,90)" in some._jdf.queryExecution().toString() or "GreaterThan(id,90)" in some._jdf.queryExecution().toString()
