@@ -65,28 +65,29 @@ def _unmarked(text: str) -> str:
     return TAG.sub("", "".join(kept) + text[at:])
 
 
-def plain(text: str) -> str:
-    """Text without entities, markup, invisible characters and compatibility forms; letters that only look Latin are."""
+def plain(text: str, visible: bool = False) -> tuple[str, bool]:
+    """(text, foreign): without entities, markup and compatibility forms, letters that only look Latin are; and whether
+    other letters outside ASCII are left. visible: invisible characters are taken out too."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text or "](" in text:
         text = _unmarked(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", INVISIBLE.sub("", text))
-        if FOREIGN.search(text):
-            text = FOREIGN.sub(lambda m: m[0].casefold().translate(LOOKALIKE), text)
-    return text
+    if text.isascii():
+        return text, False
+    text = unicodedata.normalize("NFKD", INVISIBLE.sub("", text) if visible else text)
+    if not FOREIGN.search(text):
+        return text, False
+    text = FOREIGN.sub(lambda m: m[0].casefold().translate(LOOKALIKE), text)
+    return text, FOREIGN.search(text) is not None
 
 
-def _letters(text: str, drop: bytes) -> bytes:
-    if text.isascii() or not FOREIGN.search(text):
-        return text.encode("ascii", "ignore").lower().translate(None, drop)
-    return OTHER.sub("", text).encode().lower().translate(None, drop)
+def _letters(text: str, foreign: bool, drop: bytes) -> bytes:
+    return (OTHER.sub("", text).encode() if foreign else text.encode("ascii", "ignore")).lower().translate(None, drop)
 
 
 def solid(text: str) -> bytes:
     """Only the letters and digits of a text, of any script, accents folded: words(text) without spaces."""
-    return _letters(plain(text), _DROP)
+    return _letters(*plain(text), _DROP)
 
 
 def words(text: str) -> list[bytes]:
@@ -94,8 +95,8 @@ def words(text: str) -> list[bytes]:
 
     Hyphens at a line's end join the word's parts.
     """
-    text = BROKEN.sub("", plain(text))
-    return _letters(" ".join(text.split()), _BLANK).split()
+    text, foreign = plain(text, visible=True)
+    return _letters(" ".join(BROKEN.sub("", text).split()), foreign, _BLANK).split()
 
 
 def _grams(b: np.ndarray, q: int) -> np.ndarray:
@@ -454,18 +455,24 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
         key = hash((tuple(items), q, run, edits))  # a worker keeps its index over tasks
         if (groups := _HELD.get(key)) is None:
             groups = [Index(items[k : k + GROUP], q, run, edits) for k in range(0, len(items), GROUP)]
+        from xxhash import xxh3_128_digest
+
+        known: dict[bytes, list[str]] = {}  # what a text discloses; copies are looked up
         for big in batches:
             at = 0
             while at < big.num_rows:  # slices of about 2 MB of text
-                ids, texts, size = [], [], 0
+                rows, texts, digests, size = [], [], [], 0
                 while at < big.num_rows and size < 2_000_000:
                     t = big.column(1)[at].as_py()
                     if t:
-                        ids.append(big.column(0)[at].as_py())
-                        texts.append(t)
-                        size += len(t)
+                        digest = xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                        rows.append((big.column(0)[at].as_py(), digest))
+                        if digest not in known:
+                            known[digest] = []
+                            digests.append(digest)
+                            texts.append(t)
+                            size += len(t)
                     at += 1
-                cases = []
                 solids = [solid(t) for t in texts]
                 if key not in _HELD:
                     for index in groups:
@@ -476,23 +483,25 @@ def _scan_batches(items: list[tuple[str, str]], q: int, run: int, edits: float,
                     last, ws, starts = -1, [], np.zeros(0)
                     for d, i, low, high in sorted(index.regions(solids, width)):
                         among = index.may_disclose(i, solids[d], low, high)
-                        if among is None:
+                        if among is None or index.ids[i] in known[digests[d]]:
                             continue
                         if index.holds(i, solids[d], low, high):
-                            cases.append((ids[d], index.ids[i]))
+                            known[digests[d]].append(index.ids[i])
                             continue
                         if d != last:
                             last, ws = d, words(texts[d])
                             starts = np.r_[0, np.cumsum([len(w) for w in ws])]
                         if index.discloses(i, ws, low, high, starts, among):
-                            cases.append((ids[d], index.ids[i]))
-                cases = list(dict.fromkeys(cases))
+                            known[digests[d]].append(index.ids[i])
+                cases = [(doc, item) for doc, digest in rows for item in dict.fromkeys(known[digest])]
+                if len(known) > 200_000:
+                    known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cases], pa.int64()), pa.array([c[1] for c in cases], pa.string())], names=["doc_id", "item_id"])
 
     return scan
 
 
-def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, width: int = 96, part: int = 3_000) -> DataFrame:
+def disclosures(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, run: int = 20, edits: float = 1 / 6, q: int = 8, width: int = 128, part: int = 3_000) -> DataFrame:
     """(doc_id, item_id) of every document that discloses an item.
 
     Items are sent to the workers in parts of about ``part``; every part is a scan of the documents, and the scans'

@@ -149,6 +149,16 @@ def test_added_words_in_a_row(spark):
     assert sorted(r.doc_id for r in lk.disclosures(docs, items, "doc_id", "text", "id", "passage").collect()) == [0, 1, 2]
 
 
+def test_copies_and_long_added_words(spark):
+    rng = random.Random(5)
+    p = text(36, rng).split()
+    body = [w for k, w in enumerate(p) for w in ([w, "x" * 10] if k in (5, 10, 15, 20, 25, 30) else [w])]  # 60 letters more
+    docs = [(k, " ".join(body)) for k in range(20)] + [(k, text(60, random.Random(k))) for k in range(20, 40)]
+    items = spark.createDataFrame([("a", " ".join(p))], "id string, passage string")
+    found = lk.disclosures(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), items, "doc_id", "text", "id", "passage")
+    assert sorted(map(tuple, found.collect())) == [(k, "a") for k in range(20)]
+
+
 def test_alignment_equals_edit_distance():
     rng, held = random.Random(31), 0
     for case in range(600):
