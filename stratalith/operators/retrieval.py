@@ -17,12 +17,45 @@ CANDIDATES, RRF, RERANKED, TOP_K = 40, 60, 20, 5
 METHODS = ("vector", "lexical", "hybrid", "hybrid-native")
 #: Query vectors of one pass over the rows: below 64 MB at 1,024 numbers.
 BLOCK = 8_192
+#: Queries and rows that are compared at once.
+QUERIES, ROWS = 256, 2_048
 UNROUNDED = 6
 
 
-def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool):
+def _pieces(nq: int, nx: int, hq: list[np.ndarray], hx: list[np.ndarray]) -> Iterator[list[tuple[np.ndarray, np.ndarray, int | None]]]:
+    """Groups of (queries, rows, table) to compare: bucket by bucket of each hash table where that makes fewer pairs, else
+    all queries with all rows (table None)."""
+    counts = [(np.bincount(a, minlength=(m := int(a.max(initial=0)) + 1)), np.bincount(c[(c >= 0) & (c < m)], minlength=m)) for a, c in zip(hq, hx, strict=True)]
+    if not hq or sum(float(a @ c) for a, c in counts) > nq * nx / 2:
+        for i in range(0, nq, QUERIES):
+            yield [(np.arange(i, min(nq, i + QUERIES)), np.arange(j, min(nx, j + ROWS)), None) for j in range(0, nx, ROWS)]
+        return
+    group = []
+    for t, (a, c) in enumerate(counts):
+        by_q, by_x = np.argsort(hq[t], kind="stable"), np.argsort(hx[t], kind="stable")
+        at_q, at_x = np.r_[0, np.cumsum(a)], np.count_nonzero(hx[t] < 0) + np.r_[0, np.cumsum(c)]
+        for bucket in np.flatnonzero((a > 0) & (c > 0)):
+            for i in range(at_q[bucket], at_q[bucket + 1], QUERIES):
+                qs = by_q[i : min(at_q[bucket + 1], i + QUERIES)]
+                group += [(qs, by_x[j : min(at_x[bucket + 1], j + ROWS)], t) for j in range(at_x[bucket], at_x[bucket + 1], ROWS)]
+    yield group
+
+
+def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool, hashes: Callable | None = None, reach: float = np.inf):
+    """hashes: numbers of unit vectors in each table; then only pairs with one of them in common are compared."""
+    known = [np.unique(h) for h in hashes(q).T] if hashes else []
+
+    def buckets(x: np.ndarray) -> list[np.ndarray]:
+        """Per table the place of each vector's number among those of the queries, else -1."""
+        out = []
+        for h, own in zip(hashes(x).T if hashes else [], known, strict=True):
+            at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+            out.append(np.where(own[at] == h, at, -1).astype(np.int8 if len(own) < 128 else np.int32))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bound = np.full(len(q), np.inf)  # k rows of this task are at least as near as this; farther ones stay here
+        hq, far = buckets(q), reach * reach / 2
         for b in batches:
             col = b.column(1)
             n = np.asarray(col.value_lengths().fill_null(0))
@@ -34,29 +67,60 @@ def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool):
             x = flat[start[rows][:, None] + np.arange(q.shape[1])]
             length = np.linalg.norm(x, axis=1)
             ok = np.isfinite(length) & (length > 0)
-            rows, x, length = rows[ok], x[ok], length[ok]
+            rows, x = rows[ok], x[ok] / length[ok][:, None]
             if not len(rows):
                 continue
-            own = np.asarray(b.column(0))[rows]
-            for a in range(0, len(q), 256):
-                d = np.round(1 - (q[a : a + 256] @ x.T) / length, UNROUNDED) + 0.0
-                if other:
-                    d[own[None, :] == ids[a : a + 256][:, None]] = np.inf
+            own, hx = np.asarray(b.column(0))[rows], buckets(x)
+
+            def refused(i: np.ndarray, j: np.ndarray, table: int | None) -> np.ndarray:
+                """Pairs that take no part: a row with itself, none or an earlier table in common."""
+                no = (own[j] == ids[i]) & other  # noqa: B023
+                if hq and table is None:
+                    hit = hq[0][i] == hx[0][j]  # noqa: B023
+                    for a, c in zip(hq[1:], hx[1:], strict=True):  # noqa: B023
+                        hit |= a[i] == c[j]
+                    no = no | ~hit
+                for a, c in zip(hq[: table or 0], hx[: table or 0], strict=True):  # noqa: B023
+                    no = no | (a[i] == c[j])
+                return no
+
+            for group in _pieces(len(q), len(x), hq, hx):
+                got = []
+                for qs, rs, table in group:
+                    d = 1 - q[qs] @ x[rs].T
+                    cut = bound[qs]
+                    whole = np.isinf(cut).any()
+                    if whole:
+                        d[refused(qs[:, None], rs[None, :], table) | (d >= far)] = np.inf
+                    if whole and len(rs) >= k:
+                        bound[qs] = cut = np.minimum(cut, np.round(np.partition(d, k - 1, axis=1)[:, k - 1], UNROUNDED))
+                    # A cosine distance is 2 at most; a unit of the last place is left for rounding.
+                    r, c = np.nonzero(d <= np.minimum(cut + 10.0**-UNROUNDED, 3)[:, None])
+                    near, i, j = d[r, c], qs[r], rs[c]
+                    if not whole:
+                        keep = ~refused(i, j, table) & (near < far)
+                        near, i, j = near[keep], i[keep], j[keep]
+                    got.append((i, j, np.round(near, UNROUNDED) + 0.0))
+                if not got:
+                    continue
                 # the k smallest, with all that tie with the k-th
-                cut = bound[a : a + 256]
-                if d.shape[1] >= k:
-                    np.minimum(cut, np.partition(d, k - 1, axis=1)[:, k - 1], out=cut)
-                r, c = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256][r]), pa.array(own[c]), pa.array(d[r, c])], names=["qid", "id", "score"])
+                i, j, d = map(np.concatenate, zip(*got, strict=True))
+                order = np.lexsort((d, i))
+                i, j, d = i[order], j[order], d[order]
+                kth = np.flatnonzero(i[k - 1 :] == i[: len(i) - k + 1]) if len(i) >= k else np.empty(0, np.int64)
+                np.minimum.at(bound, i[kth], d[kth + k - 1])
+                keep = d <= bound[i]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]]), pa.array(own[j[keep]]), pa.array(d[keep])], names=["qid", "id", "score"])
 
     return run
 
 
-def vector_scores(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", other: bool = True) -> DataFrame:
+def vector_scores(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", other: bool = True, hashes: Callable | None = None, reach: float = np.inf) -> DataFrame:
     """(qid, id, score): for each query vector the nearest rows of every batch by cosine distance, exact.
 
     queries: (qid long, vec). They are read in blocks of bounded size; every block is one pass over the rows.
     other: a row is no neighbour of the query with its own id. Null, empty and all-zero vectors take no part.
+    hashes, reach: only pairs that share a number of ``hashes`` of their unit vectors and are nearer than this.
     """
     rows = chunks.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).where("size(vec) > 0")
@@ -71,7 +135,7 @@ def vector_scores(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
         q = np.array([vec[j] for j in keep])
         q /= np.linalg.norm(q, axis=1)[:, None]
         ids = np.asarray(block.column("qid"))[keep]
-        parts.append(rows.mapInArrow(_nearest_batches(ids, q, k, other), "qid long, id long, score double"))
+        parts.append(rows.mapInArrow(_nearest_batches(ids, q, k, other, hashes, reach), "qid long, id long, score double"))
     if not parts:
         return chunks.sparkSession.createDataFrame([], "qid long, id long, score double")
     out = parts[0]
@@ -103,7 +167,7 @@ def fuse(lists: list[DataFrame], chunks: DataFrame, k: int = TOP_K, constant: in
 def hybrid(chunks: DataFrame, questions: DataFrame, queries: DataFrame, k: int = TOP_K, candidates: int = CANDIDATES, native: bool = False) -> DataFrame:
     """BM25 and vector lists of ``candidates`` each, fused. native: positions instead of shared ranks."""
     chunks = chunks.withColumn("id", F.col("id").cast("long"))
-    words = lexical.bm25(chunks, questions, candidates)
+    words = lexical.top(lexical.bm25_best(chunks, questions, candidates), chunks, candidates)
     vectors = vector(chunks, queries, candidates)
     lists = [shared_ranks(words, ["qid"], False), shared_ranks(vectors, ["qid"], True)]
     return fuse(lists, chunks, k, shared=not native)

@@ -2,12 +2,13 @@ import datetime as dt
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stratalith.operators import answers, catalogue, chunking, evaluation, index, lexical, line_documents, retrieval, sections
 from stratalith.plans.agent import Toolbox, run_agent, serve_call
-from stratalith.session import table
+from stratalith.session import cut_lineage, table
 from stratalith.sources import catalogues, files, providers
 from tests.conftest import SMALL
 
@@ -452,3 +453,22 @@ def test_tables_of_a_database(spark):
     some = pages.where("id > 90")
     assert some.count() == 9 and pages.rdd.getNumPartitions() == 4
     assert "GreaterThan(ID,90)" in some._jdf.queryExecution().toString() or "GreaterThan(id,90)" in some._jdf.queryExecution().toString()
+
+
+def test_best_of_many_questions_without_their_pairs(spark):
+    """The best chunks of a task stay, other pairs of questions and chunks never leave it; blocks of questions add up."""
+    c = table(spark, SMALL, "chunks").repartition(3)
+    q = table(spark, SMALL, "eval_questions")
+    every = lexical.bm25_scores(c, q)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lexical, "BLOCK", 100)
+        best = cut_lineage(lexical.bm25_best(c, q, 5))
+    rows = lambda df: {(r.qid, r.id, r.score) for r in lexical.first_cut(df, 5).collect()}
+    assert rows(best) == rows(every)
+    assert best.count() < every.count() / 3
+    assert lexical.bm25_best(c, q.where("false"), 5).count() == 0
+
+
+def test_slabs():
+    b = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    assert [t.num_rows for t in lexical.slabs(iter([b] * 5), 3)] == [4, 4, 2] and not list(lexical.slabs(iter([]), 3))
