@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -472,3 +473,20 @@ def test_best_of_many_questions_without_their_pairs(spark):
 def test_slabs():
     b = pa.RecordBatch.from_pydict({"a": [1, 2]})
     assert [t.num_rows for t in lexical.slabs(iter([b] * 5), 3)] == [4, 4, 2] and not list(lexical.slabs(iter([]), 3))
+
+
+@pytest.mark.parametrize("bucket", [0.6, 0.02])
+def test_approximate_search_by_wide_and_narrow_buckets(spark, bucket):
+    """Only pairs that share a bucket are compared; only what may be among a query's k leaves a task."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8))
+    x[600:] = x[:300] + rng.normal(scale=0.02, size=(300, 8))
+    unit, planes = x / np.linalg.norm(x, axis=1)[:, None], rng.normal(size=(8, 3))
+    hashes = lambda v: np.floor(v @ planes / bucket)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = retrieval.vector_scores(c, c.where("id < 300").select(F.col("id").alias("qid"), F.col("embedding").alias("vec")), 4, hashes=hashes, reach=0.7)
+    h, d = hashes(unit), 1 - unit @ unit.T
+    held = (h[:300, None] == h[None]).any(-1) & (d[:300] < 0.245) & ~np.eye(300, 900, dtype=bool)
+    want = {(i, int(j)) for i in range(300) for j in sorted(np.flatnonzero(held[i]), key=lambda j, i=i: d[i, j])[:4]}
+    assert {(r.qid, r.id) for r in lexical.first_cut(got, 4, ascending=True).collect()} == want
+    assert got.count() <= 300 * 4 * got.rdd.getNumPartitions() and 0 < held.sum() < 300 * 899
