@@ -490,3 +490,13 @@ def test_approximate_search_by_wide_and_narrow_buckets(spark, bucket):
     want = {(i, int(j)) for i in range(300) for j in sorted(np.flatnonzero(held[i]), key=lambda j, i=i: d[i, j])[:4]}
     assert {(r.qid, r.id) for r in lexical.first_cut(got, 4, ascending=True).collect()} == want
     assert got.count() <= 300 * 4 * got.rdd.getNumPartitions() and 0 < held.sum() < 300 * 899
+
+
+def test_recall_of_a_search_that_keeps_the_nearest_alone(spark, monkeypatch):
+    """What is written between the hashing and the ranking are the k nearest with ties, not the proposed pairs."""
+    kept, cut = [], retrieval.cut_lineage
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    c = table(spark, SMALL, "chunks")
+    q = c.where("id % 10 = 0").select(F.col("id").cast("long").alias("qid"), F.col("embedding").alias("vec"))
+    assert retrieval.recall(retrieval.lsh_neighbours(c, q), retrieval.vector(c, q)).first().recall == 1.0
+    assert 0 < sum(x.count() for x in kept if "score" in x.columns) < 2 * retrieval.TOP_K * q.count()
