@@ -500,3 +500,15 @@ def test_recall_of_a_search_that_keeps_the_nearest_alone(spark, monkeypatch):
     q = c.where("id % 10 = 0").select(F.col("id").cast("long").alias("qid"), F.col("embedding").alias("vec"))
     assert retrieval.recall(retrieval.lsh_neighbours(c, q), retrieval.vector(c, q)).first().recall == 1.0
     assert 0 < sum(x.count() for x in kept if "score" in x.columns) < 2 * retrieval.TOP_K * q.count()
+
+
+def test_native_hybrid_in_blocks_of_questions(spark, monkeypatch):
+    """Both halves in several blocks, no list of all pairs, positions as ranks."""
+    c = table(spark, SMALL, "chunks").withColumn("id", F.col("id").cast("long"))
+    asked = c.where("id % 50 = 0")
+    q, v = asked.select("id", F.col("section").alias("question")), asked.select(F.col("id").alias("qid"), F.col("embedding").alias("vec"))
+    want = retrieval.fuse([lexical.bm25(c, q, 40), retrieval.vector(c, v, 40)], c, shared=False).collect()
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(lexical, "bm25_scores", None)
+    assert sorted(retrieval.hybrid(c, q, v, native=True).collect()) == sorted(want) and want
