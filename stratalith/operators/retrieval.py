@@ -54,7 +54,9 @@ def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool, hashes
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound = np.full(len(q), np.inf)  # k rows of this task are at least as near as this; farther ones stay here
+        best = lexical.Best(k, len(q))
+        bound = best.bound
+        named = lambda rows: (pa.RecordBatch.from_arrays([pa.array(ids[i]), own, pa.array(d)], names=["qid", "id", "score"]) for i, own, d in rows)
         hq, far = buckets(q), reach * reach / 2
         for b in batches:
             col = b.column(1)
@@ -103,20 +105,15 @@ def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool, hashes
                     got.append((i, j, np.round(near, UNROUNDED) + 0.0))
                 if not got:
                     continue
-                # the k smallest, with all that tie with the k-th
                 i, j, d = map(np.concatenate, zip(*got, strict=True))
-                order = np.lexsort((d, i))
-                i, j, d = i[order], j[order], d[order]
-                kth = np.flatnonzero(i[k - 1 :] == i[: len(i) - k + 1]) if len(i) >= k else np.empty(0, np.int64)
-                np.minimum.at(bound, i[kth], d[kth + k - 1])
-                keep = d <= bound[i]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i[keep]]), pa.array(own[j[keep]]), pa.array(d[keep])], names=["qid", "id", "score"])
+                yield from named(best.add(i, pa.array(own[j]), d))
+        yield from named(best.rest())
 
     return run
 
 
 def vector_scores(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", other: bool = True, hashes: Callable | None = None, reach: float = np.inf) -> DataFrame:
-    """(qid, id, score): for each query vector the nearest rows of every batch by cosine distance, exact.
+    """(qid, id, score): for each query vector the nearest rows of every task by cosine distance, exact.
 
     queries: (qid long, vec). They are read in blocks of bounded size; every block is one pass over the rows.
     other: a row is no neighbour of the query with its own id. Null, empty and all-zero vectors take no part.
@@ -135,7 +132,7 @@ def vector_scores(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
         q = np.array([vec[j] for j in keep])
         q /= np.linalg.norm(q, axis=1)[:, None]
         ids = np.asarray(block.column("qid"))[keep]
-        parts.append(rows.mapInArrow(_nearest_batches(ids, q, k, other, hashes, reach), "qid long, id long, score double"))
+        parts.append(lexical.long_tasks(rows).mapInArrow(_nearest_batches(ids, q, k, other, hashes, reach), "qid long, id long, score double"))
     if not parts:
         return chunks.sparkSession.createDataFrame([], "qid long, id long, score double")
     out = parts[0]

@@ -512,3 +512,31 @@ def test_native_hybrid_in_blocks_of_questions(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 7)
     monkeypatch.setattr(lexical, "bm25_scores", None)
     assert sorted(retrieval.hybrid(c, q, v, native=True).collect()) == sorted(want) and want
+
+
+def test_rows_let_out_follow_the_questions_not_the_scan(spark, monkeypatch):
+    """Batches of a task are cut together, and small partitions of a table are not tasks of their own."""
+    c = table(spark, SMALL, "chunks").withColumn("id", F.col("id").cast("long"))
+    q, v = table(spark, SMALL, "eval_questions"), c.select(F.col("id").alias("qid"), F.col("embedding").alias("vec"))
+    halves = (lambda x: lexical.bm25_best(x, q, 3)), (lambda x: retrieval.vector_scores(x, v, 3))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = [rows(lexical.first_cut(f(c), 3, ascending=i == 1)) for i, f in enumerate(halves)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        monkeypatch.setattr(lexical, "SLAB", 7)
+        monkeypatch.setattr(lexical, "slabs", lambda batches, f=lexical.slabs: f(batches, 7))
+        assert [rows(f(c.coalesce(1))) for f in halves] == want and all(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [f(c.repartition(60)).rdd.getNumPartitions() for f in halves] == [lexical.TASKS, lexical.TASKS]
+
+
+def test_best_gives_back_ties_that_are_too_many_to_hold(monkeypatch):
+    monkeypatch.setattr(lexical, "HELD", 100_000)
+    best, n, got = lexical.Best(2, 3), 150_000, []
+    for value in (1.0, 1.0, 0.5, 0.5, 2.0):
+        got += best.add(np.arange(n) % 3, pa.array(np.arange(n)), np.full(n, value))
+    early = sum(len(q) for q, _, _ in got)
+    got += best.rest()
+    assert early > 0 and not list(best.rest()) and best.bound.tolist() == [0.5] * 3
+    assert sum(np.count_nonzero(value == 0.5) for _, _, value in got) == 2 * n and all((value < 2).all() for _, _, value in got)
