@@ -20,6 +20,9 @@ BLOCK = 8_192
 #: Queries and rows that are compared at once.
 QUERIES, ROWS = 256, 2_048
 UNROUNDED = 6
+#: Pairs per query and wanted neighbour beyond which a comparison first finds the k-th distance; the part of the pairs
+#: compared up to which distances are worked out one by one.
+CROWDED, FEW = 16, 1 / 64
 
 
 def _pieces(nq: int, nx: int, hq: list[np.ndarray], hx: list[np.ndarray]) -> Iterator[list[tuple[np.ndarray, np.ndarray, int | None]]]:
@@ -44,6 +47,7 @@ def _pieces(nq: int, nx: int, hq: list[np.ndarray], hx: list[np.ndarray]) -> Ite
 def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool, hashes: Callable | None = None, reach: float = np.inf):
     """hashes: numbers of unit vectors in each table; then only pairs with one of them in common are compared."""
     known = [np.unique(h) for h in hashes(q).T] if hashes else []
+    q32, slack = q.astype(np.float32), (q.shape[1] + 16) * 2.0**-23
 
     def buckets(x: np.ndarray) -> list[np.ndarray]:
         """Per table the place of each vector's number among those of the queries, else -1."""
@@ -86,22 +90,26 @@ def _nearest_batches(ids: np.ndarray, q: np.ndarray, k: int, other: bool, hashes
                     no = no | (a[i] == c[j])
                 return no
 
+            x32 = x.astype(np.float32)
             for group in _pieces(len(q), len(x), hq, hx):
                 got = []
                 for qs, rs, table in group:
-                    d = 1 - q[qs] @ x[rs].T
-                    cut = bound[qs]
-                    whole = np.isinf(cut).any()
-                    if whole:
-                        d[refused(qs[:, None], rs[None, :], table) | (d >= far)] = np.inf
-                    if whole and len(rs) >= k:
-                        bound[qs] = cut = np.minimum(cut, np.round(np.partition(d, k - 1, axis=1)[:, k - 1], UNROUNDED))
+                    # Single precision with more than its error left over finds the pairs whose distance is worth taking.
                     # A cosine distance is 2 at most; a unit of the last place is left for rounding.
-                    r, c = np.nonzero(d <= np.minimum(cut + 10.0**-UNROUNDED, 3)[:, None])
-                    near, i, j = d[r, c], qs[r], rs[c]
-                    if not whole:
-                        keep = ~refused(i, j, table) & (near < far)
-                        near, i, j = near[keep], i[keep], j[keep]
+                    least = 1 - slack - np.minimum(np.minimum(bound[qs] + 10.0**-UNROUNDED, far), 3)
+                    r, c = np.nonzero(q32[qs] @ x32[rs].T >= least.astype(np.float32)[:, None])
+                    if len(r) > FEW * len(qs) * len(rs):
+                        d = 1 - q[qs] @ x[rs].T
+                        if len(r) > CROWDED * k * len(qs) and len(rs) >= k:
+                            d[refused(qs[:, None], rs[None, :], table) | (d >= far)] = np.inf
+                            bound[qs] = cut = np.minimum(bound[qs], np.round(np.partition(d, k - 1, axis=1)[:, k - 1], UNROUNDED))
+                            r, c = np.nonzero(d <= np.minimum(cut + 10.0**-UNROUNDED, 3)[:, None])
+                        near = d[r, c]
+                    else:
+                        near = 1 - np.einsum("ij,ij->i", q[qs[r]], x[rs[c]])
+                    i, j = qs[r], rs[c]
+                    keep = ~refused(i, j, table) & (near < far)
+                    i, j, near = i[keep], j[keep], near[keep]
                     got.append((i, j, np.round(near, UNROUNDED) + 0.0))
                 if not got:
                     continue

@@ -540,3 +540,23 @@ def test_best_gives_back_ties_that_are_too_many_to_hold(monkeypatch):
     got += best.rest()
     assert early > 0 and not list(best.rest()) and best.bound.tolist() == [0.5] * 3
     assert sum(np.count_nonzero(value == 0.5) for _, _, value in got) == 2 * n and all((value < 2).all() for _, _, value in got)
+
+
+@pytest.mark.parametrize("reach", [0.1, np.inf])
+def test_distances_are_worked_out_for_near_pairs_alone(reach, monkeypatch):
+    """Queries that find no k rows within reach are no reason to look at all pairs again; results are those of all pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[10:20] = x[0] + rng.normal(scale=0.01, size=(10, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(x.tolist())], names=["id", "v"])
+    calls, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *more, **by: calls.append(a.size) or partition(a, *more, **by))
+    run = retrieval._nearest_batches(np.arange(40), x[:40], 5, True, (lambda v: np.zeros((len(v), 1))) if reach < 2 else None, reach)
+    got = [r for out in run(iter([b.slice(0, 2500), b.slice(2500)])) for r in zip(*out.to_pydict().values(), strict=True)]
+    d = np.round(1 - x[:40] @ x.T, 6)
+    d[np.arange(40), np.arange(40)] = np.inf
+    d[d >= reach**2 / 2] = np.inf
+    kth = np.minimum(np.sort(d, axis=1)[:, 4], 3)
+    assert sorted(got) == [(i, j, pytest.approx(d[i, j])) for i, j in zip(*np.nonzero(d <= kth[:, None]), strict=True)] and got
+    assert len(calls) == (reach > 2)
